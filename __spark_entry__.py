@@ -146,10 +146,6 @@ def _raw_tables(w: Workspace) -> dict[str, DataFrame]:
     return {"customers": w.raw_customers(), "transactions": w.raw_transactions()}
 
 
-def _unique_customers(w: Workspace) -> DataFrame:
-    return processing.unique_customers(w.raw_customers(), ["join_date"])
-
-
 def null_profile(w: Workspace) -> DataFrame:
     return quality.null_profile(_raw_tables(w))
 
@@ -240,17 +236,17 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "satisfaction_distribution": lambda w: reports.satisfaction_distribution(w.customers()),
     "churn_by_category": lambda w: reports.churn_by_category(w.profiles()),
     "churn_by_location": lambda w: reports.churn_by_location(w.profiles()),
-    "location_distribution": lambda w: reports.location_distribution(_unique_customers(w)),
-    "gender_distribution": lambda w: reports.gender_distribution(_unique_customers(w)),
+    "location_distribution": lambda w: reports.location_distribution(w.unique_customers()),
+    "gender_distribution": lambda w: reports.gender_distribution(w.unique_customers()),
     "null_profile": null_profile,
     "duplicate_profile": duplicate_profile,
     "table_profile": table_profile,
     "preview_customers": lambda w: reports.preview(w.raw_customers(), "customer_id"),
     "preview_segmented": lambda w: reports.preview(w.segmented_by_centres(), "customer_id"),
-    "age_histogram": lambda w: histogram(_unique_customers(w), "age", NOTEBOOK_BINS),
-    "income_histogram": lambda w: histogram(_unique_customers(w), "annual_income", NOTEBOOK_BINS),
-    "age_kde": lambda w: density_curve(_unique_customers(w), "age", NOTEBOOK_BINS),
-    "income_kde": lambda w: density_curve(_unique_customers(w), "annual_income", NOTEBOOK_BINS),
+    "age_histogram": lambda w: histogram(w.unique_customers(), "age", NOTEBOOK_BINS),
+    "income_histogram": lambda w: histogram(w.unique_customers(), "annual_income", NOTEBOOK_BINS),
+    "age_kde": lambda w: density_curve(w.unique_customers(), "age", NOTEBOOK_BINS),
+    "income_kde": lambda w: density_curve(w.unique_customers(), "annual_income", NOTEBOOK_BINS),
     "spend_by_satisfaction_box": spend_by_satisfaction_box,
     # The dashboard after a choice of filters.
     "filtered_transactions": lambda w: _money_as_double(

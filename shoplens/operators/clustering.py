@@ -29,21 +29,17 @@ CENTRE_SHIFT = (1e-4 / len(CLUSTER_NAMES)) ** 0.5
 def scaled_features(active: DataFrame) -> DataFrame:
     """Add ``ln(1 + x + 0.001)`` of each feature, brought to mean 0 and variance 1.
 
-    The mean and the population deviation of the three logs come from one pass over the three
-    columns, attached as a scalar subquery of one struct.
+    Means and population deviations of the three logs come from one pass over three columns.
     """
     log = {x: F.log1p(F.col(x) + EPSILON) for x in FEATURES}
     moments = active.agg(
-        F.struct(
-            *[F.avg(log[x]).alias(f"{x}_mean") for x in FEATURES],
-            *[F.stddev_pop(log[x]).alias(f"{x}_dev") for x in FEATURES],
-        ).alias("moments")
-    ).scalar()
+        *[F.avg(log[x]).alias(f"{x}_mean") for x in FEATURES],
+        *[F.stddev_pop(log[x]).alias(f"{x}_dev") for x in FEATURES],
+    ).first()
 
     def scale(x: str) -> Column:
-        deviation = moments[f"{x}_dev"]
         # A constant column has no spread to divide by.
-        return (log[x] - moments[f"{x}_mean"]) / F.when(deviation == 0, 1.0).otherwise(deviation)
+        return (log[x] - F.lit(moments[f"{x}_mean"])) / F.lit(moments[f"{x}_dev"] or 1.0)
 
     return active.withColumns({f"{x}_scaled": scale(x) for x in FEATURES})
 

@@ -20,36 +20,23 @@ def _numbers(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
 
 
-def _summary(numbers: DataFrame) -> Column:
-    """Count, bounds and sample deviation as one struct, a scalar subquery of a single pass."""
-    return numbers.agg(
-        F.struct(
-            F.count("x").alias("n"),
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
-            F.stddev_samp("x").alias("deviation"),
-        ).alias("summary")
-    ).scalar()
-
-
-def _bounds(summary: Column) -> tuple[Column, Column]:
-    # A single value gets a range of one around it.
-    single = summary["low"] == summary["high"]
-    pad = F.when(single, 0.5).otherwise(0.0)
-    return summary["low"] - pad, summary["high"] + pad
-
-
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal-width bins between minimum and maximum, empty bins included.
 
     Bins are closed on the left, the last one on both sides. Each task sends one count per bin.
+    The bounds are looked up first, so pass a table that is cheap to read twice.
     """
     numbers = _numbers(df, column)
-    low, high = _bounds(_summary(numbers))
+    low, high = numbers.agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        low = high = float("nan")
+    if low == high:
+        # A single value gets a range of one around it.
+        low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
 
     def edge(i: Column) -> Column:
-        return i * width + low
+        return i * F.lit(width) + F.lit(low)
 
     # The division may land next to the bin whose edges enclose the value; the edges decide.
     guess = F.least(F.floor((F.col("x") - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
@@ -63,7 +50,9 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         )
         .select("bin", F.lit(1).cast("bigint").alias("one"))
     )
-    every_bin = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("one"))
+    every_bin = df.sparkSession.range(bins).select(
+        F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("one")
+    )
     return (
         placed.unionByName(every_bin)
         .groupBy("bin")
@@ -83,29 +72,35 @@ def density_curve(df: DataFrame, column: str, bins: int, points: int = DENSITY_P
 
     ``scaled`` is the density in units of the histogram with ``bins`` bins. Equal values are
     counted first; every distinct value then adds to the fixed number of points, and each task
-    sends one partial sum per point.
+    sends one partial sum per point. No curve is drawn through fewer than two distinct values.
     """
     numbers = _numbers(df, column)
-    s = _summary(numbers)
-    n = s["n"].cast("double")
-    bandwidth = s["deviation"] * F.pow(n, F.lit(-0.2))
+    n, low, high, deviation = numbers.agg(
+        F.count("x"), F.min("x"), F.max("x"), F.stddev_samp("x")
+    ).first()
+    if not deviation:
+        return df.sparkSession.range(0).selectExpr(
+            "cast(id as int) AS point", "0D AS x", "0D AS density", "0D AS scaled"
+        )
+    bandwidth = deviation * n**-0.2
+    step = (high - low) / (points - 1)
 
     def at(i: Column) -> Column:
-        return i * ((s["high"] - s["low"]) / (points - 1)) + s["low"]
+        return i * F.lit(step) + F.lit(low)
 
-    distance = F.try_divide(at(F.col("point")) - F.col("x"), bandwidth)
+    distance = (at(F.col("point")) - F.col("x")) / F.lit(bandwidth)
     return (
         numbers.groupBy("x")
         .agg(F.count("*").alias("times"))
         .select("x", "times", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
         .groupBy("point")
         .agg(F.sum(F.col("times") * F.exp(-0.5 * distance * distance)).alias("mass"))
-        .withColumn("density", F.try_divide(F.col("mass"), n * bandwidth * math.sqrt(2 * math.pi)))
+        .withColumn("density", F.col("mass") / F.lit(n * bandwidth * math.sqrt(2 * math.pi)))
         .select(
             "point",
             F.round(at(F.col("point")), 6).alias("x"),
             F.round("density", 6).alias("density"),
-            F.round(F.col("density") * n * ((s["high"] - s["low"]) / bins), 6).alias("scaled"),
+            F.round(F.col("density") * F.lit(n * ((high - low) / bins)), 6).alias("scaled"),
         )
         .orderBy("point")
     )

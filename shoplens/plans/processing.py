@@ -30,12 +30,11 @@ def unique_transactions(transactions: DataFrame, order: list[str] = INPUT_ORDER)
     return keep_first(transactions, ["transaction_id"], order).select(TRANSACTIONS_RAW.fieldNames())
 
 
-def clean_customers(
-    customers: DataFrame, store: StageStore, order: list[str] = INPUT_ORDER, small_rows: int = SMALL_ROWS
-) -> DataFrame:
-    """One row per customer with gaps filled: medians for age and income, 3 for satisfaction."""
-    # Written once: the medians and the result read it, without repeating the de-duplication.
-    unique = store.scratch("unique-customers", unique_customers(customers, order))
+def fill_customers(unique: DataFrame, store: StageStore, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """Gaps of unique customers filled: medians for age and income, 3 for satisfaction.
+
+    The medians are looked up first, so pass a written table.
+    """
     filled = {
         "age": median_fill(unique, "age", "customer_id", store, small_rows),
         "annual_income": median_fill(unique, "annual_income", "customer_id", store, small_rows),
@@ -44,6 +43,13 @@ def clean_customers(
     return unique.select([filled.get(name, F.col(name)) for name in CUSTOMERS_CLEAN.fieldNames()])
 
 
+def clean_customers(
+    customers: DataFrame, store: StageStore, order: list[str] = INPUT_ORDER, small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """One row per customer with gaps filled."""
+    return fill_customers(store.scratch("unique-customers", unique_customers(customers, order)), store, small_rows)
+
+
 def enrich_transactions(transactions: DataFrame) -> DataFrame:
     """Add net revenue and calendar features to unique transactions, 16 columns."""
     features = {

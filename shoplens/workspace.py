@@ -7,7 +7,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators.clustering import nearest_centre
-from shoplens.plans.processing import clean_customers, customer_profiles, enrich_transactions
+from shoplens.plans.processing import (
+    customer_profiles,
+    enrich_transactions,
+    fill_customers,
+    unique_customers,
+)
 from shoplens.plans.segmentation import segment
 from shoplens.sources import star_schema
 from shoplens.sources.stages import StageStore
@@ -33,9 +38,12 @@ class Workspace:
     def unique_transactions(self) -> DataFrame:
         return star_schema.unique_transactions(self.spark, self.folder)
 
-    def customers_clean(self) -> DataFrame:
+    def unique_customers(self) -> DataFrame:
         # The keys of the star schema have no copies; the order only has to name an existing column.
-        return clean_customers(self.raw_customers(), self.store, order=["join_date"])
+        return self.store.table("unique_customers", lambda: unique_customers(self.raw_customers(), ["join_date"]))
+
+    def customers_clean(self) -> DataFrame:
+        return fill_customers(self.unique_customers(), self.store)
 
     def transactions(self) -> DataFrame:
         return self.store.table(
