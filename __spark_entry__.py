@@ -59,6 +59,11 @@ def _money_as_double(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("double") for name in decimals})
 
 
+def _box_rounded(df: DataFrame) -> DataFrame:
+    # Engines interpolate quartiles with a different last digit.
+    return df.withColumns({c: F.round(c, 6) for c in ["q1", "median", "q3", "whisker_low", "whisker_high"]})
+
+
 # Cleaning, features and profiles.
 
 
@@ -163,13 +168,12 @@ def table_profile(w: Workspace) -> DataFrame:
 
 def spend_by_satisfaction_box(w: Workspace) -> DataFrame:
     spend = purchasers_spend(w.customers(), w.transactions(), w.store)
-    return box_statistics(spend, "satisfaction_score", "total_spend", "customer_id", w.store)
+    return _box_rounded(box_statistics(spend, "satisfaction_score", "total_spend", "customer_id", w.store))
 
 
 def dashboard_spend_by_satisfaction(w: Workspace) -> DataFrame:
-    return spend_by_satisfaction(
-        w.store.scratch("chosen", filtered_customers(w.transactions(), w.profiles(), CHOICE)), w.store
-    )
+    chosen = w.store.scratch("chosen", filtered_customers(w.transactions(), w.profiles(), CHOICE))
+    return _box_rounded(spend_by_satisfaction(chosen, w.store))
 
 
 # Stage tables.

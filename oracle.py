@@ -260,9 +260,9 @@ reached AS (
   SELECT spend.*, q, total_spend BETWEEN q[1] - 1.5 * (q[3] - q[1]) AND q[3] + 1.5 * (q[3] - q[1]) AS inside
   FROM spend JOIN boxes USING (satisfaction_score))
 SELECT satisfaction_score, count(*) AS customers, min(total_spend) AS lowest,
-       least(min(total_spend) FILTER (inside), any_value(q[1])) AS whisker_low,
-       any_value(q[1]) AS q1, any_value(q[2]) AS median, any_value(q[3]) AS q3,
-       greatest(max(total_spend) FILTER (inside), any_value(q[3])) AS whisker_high,
+       round(least(min(total_spend) FILTER (inside), any_value(q[1])), 6) AS whisker_low,
+       round(any_value(q[1]), 6) AS q1, round(any_value(q[2]), 6) AS median, round(any_value(q[3]), 6) AS q3,
+       round(greatest(max(total_spend) FILTER (inside), any_value(q[3])), 6) AS whisker_high,
        max(total_spend) AS highest, count(*) FILTER (NOT inside) AS outliers
 FROM reached GROUP BY satisfaction_score"""
 

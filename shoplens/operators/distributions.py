@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoplens.operators.order_stats import SMALL_ROWS, grouped_quantiles
+from shoplens.operators.order_stats import SMALL_ROWS, grouped_quantiles, small_side
 from shoplens.sources.stages import StageStore
 
 # Fixed values of the charts.
@@ -115,8 +115,8 @@ def box_statistics(
     the box itself.
     """
     shares = [0.25, 0.5, 0.75]
-    # Read back from a file of one line per group, whose size decides on broadcasting it.
-    boxes = grouped_quantiles(df, by, value, key, shares, store, small_rows).select(
+    quartiles = small_side(grouped_quantiles(df, by, value, key, shares, store, small_rows))
+    boxes = quartiles.select(
         by, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])]
     )
     x = F.col(value)

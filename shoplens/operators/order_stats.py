@@ -23,6 +23,15 @@ _ROW_MASK = (1 << _ROW_BITS) - 1
 SMALL_ROWS = 500_000
 
 
+# Up to this many lines a written table is sent to every task; beyond, Spark picks the join.
+BROADCAST_ROWS = 10_000
+
+
+def small_side(written: DataFrame) -> DataFrame:
+    """The table marked for broadcasting if its counted lines are few; counting reads no column."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 class SortedRows:
     """Rows in a total order, addressable by their position from 0."""
 
@@ -155,7 +164,7 @@ def grouped_quantiles(
             "quantiles", rows.groupBy(by).agg(F.percentile(value, wanted).alias("quantiles"))
         )
     numbered = SortedRows(rows, [by, value, key], store).positions()
-    # Written, so that Spark sees the size of this one-line-per-group table and can broadcast it.
+    # Two lines per group and share.
     targets = store.scratch(
         "positions",
         numbered.groupBy(by)
@@ -176,7 +185,7 @@ def grouped_quantiles(
         ),
     )
     found = (
-        numbered.join(targets, "_pos")
+        numbered.join(small_side(targets), "_pos")
         .groupBy(by, "_i")
         .agg(
             F.when(F.min(value) == F.max(value), F.min(value))
