@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import ORACLES  # noqa: E402
-from shoplens.operators.clustering import SCALED, kmeans_clusters, nearest_centre, scaled_features  # noqa: E402
+from shoplens.operators.clustering import (  # noqa: E402
+    SCALED,
+    kmeans_clusters,
+    name_clusters,
+    nearest_centre,
+    scaled_features,
+)
 from shoplens.operators.distributions import (  # noqa: E402
     DASHBOARD_BINS,
     NOTEBOOK_BINS,
@@ -122,6 +128,11 @@ def kmeans_assign_fixed(w: Workspace) -> DataFrame:
     )
 
 
+def cluster_medians(w: Workspace) -> DataFrame:
+    features = scaled_features(purchasers(w.profiles()))
+    return name_clusters(nearest_centre(features, TYPICAL_CENTRES), w.store)
+
+
 def kmeans_fitted(w: Workspace) -> DataFrame:
     features = scaled_features(purchasers(w.profiles()))
     return kmeans_clusters(features, w.store).select("customer_id", "kmeans_cluster")
@@ -167,7 +178,7 @@ def table_profile(w: Workspace) -> DataFrame:
 
 
 def spend_by_satisfaction_box(w: Workspace) -> DataFrame:
-    spend = purchasers_spend(w.customers(), w.transactions(), w.store)
+    spend = purchasers_spend(w.unique_customers(), w.transactions(), w.store)
     return _box_rounded(box_statistics(spend, "satisfaction_score", "total_spend", "customer_id", w.store))
 
 
@@ -216,6 +227,7 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "purchase_rank": purchase_rank,
     "kmeans_features": kmeans_features,
     "kmeans_assign_fixed": kmeans_assign_fixed,
+    "cluster_medians": cluster_medians,
     "kmeans_clusters": kmeans_fitted,
     "segmented_customers": Workspace.segmented,
     "segmented_customers_fixed": Workspace.segmented_by_centres,
@@ -237,7 +249,7 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "cluster_profile": lambda w: reports.cluster_profile(w.segmented_by_centres()),
     "cluster_profile_formatted": lambda w: reports.cluster_profile_formatted(w.segmented_by_centres()),
     "cluster_scatter": lambda w: reports.cluster_scatter(w.segmented_by_centres()),
-    "satisfaction_distribution": lambda w: reports.satisfaction_distribution(w.customers()),
+    "satisfaction_distribution": lambda w: reports.satisfaction_distribution(w.unique_customers()),
     "churn_by_category": lambda w: reports.churn_by_category(w.profiles()),
     "churn_by_location": lambda w: reports.churn_by_location(w.profiles()),
     "location_distribution": lambda w: reports.location_distribution(w.unique_customers()),
@@ -246,6 +258,7 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "duplicate_profile": duplicate_profile,
     "table_profile": table_profile,
     "preview_customers": lambda w: reports.preview(w.raw_customers(), "customer_id"),
+    "preview_transactions": lambda w: _money_as_double(reports.preview(w.transactions(), "transaction_id")),
     "preview_segmented": lambda w: reports.preview(w.segmented_by_centres(), "customer_id"),
     "age_histogram": lambda w: histogram(w.unique_customers(), "age", NOTEBOOK_BINS),
     "income_histogram": lambda w: histogram(w.unique_customers(), "annual_income", NOTEBOOK_BINS),
@@ -263,9 +276,12 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "dashboard_payment_split": lambda w: reports.payment_split(_slice(w, "payment_method")),
     "dashboard_revenue_by_location": lambda w: reports.revenue_by_location(_slice(w, attributes=("location",))),
     "dashboard_category_performance": lambda w: reports.category_performance(_slice(w, "product_category")),
+    "dashboard_category_table_formatted": lambda w: reports.category_table(_slice(w, "product_category")),
     "dashboard_top_products": lambda w: reports.top_products(_slice(w, "product_category", "product_name")),
     "dashboard_rfm_distribution": lambda w: reports.rfm_distribution(_chosen(w)),
     "dashboard_cluster_profile": lambda w: reports.cluster_profile(_chosen(w)),
+    "dashboard_cluster_profile_formatted": lambda w: reports.cluster_profile_formatted(_chosen(w)),
+    "dashboard_cluster_scatter": lambda w: reports.cluster_scatter(_chosen(w)),
     "dashboard_satisfaction": lambda w: reports.satisfaction_distribution(_chosen(w)),
     "dashboard_churn_by_category": lambda w: reports.churn_by_category(_chosen(w)),
     "dashboard_churn_by_location": lambda w: reports.churn_by_location(_chosen(w)),

@@ -307,6 +307,27 @@ def _table_profile() -> str:
     )
 
 
+def _category_shown(source: str) -> str:
+    return f"""
+SELECT product_category, '$' || format('{{:,.2f}}', revenue) AS revenue, format('{{:,}}', orders) AS orders
+FROM ({_category(source)})"""
+
+
+def _cluster_shown(source: str) -> str:
+    return f"""
+SELECT cluster_name, format('{{:,}}', customers) AS customers,
+       '$' || format('{{:,.2f}}', avg_spend) AS avg_spend, format('{{:.1f}} orders', avg_frequency) AS avg_frequency,
+       format('{{:.0f}} days ago', avg_recency) AS avg_recency, '$' || format('{{:,.0f}}', avg_income) AS avg_income,
+       format('{{:.1f}} years', avg_age) AS avg_age, format('{{:.2f}} / 5.0', avg_satisfaction) AS avg_satisfaction
+FROM ({_cluster_profile(source)})"""
+
+
+def _scatter(source: str) -> str:
+    return f"""
+SELECT customer_id, recency_days, total_transactions, total_spend, avg_order_value, cluster_name
+FROM {source} WHERE cluster_name <> 'Never Purchased'"""
+
+
 ORACLES: dict[str, str] = {
     "customers_clean": _CLEAN + "SELECT * FROM customers",
     "transactions_dedup": _CLEAN + f"SELECT {_TX_COLUMNS} FROM tx_unique",
@@ -326,15 +347,18 @@ ORACLES: dict[str, str] = {
     + """SELECT customer_id, round(recency_days_scaled, 6) AS recency_days_scaled,
        round(total_transactions_scaled, 6) AS total_transactions_scaled,
        round(total_spend_scaled, 6) AS total_spend_scaled, kmeans_cluster FROM clustered""",
+    "cluster_medians": _SEGMENT
+    + """SELECT kmeans_cluster, median(recency_days) AS median_recency, median(total_transactions) AS median_frequency,
+       median(total_spend) AS median_spend, row_number() OVER (ORDER BY median(total_spend) DESC, kmeans_cluster) AS spend_rank,
+       any_value(cluster_name) AS cluster_name
+FROM clustered JOIN named USING (kmeans_cluster) GROUP BY kmeans_cluster""",
     "segmented_customers_fixed": _SEGMENT + "SELECT * FROM segmented",
     "monthly_revenue": _CLEAN + _revenue_by("year_month", "tx"),
     "revenue_by_season": _CLEAN + _revenue_by("season", "tx"),
     "payment_split": _CLEAN + _payment("tx"),
     "revenue_by_location": _CLEAN + _by_location("tx"),
     "category_performance": _CLEAN + _category("tx"),
-    "category_table_formatted": _CLEAN
-    + f"""SELECT product_category, '$' || format('{{:,.2f}}', revenue) AS revenue, format('{{:,}}', orders) AS orders
-FROM ({_category("tx")})""",
+    "category_table_formatted": _CLEAN + _category_shown("tx"),
     "top_products": _CLEAN + _top("tx"),
     "kpi_cards": _PROFILE
     + _kpis(
@@ -351,16 +375,9 @@ UNION ALL SELECT DISTINCT 'location', location FROM customers""",
 FROM segmented GROUP BY rfm_segment""",
     "cluster_distribution": _SEGMENT + _count("cluster_name", "segmented"),
     "cluster_profile": _SEGMENT + _cluster_profile("segmented"),
-    "cluster_profile_formatted": _SEGMENT
-    + f"""SELECT cluster_name, format('{{:,}}', customers) AS customers,
-       '$' || format('{{:,.2f}}', avg_spend) AS avg_spend, format('{{:.1f}} orders', avg_frequency) AS avg_frequency,
-       format('{{:.0f}} days ago', avg_recency) AS avg_recency, '$' || format('{{:,.0f}}', avg_income) AS avg_income,
-       format('{{:.1f}} years', avg_age) AS avg_age, format('{{:.2f}} / 5.0', avg_satisfaction) AS avg_satisfaction
-FROM ({_cluster_profile("segmented")})""",
-    "cluster_scatter": _SEGMENT
-    + """SELECT customer_id, recency_days, total_transactions, total_spend, avg_order_value, cluster_name
-FROM segmented WHERE cluster_name <> 'Never Purchased'""",
-    "satisfaction_distribution": _CLEAN + _count("satisfaction_score", "customers"),
+    "cluster_profile_formatted": _SEGMENT + _cluster_shown("segmented"),
+    "cluster_scatter": _SEGMENT + _scatter("segmented"),
+    "satisfaction_distribution": _CLEAN + _count("satisfaction_score", "customers_unique WHERE satisfaction_score IS NOT NULL"),
     "churn_by_category": _PROFILE + _churn("preferred_category", "profile"),
     "churn_by_location": _PROFILE + _churn("location", "profile"),
     "location_distribution": _CLEAN + _count("location", "customers_unique"),
@@ -375,13 +392,15 @@ FROM (SELECT gender, count(*) AS customers, count(*) / sum(count(*)) OVER () * 1
 UNION ALL SELECT 'transactions', 'transaction_id', count(*), count(*) - count(DISTINCT transaction_id) FROM lines""",
     "table_profile": _CLEAN + _table_profile(),
     "preview_customers": _CLEAN + "SELECT * FROM customers_raw ORDER BY customer_id LIMIT 5",
+    "preview_transactions": _CLEAN + f"SELECT {_TX_COLUMNS}, {_TX_FEATURES} FROM tx ORDER BY transaction_id LIMIT 5",
     "preview_segmented": _SEGMENT + "SELECT * FROM segmented ORDER BY customer_id LIMIT 5",
     "age_histogram": _CLEAN + _histogram("age", "customers_unique", 20),
     "income_histogram": _CLEAN + _histogram("annual_income", "customers_unique", 20),
     "age_kde": _CLEAN + _density("age", "customers_unique", 20),
     "income_kde": _CLEAN + _density("annual_income", "customers_unique", 20),
     "spend_by_satisfaction_box": _PROFILE
-    + _box("SELECT satisfaction_score, total_spend FROM profile WHERE customer_id IN (SELECT customer_id FROM tx)"),
+    + _box("""SELECT satisfaction_score, total_spend FROM metrics JOIN customers_unique USING (customer_id)
+  WHERE satisfaction_score IS NOT NULL"""),
     "filtered_transactions": _CLEAN + _CHOSEN + f"SELECT {_TX_COLUMNS}, {_TX_FEATURES} FROM chosen_tx",
     "filtered_customers": _PROFILE
     + _CHOSEN
@@ -399,9 +418,12 @@ FROM ({_kpis("chosen_tx", "profile WHERE customer_id IN (SELECT customer_id FROM
     "dashboard_payment_split": _CLEAN + _CHOSEN + _payment("chosen_tx"),
     "dashboard_revenue_by_location": _CLEAN + _CHOSEN + _by_location("chosen_tx"),
     "dashboard_category_performance": _CLEAN + _CHOSEN + _category("chosen_tx"),
+    "dashboard_category_table_formatted": _CLEAN + _CHOSEN + _category_shown("chosen_tx"),
     "dashboard_top_products": _CLEAN + _CHOSEN + _top("chosen_tx"),
     "dashboard_rfm_distribution": _SEGMENT + _CHOSEN_SEGMENTED + _count("rfm_segment", "chosen"),
     "dashboard_cluster_profile": _SEGMENT + _CHOSEN_SEGMENTED + _cluster_profile("chosen"),
+    "dashboard_cluster_profile_formatted": _SEGMENT + _CHOSEN_SEGMENTED + _cluster_shown("chosen"),
+    "dashboard_cluster_scatter": _SEGMENT + _CHOSEN_SEGMENTED + _scatter("chosen"),
     "dashboard_satisfaction": _SEGMENT + _CHOSEN_SEGMENTED + _count("satisfaction_score", "chosen"),
     "dashboard_churn_by_category": _SEGMENT + _CHOSEN_SEGMENTED + _churn("preferred_category", "chosen"),
     "dashboard_churn_by_location": _SEGMENT + _CHOSEN_SEGMENTED + _churn("location", "chosen"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,11 +25,16 @@ def rfm_scores(profiles: DataFrame, store: StageStore, strict: bool = False) ->
     one projection. Pass written profiles, as the look-ups read them several times.
     """
     active = purchasers(profiles)
+    # The three look-ups do not depend on each other, so their jobs may share the executors.
+    with ThreadPoolExecutor(3) as pool:
+        recency = pool.submit(value_bins, active, "recency_days", strict=strict)
+        frequency = pool.submit(rank_bins, active, "total_transactions", "customer_id", store)
+        spend = pool.submit(rank_bins, active, "total_spend", "customer_id", store)
     scores = {
         # The most recent fifth scores 5.
-        "R_Score": F.lit(6) - value_bins(active, "recency_days", strict=strict),
-        "F_Score": rank_bins(active, "total_transactions", "customer_id", store),
-        "M_Score": rank_bins(active, "total_spend", "customer_id", store),
+        "R_Score": F.lit(6) - recency.result(),
+        "F_Score": frequency.result(),
+        "M_Score": spend.result(),
     }
     r, f, m = F.col("R_Score"), F.col("F_Score"), F.col("M_Score")
     return active.withColumns(scores).withColumns({"RFM_Score": rfm_code(r, f, m), "rfm_segment": rfm_segment(r, f, m)})
