@@ -349,7 +349,7 @@ ORACLES: dict[str, str] = {
        round(total_spend_scaled, 6) AS total_spend_scaled, kmeans_cluster FROM clustered""",
     "cluster_medians": _SEGMENT
     + """SELECT kmeans_cluster, median(recency_days) AS median_recency, median(total_transactions) AS median_frequency,
-       median(total_spend) AS median_spend, row_number() OVER (ORDER BY median(total_spend) DESC, kmeans_cluster) AS spend_rank,
+       median(total_spend) AS median_spend, CAST(row_number() OVER (ORDER BY median(total_spend) DESC, kmeans_cluster) AS INTEGER) AS spend_rank,
        any_value(cluster_name) AS cluster_name
 FROM clustered JOIN named USING (kmeans_cluster) GROUP BY kmeans_cluster""",
     "segmented_customers_fixed": _SEGMENT + "SELECT * FROM segmented",

@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shoplens.operators.order_stats import SMALL_ROWS, grouped_quantiles
+from shoplens.operators.order_stats import BUFFERED_VALUES, grouped_quantiles
 from shoplens.sources.stages import StageStore
 
 FEATURES = ["recency_days", "total_transactions", "total_spend"]
@@ -87,13 +87,13 @@ def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> D
     return features.withColumn("kmeans_cluster", F.array_min(F.array(*distances))["i"])
 
 
-def cluster_medians(clustered: DataFrame, store: StageStore, small_rows: int = SMALL_ROWS) -> DataFrame:
+def cluster_medians(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
     """Median of the three raw features per cluster.
 
     Days and order counts have few distinct values, so the percentile aggregate suits them;
     spend has as many as there are customers.
     """
-    spend = grouped_quantiles(clustered, "kmeans_cluster", "total_spend", "customer_id", [0.5], store, small_rows)
+    spend = grouped_quantiles(clustered, "kmeans_cluster", "total_spend", "customer_id", [0.5], store, buffered)
     return (
         clustered.groupBy("kmeans_cluster")
         .agg(
@@ -103,12 +103,12 @@ def cluster_medians(clustered: DataFrame, store: StageStore, small_rows: int = S
     )
 
 
-def name_clusters(clustered: DataFrame, store: StageStore, small_rows: int = SMALL_ROWS) -> DataFrame:
+def name_clusters(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
     """``kmeans_cluster``, ``cluster_name`` and the medians: one line per cluster, four at most."""
     by_spend = Window.orderBy(F.desc("median_spend"), "kmeans_cluster")
     names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
     return (
-        cluster_medians(clustered, store, small_rows)
+        cluster_medians(clustered, store, buffered)
         .withColumn("spend_rank", F.row_number().over(by_spend))
         .withColumn("cluster_name", F.element_at(names, F.col("spend_rank")))
     )

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoplens.operators.order_stats import SMALL_ROWS, grouped_quantiles, small_side
+from shoplens.operators.order_stats import BUFFERED_VALUES, grouped_quantiles, small_side
 from shoplens.sources.stages import StageStore
 
 # Fixed values of the charts.
@@ -107,7 +107,7 @@ def density_curve(df: DataFrame, column: str, bins: int, points: int = DENSITY_P
 
 
 def box_statistics(
-    df: DataFrame, by: str, value: str, key: str, store: StageStore, small_rows: int = SMALL_ROWS
+    df: DataFrame, by: str, value: str, key: str, store: StageStore, buffered: int = BUFFERED_VALUES
 ) -> DataFrame:
     """Quartiles, whiskers and number of outliers per group.
 
@@ -115,7 +115,7 @@ def box_statistics(
     the box itself.
     """
     shares = [0.25, 0.5, 0.75]
-    quartiles = small_side(grouped_quantiles(df, by, value, key, shares, store, small_rows))
+    quartiles = small_side(grouped_quantiles(df, by, value, key, shares, store, buffered))
     boxes = quartiles.select(
         by, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])]
     )

@@ -19,8 +19,9 @@ from shoplens.sources.stages import StageStore
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
-# Up to this many rows the percentile aggregate holds every value of a group in one buffer.
-SMALL_ROWS = 500_000
+# The percentile aggregate keeps one counter per distinct value of a group in one buffer; columns
+# of more distinct values take the sorted path, whatever the number of rows.
+BUFFERED_VALUES = 500_000
 
 
 # Up to this many lines a written table is sent to every task; beyond, Spark picks the join.
@@ -116,6 +117,11 @@ def value_bins(df: DataFrame, value: str, bins: int = 5, strict: bool = False) -
     return bin_number
 
 
+def _fits_buffer(rows: DataFrame, value: str, buffered: int) -> bool:
+    # An estimate will do: both paths are exact, it only keeps the buffer near the limit.
+    return rows.agg(F.approx_count_distinct(value)).first()[0] <= buffered
+
+
 def _between(share: float, n: int) -> tuple[int, int, float]:
     at = share * (n - 1)
     low = int(at)
@@ -123,11 +129,11 @@ def _between(share: float, n: int) -> tuple[int, int, float]:
 
 
 def quantile(
-    df: DataFrame, value: str, key: str, share: float, store: StageStore, small_rows: int = SMALL_ROWS
+    df: DataFrame, value: str, key: str, share: float, store: StageStore, buffered: int = BUFFERED_VALUES
 ) -> float | None:
     """Exact interpolated quantile of the non-null values of a column of any domain."""
     rows = df.select(F.col(value).cast("double").alias(value), key).where(F.col(value).isNotNull())
-    if rows.count() <= small_rows:
+    if _fits_buffer(rows, value, buffered):
         return rows.agg(F.percentile(value, F.lit(share))).first()[0]
     sorted_rows = SortedRows(rows, [value, key], store)
     place: list[float] = []
@@ -148,18 +154,18 @@ def grouped_quantiles(
     key: str,
     shares: list[float],
     store: StageStore,
-    small_rows: int = SMALL_ROWS,
+    buffered: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Exact interpolated quantiles per group: ``(by, quantiles)``, written once.
 
-    Beyond ``small_rows`` the groups are sorted one after the other in a single total order, so
-    that a group of any size spreads over many tasks, and the wanted positions are looked up.
+    Columns of many values are sorted group by group in a single total order, so that a
+    group of any size spreads over many tasks, and the wanted positions are looked up.
     """
     rows = df.select(by, F.col(value).cast("double").alias(value), key).where(
         F.col(by).isNotNull() & F.col(value).isNotNull()
     )
     wanted = F.array(*[F.lit(float(s)) for s in shares])
-    if rows.count() <= small_rows:
+    if _fits_buffer(rows, value, buffered):
         return store.scratch(
             "quantiles", rows.groupBy(by).agg(F.percentile(value, wanted).alias("quantiles"))
         )

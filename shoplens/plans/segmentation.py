@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shoplens.functions.columns import rfm_code, rfm_segment
 from shoplens.operators.clustering import kmeans_clusters, name_clusters, scaled_features
-from shoplens.operators.order_stats import SMALL_ROWS, rank_bins, value_bins
+from shoplens.operators.order_stats import BUFFERED_VALUES, rank_bins, value_bins
 from shoplens.sources.schemas import SEGMENTED
 from shoplens.sources.stages import StageStore
 
@@ -60,7 +60,7 @@ def segment(
     store: StageStore,
     assign: Callable[[DataFrame], DataFrame] | None = None,
     strict: bool = False,
-    small_rows: int = SMALL_ROWS,
+    buffered: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Every customer exactly once with scores, segment and cluster, 26 columns.
 
@@ -71,7 +71,7 @@ def segment(
     features = scaled_features(rfm_scores(profiles, store, strict))
     clustered = assign(features) if assign else kmeans_clusters(features, store)
     # Four lines at most: one per cluster.
-    names = F.broadcast(name_clusters(clustered, store, small_rows).select("kmeans_cluster", "cluster_name"))
+    names = F.broadcast(name_clusters(clustered, store, buffered).select("kmeans_cluster", "cluster_name"))
     columns = SEGMENTED.fieldNames()
     active = clustered.join(names, "kmeans_cluster").select(columns)
     return active.unionByName(never_purchased(profiles).select(columns))

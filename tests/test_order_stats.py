@@ -99,7 +99,7 @@ def test_ranks_over_several_partitions(spark, store):
 def test_quantile_paths_agree(spark, store, n, share):
     values = hot_values(n)
     df = frame(spark, values)
-    far = quantile(df, "x", "customer_id", share, store, small_rows=0)
+    far = quantile(df, "x", "customer_id", share, store, buffered=0)
     assert far == pytest.approx(np.quantile(values, share), rel=1e-12)
     assert far == quantile(df, "x", "customer_id", share, store)
 
@@ -107,7 +107,7 @@ def test_quantile_paths_agree(spark, store, n, share):
 def test_quantile_of_nothing(spark, store):
     df = spark.createDataFrame([(1, None)], "customer_id int, x double")
     assert quantile(df, "x", "customer_id", 0.5, store) is None
-    assert quantile(df, "x", "customer_id", 0.5, store, small_rows=0) is None
+    assert quantile(df, "x", "customer_id", 0.5, store, buffered=0) is None
 
 
 def test_grouped_quantiles_paths_agree(spark, store):

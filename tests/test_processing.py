@@ -70,7 +70,7 @@ def test_distributed_medians_agree(spark, store, raw_dir):
 
     raw = read_customers(spark, f"{raw_dir}/customers.csv")
     near = clean_customers(raw, store).orderBy("customer_id").collect()
-    assert clean_customers(raw, store, small_rows=0).orderBy("customer_id").collect() == near
+    assert clean_customers(raw, store, buffered=0).orderBy("customer_id").collect() == near
 
 
 def test_first_row_wins_across_files(spark, tmp_path):

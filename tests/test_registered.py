@@ -108,7 +108,7 @@ def test_distributed_path_gives_the_same_segments(spark, store):
 
     w = workspace(spark, FOLDER)
     label = partial(nearest_centre, centres=TYPICAL_CENTRES)
-    far = segment(w.profiles(), store, assign=label, small_rows=0)
+    far = segment(w.profiles(), store, assign=label, buffered=0)
     assert sorted(map(str, far.collect())) == sorted(map(str, w.segmented_by_centres().collect()))
 
 
