@@ -21,6 +21,8 @@ CLUSTER_NAMES = ["VIP Spenders", "Active Customers", "Slipping Customers", "Lost
 STARTS = 10
 SEED = 42
 MAX_ITERATIONS = 300
+# Fits at a time; each holds its own copy of the three features in memory.
+PARALLEL_FITS = 4
 # Stopping rule on unit-variance features: the squared shifts of all centres add up to 1e-4 at
 # most. Spark limits the shift of each centre, so each gets its share.
 CENTRE_SHIFT = (1e-4 / len(CLUSTER_NAMES)) ** 0.5
@@ -47,13 +49,14 @@ def scaled_features(active: DataFrame) -> DataFrame:
 def fit_best_of(vectors: DataFrame, k: int, starts: int, seed: int):
     """The fitted model of lowest cost among ``starts`` seeds, the smallest seed among equals.
 
-    Fits run side by side on one cached table, so short jobs of one fill the gaps of another.
+    A few fits run side by side, so the short jobs of one fill the gaps of another. The block
+    solver packs rows into matrices and caches those itself, so ``vectors`` need no caching.
     """
 
     def fit(offset: int):
-        return KMeans(k=k, seed=seed + offset, maxIter=MAX_ITERATIONS, tol=CENTRE_SHIFT).fit(vectors)
+        return KMeans(k=k, seed=seed + offset, maxIter=MAX_ITERATIONS, tol=CENTRE_SHIFT, solver="block").fit(vectors)
 
-    with ThreadPoolExecutor(max_workers=starts) as pool:
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
         models = list(pool.map(fit, range(starts)))
     return min(models, key=lambda model: model.summary.trainingCost)
 
@@ -70,11 +73,7 @@ def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS
     customers = staged.count()
     if customers < k:
         raise ValueError(f"{k} clusters need at least {k} purchasing customers, found {customers}")
-    vectors = assembler.transform(staged).select("features").persist()
-    try:
-        model = fit_best_of(vectors, k, starts, seed)
-    finally:
-        vectors.unpersist()
+    model = fit_best_of(assembler.transform(staged).select("features"), k, starts, seed)
     return model.setPredictionCol("kmeans_cluster").transform(assembler.transform(features)).drop("features")
 
 
