@@ -13,15 +13,16 @@ from shoplens.operators.slicing import (
 )
 from shoplens.plans import reports
 from shoplens.sources.schemas import SEGMENTED, TRANSACTIONS_CLEAN
-from shoplens.sources.stages import StageStore
+from shoplens.sources.stages import StageStore, pinned
 
 
-def load_stages(store: StageStore) -> tuple[DataFrame, DataFrame]:
-    """The two stage tables that the reports read."""
-    return (
+def load_stages(store: StageStore, pin: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The two stage tables that the reports read; ``pin`` keeps them loaded between requests."""
+    tables = (
         store.read("cleaned_transactions", TRANSACTIONS_CLEAN, "clean_and_process"),
         store.read("segmented_customers", SEGMENTED, "segment"),
     )
+    return pinned(*tables) if pin else tables
 
 
 def spend_by_satisfaction(profiles: DataFrame, store: StageStore) -> DataFrame:
@@ -40,33 +41,37 @@ def purchasers_spend(customers: DataFrame, transactions: DataFrame, store: Stage
     return store.scratch("spend", spend.join(customers.select("customer_id", "satisfaction_score"), "customer_id"))
 
 
+# Every key that a sales table of the dashboard groups by.
+SALES_KEYS = ["year_month", "payment_method", "product_category", "product_name"]
+
+
 def dashboard(
     transactions: DataFrame, segmented: DataFrame, choice: DashboardFilter, store: StageStore
 ) -> dict[str, DataFrame]:
     """Every table of the dashboard for one choice of filters.
 
-    The filtered customers are written once, since ten tables read them. Sales tables each add up
-    the slice by their own key before the join with the chosen customers.
+    The filtered customers and the filtered sales are written once, since about ten tables read
+    each of them; the facts are scanned, shuffled and joined for one request only once.
     """
     customers = store.scratch("filtered-customers", filtered_customers(transactions, segmented, choice))
-
-    def by(*keys: str, attributes: tuple[str, ...] = ()) -> DataFrame:
-        return filtered_sales(transactions, segmented, choice, keys, attributes)
-
+    lines = store.scratch(
+        "filtered-sales",
+        filtered_sales(transactions, segmented, choice, SALES_KEYS, ["location", "churn_status"]),
+    )
     return {
         "filter_options": reports.filter_options(transactions, segmented),
         "filtered_transactions": filtered_transactions(transactions, segmented, choice),
         "filtered_customers": customers,
-        "kpi_cards": reports.kpi_cards(by(attributes=("churn_status",))),
-        "kpi_cards_formatted": reports.kpi_cards_formatted(by(attributes=("churn_status",))),
-        "monthly_revenue": reports.monthly_revenue(by("year_month")),
-        "payment_split": reports.payment_split(by("payment_method")),
+        "kpi_cards": reports.kpi_cards(lines),
+        "kpi_cards_formatted": reports.kpi_cards_formatted(lines),
+        "monthly_revenue": reports.monthly_revenue(lines),
+        "payment_split": reports.payment_split(lines),
         "age_histogram": histogram(customers, "age", DASHBOARD_BINS),
         "income_histogram": histogram(customers, "annual_income", DASHBOARD_BINS),
-        "revenue_by_location": reports.revenue_by_location(by(attributes=("location",))),
-        "category_performance": reports.category_performance(by("product_category")),
-        "category_table": reports.category_table(by("product_category")),
-        "top_products": reports.top_products(by("product_category", "product_name")),
+        "revenue_by_location": reports.revenue_by_location(lines),
+        "category_performance": reports.category_performance(lines),
+        "category_table": reports.category_table(lines),
+        "top_products": reports.top_products(lines),
         "rfm_distribution": reports.rfm_distribution(customers),
         "cluster_scatter": reports.cluster_scatter(customers),
         "cluster_profile": reports.cluster_profile(customers),

@@ -74,11 +74,15 @@ def top_products(sales: DataFrame, k: int = TOP_PRODUCTS) -> DataFrame:
 
 
 def kpi_cards(sales: DataFrame) -> DataFrame:
-    """One line of key figures from sales per customer that carry ``churn_status``.
+    """One line of key figures from sales lines that carry ``customer_id`` and ``churn_status``.
 
-    One line per filtered customer comes in, so counting lines counts distinct customers.
+    One line per customer comes first, so that counting lines counts distinct customers; lines
+    that are partitioned by customer already are not moved for it.
     """
-    totals = sales.agg(
+    per_customer = sales.groupBy("customer_id", "churn_status").agg(
+        money_sum(F.col("revenue")).alias("revenue"), F.sum("rows").alias("rows")
+    )
+    totals = per_customer.agg(
         money_sum(F.col("revenue")).cast("double").alias("total_revenue"),
         F.count("*").alias("active_customers"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_orders"),
