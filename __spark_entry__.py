@@ -21,7 +21,7 @@ from shoplens.operators.clustering import (  # noqa: E402
 )
 from shoplens.operators.distributions import (  # noqa: E402
     DASHBOARD_BINS,
-    NOTEBOOK_BINS,
+    EXPLORATION_BINS,
     box_statistics,
     density_curve,
     histogram,
@@ -260,10 +260,10 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "preview_customers": lambda w: reports.preview(w.raw_customers(), "customer_id"),
     "preview_transactions": lambda w: _money_as_double(reports.preview(w.transactions(), "transaction_id")),
     "preview_segmented": lambda w: reports.preview(w.segmented_by_centres(), "customer_id"),
-    "age_histogram": lambda w: histogram(w.unique_customers(), "age", NOTEBOOK_BINS),
-    "income_histogram": lambda w: histogram(w.unique_customers(), "annual_income", NOTEBOOK_BINS),
-    "age_kde": lambda w: density_curve(w.unique_customers(), "age", NOTEBOOK_BINS),
-    "income_kde": lambda w: density_curve(w.unique_customers(), "annual_income", NOTEBOOK_BINS),
+    "age_histogram": lambda w: histogram(w.unique_customers(), "age", EXPLORATION_BINS),
+    "income_histogram": lambda w: histogram(w.unique_customers(), "annual_income", EXPLORATION_BINS),
+    "age_kde": lambda w: density_curve(w.unique_customers(), "age", EXPLORATION_BINS),
+    "income_kde": lambda w: density_curve(w.unique_customers(), "annual_income", EXPLORATION_BINS),
     "spend_by_satisfaction_box": spend_by_satisfaction_box,
     # The dashboard after a choice of filters.
     "filtered_transactions": lambda w: _money_as_double(

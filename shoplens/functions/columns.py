@@ -59,7 +59,10 @@ def rfm_code(r: Column, f: Column, m: Column) -> Column:
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
-    """Segment name of three 1-5 scores; the first rule that holds decides."""
+    """Segment name of three 1-5 scores; the first rule that holds decides.
+
+    Names and thresholds are fixed values.
+    """
     # F and M enter every rule through the weaker of the two.
     weaker = F.least(f, m)
     return (

@@ -10,7 +10,7 @@ from shoplens.operators.order_stats import BUFFERED_VALUES, grouped_quantiles, s
 from shoplens.sources.stages import StageStore
 
 # Fixed values of the charts.
-NOTEBOOK_BINS = 20
+EXPLORATION_BINS = 20
 DASHBOARD_BINS = 15
 DENSITY_POINTS = 200
 WHISKER_REACH = 1.5

@@ -1,4 +1,4 @@
-"""All report tables of one dashboard request, and the exploration tables of the notebooks."""
+"""All report tables of one dashboard request."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Report tables behind the dashboard and the notebooks.
+"""Report tables behind the dashboard and the exploration of whole tables.
 
 Sales reports take sales lines (``revenue``, ``orders``, ``rows`` and the key columns, see
 :mod:`shoplens.operators.slicing`); customer reports take segmented customers. A missing group
@@ -157,7 +157,7 @@ def gender_distribution(customers: DataFrame) -> DataFrame:
 
 def _mean_money(column: str) -> Column:
     # Spends are exact to the fourth decimal; adding them as decimals does not depend on row order.
-    total = F.sum(F.col(column).cast("decimal(18,4)"))
+    total = F.sum(F.col(column).cast("decimal(28,4)"))
     return F.try_divide(total.cast("double"), F.count(column).cast("double"))
 
 

@@ -143,6 +143,12 @@ def test_cluster_tables(customers):
     assert reports.cluster_distribution(customers).first()["cluster_name"] == "VIP Spenders"
 
 
+def test_means_of_very_large_spends(spark, customers):
+    rich = customers.withColumn("total_spend", F.lit(5e15))
+    row = reports.cluster_profile(rich).first()
+    assert row["avg_spend"] == 5e15
+
+
 def test_number_formats_round_half_to_even(spark):
     from shoplens.functions.columns import dollars, plain_number
 
