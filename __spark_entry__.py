@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import ORACLES  # noqa: E402
+from shoplens.operators import clustering  # noqa: E402
 from shoplens.operators.clustering import (  # noqa: E402
     SCALED,
     kmeans_clusters,
-    name_clusters,
     nearest_centre,
     scaled_features,
 )
@@ -130,7 +130,7 @@ def kmeans_assign_fixed(w: Workspace) -> DataFrame:
 
 def cluster_medians(w: Workspace) -> DataFrame:
     features = scaled_features(purchasers(w.profiles()))
-    return name_clusters(nearest_centre(features, TYPICAL_CENTRES), w.store)
+    return clustering.cluster_medians(nearest_centre(features, TYPICAL_CENTRES), w.store)
 
 
 def kmeans_fitted(w: Workspace) -> DataFrame:

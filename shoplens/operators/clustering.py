@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shoplens.operators.order_stats import BUFFERED_VALUES, grouped_quantiles
+from shoplens.operators.order_stats import BUFFERED_VALUES, counted_percentiles, grouped_quantiles
 from shoplens.sources.stages import StageStore
 
 FEATURES = ["recency_days", "total_transactions", "total_spend"]
@@ -86,28 +86,30 @@ def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> D
     return features.withColumn("kmeans_cluster", F.array_min(F.array(*distances))["i"])
 
 
+def name_clusters(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
+    """Median spend, ``spend_rank`` and ``cluster_name``: one line per cluster, four at most."""
+    medians = grouped_quantiles(clustered, "kmeans_cluster", "total_spend", "customer_id", [0.5], store, buffered)
+    names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
+    by_spend = Window.orderBy(F.desc("median_spend"), "kmeans_cluster")
+    return (
+        medians.select("kmeans_cluster", F.col("quantiles")[0].alias("median_spend"))
+        .withColumn("spend_rank", F.row_number().over(by_spend))
+        .withColumn("cluster_name", F.element_at(names, F.col("spend_rank")))
+    )
+
+
 def cluster_medians(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
-    """Median of the three raw features per cluster.
+    """Named clusters with the medians of all three raw features, one line per cluster.
 
-    Days and order counts have few distinct values, so the percentile aggregate suits them;
-    spend has as many as there are customers.
+    Days and order counts have few distinct values; spend has as many as there are customers.
     """
-    spend = grouped_quantiles(clustered, "kmeans_cluster", "total_spend", "customer_id", [0.5], store, buffered)
-    return (
-        clustered.groupBy("kmeans_cluster")
-        .agg(
-            F.median("recency_days").alias("median_recency"), F.median("total_transactions").alias("median_frequency")
-        )
-        .join(spend.select("kmeans_cluster", F.col("quantiles")[0].alias("median_spend")), "kmeans_cluster")
-    )
 
+    def medians(feature: str, name: str) -> DataFrame:
+        found = counted_percentiles(clustered, feature, [0.5], ["kmeans_cluster"])
+        return found.select("kmeans_cluster", F.col("quantiles")[0].alias(name))
 
-def name_clusters(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
-    """``kmeans_cluster``, ``cluster_name`` and the medians: one line per cluster, four at most."""
-    by_spend = Window.orderBy(F.desc("median_spend"), "kmeans_cluster")
-    names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
     return (
-        cluster_medians(clustered, store, buffered)
-        .withColumn("spend_rank", F.row_number().over(by_spend))
-        .withColumn("cluster_name", F.element_at(names, F.col("spend_rank")))
+        name_clusters(clustered, store, buffered)
+        .join(medians("recency_days", "median_recency"), "kmeans_cluster")
+        .join(medians("total_transactions", "median_frequency"), "kmeans_cluster")
     )

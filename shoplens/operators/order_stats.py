@@ -97,22 +97,29 @@ def rank_bins(df: DataFrame, value: str, key: str, store: StageStore, bins: int
     return bin_number
 
 
+def counted_percentiles(rows: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
+    """Exact interpolated quantiles of a column of few distinct values: ``(*by, quantiles)``.
+
+    Equal values are counted first, which spreads over all tasks; the percentile aggregate then
+    merges one line per distinct value instead of a buffer from every task that read rows.
+    """
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
+    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_times"))
+    return counted.groupBy(*by).agg(F.percentile(value, wanted, F.col("_times")).alias("quantiles"))
+
+
 def value_bins(df: DataFrame, value: str, bins: int = 5, strict: bool = False) -> Column:
     """Column expression: bin 1..``bins`` between interpolated quantiles, each closed on the right.
 
-    For columns of few distinct values, such as whole days: the percentile aggregate holds one
-    counter per distinct value. Equal neighbouring edges leave a bin empty, or raise if ``strict``.
+    For columns of few distinct values, such as whole days. Equal neighbouring edges leave a bin
+    empty, or raise if ``strict``.
     """
-    shares = [k / bins for k in range(1, bins)]
-    low, edges, high = df.agg(
-        F.min(value), F.percentile(value, F.array(*[F.lit(s) for s in shares])), F.max(value)
-    ).first()
-    if strict and low is not None:
-        ends = [float(low), *edges, float(high)]
-        if any(a == b for a, b in zip(ends, ends[1:])):
-            raise ValueError(f"quantile edges of {value} must be unique: {ends}")
+    shares = [k / bins for k in range(bins + 1)]
+    ends = counted_percentiles(df.select(value), value, shares, []).first()["quantiles"]
+    if strict and ends and any(a == b for a, b in zip(ends, ends[1:])):
+        raise ValueError(f"quantile edges of {value} must be unique: {ends}")
     bin_number = F.lit(1)
-    for edge in edges or []:
+    for edge in (ends or [])[1:-1]:
         bin_number = bin_number + (F.col(value) > F.lit(edge)).cast("int")
     return bin_number
 
@@ -134,7 +141,8 @@ def quantile(
     """Exact interpolated quantile of the non-null values of a column of any domain."""
     rows = df.select(F.col(value).cast("double").alias(value), key).where(F.col(value).isNotNull())
     if _fits_buffer(rows, value, buffered):
-        return rows.agg(F.percentile(value, F.lit(share))).first()[0]
+        found = counted_percentiles(rows, value, [share], []).first()["quantiles"]
+        return found[0] if found else None
     sorted_rows = SortedRows(rows, [value, key], store)
     place: list[float] = []
 
@@ -164,11 +172,9 @@ def grouped_quantiles(
     rows = df.select(by, F.col(value).cast("double").alias(value), key).where(
         F.col(by).isNotNull() & F.col(value).isNotNull()
     )
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
     if _fits_buffer(rows, value, buffered):
-        return store.scratch(
-            "quantiles", rows.groupBy(by).agg(F.percentile(value, wanted).alias("quantiles"))
-        )
+        return store.scratch("quantiles", counted_percentiles(rows, value, shares, [by]))
+    wanted = F.array(*[F.lit(float(s)) for s in shares])
     numbered = SortedRows(rows, [by, value, key], store).positions()
     # Two lines per group and share.
     targets = store.scratch(
