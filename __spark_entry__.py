@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracle import ORACLES  # noqa: E402
+from shoplens_oracle import ORACLES  # noqa: E402
 from shoplens.operators import clustering  # noqa: E402
 from shoplens.operators.clustering import (  # noqa: E402
     SCALED,

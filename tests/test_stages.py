@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from shoplens.__main__ import main
 from shoplens.plans.dashboard import load_stages
 from shoplens.plans.processing import clean_and_process
 from shoplens.plans.segmentation import segment
@@ -62,6 +63,48 @@ def test_raw_tables_run_through_the_whole_pipeline(spark, tmp_path, work):
         load_stages(StageStore(spark, str(tmp_path / "nothing")))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_commands(spark, tmp_path, capfd, fmt):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    customers = ["customer_id,age,gender,annual_income,location,join_date,satisfaction_score"]
+    lines = [
+        "transaction_id,customer_id,transaction_date,product_category,product_name,quantity,price,"
+        "discount_applied,payment_method"
+    ]
+    for i in range(40):
+        customers.append(f"C{i:02},{20 + i},Female,{1000 * i},Ohio,2024-01-01,{1 + i % 5}")
+        for j in range(i % 8):
+            day = f"2025-{1 + (i + j) % 12:02}-{1 + i % 28:02} 00:00:00"
+            lines.append(f"T{i}-{j},C{i:02},{day},A,a{j},{1 + j},{10 + i}.50,0.10,Cash")
+    (raw / "customers.csv").write_text("\n".join(customers) + "\n")
+    (raw / "transactions.csv").write_text("\n".join(lines) + "\n")
+    stages = str(tmp_path / "stages")
+    main(["process", str(raw), stages, "--format", fmt])
+    main(["segment", stages, "--format", fmt])
+    shown = capfd.readouterr().out
+    assert "VIP Spenders" in shown and "Never Purchased" in shown and "Inactive" in shown
+    tx, segmented = load_stages(StageStore(spark, stages, fmt), pin=True)
+    assert (tx.count(), segmented.count()) == (len(lines) - 1, 40)
+    tx.unpersist()
+    segmented.unpersist()
+
+
 def test_pinned_tables_stay_loaded(work):
     tx, customers = pinned(work.transactions(), work.profiles())
     assert tx.storageLevel.useMemory and customers.storageLevel.useDisk
