@@ -15,7 +15,7 @@ _CSV_OPTIONS = {
     "header": "true",
     "mode": "FAILFAST",
     "dateFormat": "yyyy-MM-dd",
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+    "timestampNTZFormat": "yyyy-MM-dd[ HH:mm:ss]",
 }
 
 

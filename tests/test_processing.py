@@ -22,7 +22,7 @@ C5,44,Non-binary,80000,Florida,2024-01-01,1
 """
 
 TRANSACTIONS = """transaction_id,customer_id,transaction_date,product_category,product_name,quantity,price,discount_applied,payment_method
-T1,C1,2025-01-10 00:00:00,A,a1,2,10.00,0.10,Cash
+T1,C1,2025-01-10,A,a1,2,10.00,0.10,Cash
 T2,C1,2025-07-01 00:00:00,B,b1,1,100.00,0.00,Cash
 T2,C1,2025-07-02 00:00:00,B,b1,9,100.00,0.00,Cash
 T3,C2,2025-12-31 23:00:00,A,a1,1,10.00,0.50,Card
