@@ -34,6 +34,7 @@ def main(arguments: list[str] | None = None) -> None:
         segmented = segment_files(store)
         cluster_distribution(segmented).show(truncate=False)
         rfm_distribution(segmented).show(truncate=False)
+    store.clear_scratch()
 
 
 if __name__ == "__main__":

@@ -74,6 +74,11 @@ class StageStore:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear_scratch(self) -> None:
+        """Delete the scratch tables of this store, once the results that read them are written."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("scratch"))
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 def pinned(*tables: DataFrame) -> tuple[DataFrame, ...]:
     """Keep loaded stage tables for repeated interaction, spilling to disk what does not fit."""

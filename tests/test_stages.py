@@ -43,6 +43,16 @@ def test_round_trip(spark, tmp_path, work, fmt):
         assert sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
 
 
+def test_scratch_is_cleared_and_stages_stay(spark, store):
+    store.write("kept", spark.range(3))
+    gone = store.scratch("gone", spark.range(3))
+    assert gone.count() == 3
+    store.clear_scratch()
+    assert not os.path.exists(store.path("scratch"))
+    assert spark.read.parquet(store.path("kept")).count() == 3
+    store.clear_scratch()
+
+
 def test_overwrite_replaces_the_stage(spark, store):
     store.write("t", spark.range(5))
     assert store.write("t", spark.range(2)).count() == 2
