@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens.functions.columns import (
     DEFAULT_SATISFACTION,
@@ -93,7 +93,7 @@ def category_spend(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _favourite() -> F.Column:
+def _favourite() -> Column:
     """Category of the largest spend, the alphabetically first among equals; ignores no category."""
     ranked = F.when(F.col("product_category").isNotNull(), F.struct(-F.col("spend"), F.col("product_category")))
     return F.min(ranked)["product_category"]

@@ -64,7 +64,9 @@ def category_performance(sales: DataFrame) -> DataFrame:
 def category_table(sales: DataFrame) -> DataFrame:
     """Category performance as shown: ``$1,234.56`` and ``1,234``."""
     return category_performance(sales).select(
-        "product_category", dollars(F.col("revenue")).alias("revenue"), grouped_number(F.col("orders"), 0).alias("orders")
+        "product_category",
+        dollars(F.col("revenue")).alias("revenue"),
+        grouped_number(F.col("orders"), 0).alias("orders"),
     )
 
 

@@ -48,7 +48,7 @@ def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame) -> Data
         lines.join(completed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
+            F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("transaction_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("transaction_date"),
             F.col("p_type").alias("product_category"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -69,6 +70,31 @@ def skewed(spark):
     return tx, customers
 
 
+def test_a_hot_month_is_split(spark, store):
+    """A month that holds half of all rows is written by several tasks, a small one by one task."""
+    tx, _ = skewed(spark)
+    month = F.when(F.col("customer_id") == 7, "2025-01").otherwise(F.concat(F.lit("2024-0"), F.col("customer_id") % 9))
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.shuffle.partitions": "200",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        store.write("tx", tx.withColumn("year_month", month), partition_by="year_month")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = {
+        folder: sum(f.endswith(".parquet") for f in os.listdir(f"{store.path('tx')}/{folder}"))
+        for folder in os.listdir(store.path("tx"))
+        if "=" in folder
+    }
+    assert files.pop("year_month=2025-01") > 1
+    assert set(files.values()) == {1}
+
+
 def test_a_hot_customer_is_split(spark):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
