@@ -294,18 +294,29 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
 }
 
 
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus operators; none where that subpackage is not installed."""
+    try:
+        from shoplens.llm.registry import QUERIES, SQL
+    except ModuleNotFoundError as error:
+        if error.name not in ("shoplens.llm", "shoplens.llm.registry", "corpus_pipeline"):
+            raise
+        return {}, {}
+    return QUERIES, SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator or report: ``(spark, sf_dir) -> DataFrame``."""
 
     def bound(query: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(workspace(spark, sf_dir))
 
-    return {name: bound(query) for name, query in _QUERIES.items()}
+    return {name: bound(query) for name, query in _QUERIES.items()} | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over the same tables; none where K-Means decides the result."""
-    return dict(ORACLES)
+    return ORACLES | _corpus()[1]
 
 
 def entry(spark: SparkSession) -> DataFrame:
