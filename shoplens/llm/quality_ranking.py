@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shoplens.llm.common import id_remainder, raw_texts, written
 from shoplens.llm.measures import MEASURES, measured
@@ -38,7 +38,7 @@ PAIRS_PER_BAD = 8
 CUT = 0.7
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _features(text: pa.Array) -> pa.Array:
     table = np.array([measured(raw, raw.split()) for raw in raw_texts(text)], np.float64).reshape(-1, len(MEASURES))
     m = dict(zip(MEASURES, table.T))

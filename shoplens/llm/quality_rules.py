@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shoplens.llm.common import fresh, raw_texts
 from shoplens.llm.measures import MEASURES, in_batches, measured, repeated_windows
@@ -47,7 +47,7 @@ def mask_of(rules: list[str]) -> int:
     return sum(1 << order.index(rule) for rule in set(rules))
 
 
-@F.arrow_udf("struct<" + ",".join(f"{name}:bigint" for name in COLUMNS) + ">")
+@F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in COLUMNS]))
 def _measures(text: pa.Array) -> pa.Array:
     columns: list[list[int]] = [[] for _ in MEASURES]
     windows = []
