@@ -15,7 +15,11 @@ from shoplens_oracle import ORACLES  # noqa: E402
 from shoplens.operators import clustering  # noqa: E402
 from shoplens.operators.clustering import (  # noqa: E402
     SCALED,
+    CLUSTER_NAMES,
+    fit_clusters,
     kmeans_clusters,
+    labelled,
+    name_clusters,
     nearest_centre,
     scaled_features,
 )
@@ -37,6 +41,8 @@ from shoplens.operators.slicing import (  # noqa: E402
 from shoplens.plans import processing, quality, reports  # noqa: E402
 from shoplens.plans.dashboard import purchasers_spend, spend_by_satisfaction  # noqa: E402
 from shoplens.plans.segmentation import purchasers, rfm_scores  # noqa: E402
+from shoplens.sources.readers import read_transactions  # noqa: E402
+from shoplens.sources.schemas import TRANSACTIONS_RAW  # noqa: E402
 from shoplens.sources.stages import StageStore  # noqa: E402
 from shoplens.workspace import TYPICAL_CENTRES, Workspace  # noqa: E402
 
@@ -49,17 +55,28 @@ CHOICE = DashboardFilter(
 )
 EVERYTHING = DashboardFilter()
 
-_WORKSPACES: dict[tuple[str, str], Workspace] = {}
+# Orders of this status are completed; the others leave some customers without a purchase.
+COMPLETED = "F"
 
+_WORKSPACES: dict[tuple[str, str, str | None], Workspace] = {}
 
-def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """Stages are built once per application and folder, then shared by the queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+def workspace(spark: SparkSession, sf_dir: str, status: str | None = None) -> Workspace:
+    """Stages are built once per application and folder, then shared by the queries.
+
+    They are not rebuilt when files of the folder change within an application.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, status)
     if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(spark, sf_dir)
+        _WORKSPACES[key] = Workspace(spark, sf_dir, status=status)
     return _WORKSPACES[key]
 
 
+def _completed(query: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
+    """The query over the lines of completed orders only."""
+    return lambda w: query(workspace(w.spark, w.folder, COMPLETED))
+
+
 def _money_as_double(df: DataFrame) -> DataFrame:
     decimals = [f.name for f in df.schema if f.dataType.typeName() == "decimal"]
     return df.withColumns({name: F.col(name).cast("double") for name in decimals})
@@ -138,6 +155,29 @@ def kmeans_fitted(w: Workspace) -> DataFrame:
     return kmeans_clusters(features, w.store).select("customer_id", "kmeans_cluster")
 
 
+def kmeans_invariants(w: Workspace) -> DataFrame:
+    """What holds for any fit: all purchasers labelled at their nearest centre, four clusters named by spend."""
+    features = scaled_features(purchasers(w.profiles()))
+    model = fit_clusters(features, w.store)
+    clustered = w.store.scratch("labelled", labelled(features, model).select("customer_id", "total_spend", *SCALED, "kmeans_cluster"))
+    nearest = nearest_centre(clustered.withColumnRenamed("kmeans_cluster", "label"), model.clusterCenters())
+    rows = nearest.agg(
+        F.count("*").alias("purchasing_customers"),
+        F.count_distinct("label").alias("clusters"),
+        F.count_if(F.col("label") != F.col("kmeans_cluster")).alias("not_at_nearest_centre"),
+    )
+    names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("median_spend")).alias("m"), "cluster_name"))), lambda x: x["cluster_name"])
+    named = name_clusters(clustered, w.store).agg((in_order == names).alias("names_by_spend"))
+    everyone = w.profiles().agg(F.count("*").alias("customers"))
+    return rows.withColumns({"names_by_spend": named.scalar(), "customers": everyone.scalar()})
+
+
+def segmented_scores(w: Workspace) -> DataFrame:
+    """All that the fitted clusters don't decide."""
+    return w.segmented().drop("kmeans_cluster", "cluster_name")
+
+
 # Reports on everything, and on the filtered slice.
 
 
@@ -158,28 +198,25 @@ def _kpis(w: Workspace, choice: DashboardFilter) -> DataFrame:
     return reports.kpi_cards(_slice(w, attributes=("churn_status",), choice=choice))
 
 
-def _raw_tables(w: Workspace) -> dict[str, DataFrame]:
-    return {"customers": w.raw_customers(), "transactions": w.raw_transactions()}
-
-
-def null_profile(w: Workspace) -> DataFrame:
-    return quality.null_profile(_raw_tables(w))
-
-
 def duplicate_profile(w: Workspace) -> DataFrame:
-    tables = _raw_tables(w)
     return quality.duplicate_profile(
-        {"customers": (tables["customers"], "customer_id"), "transactions": (tables["transactions"], "transaction_id")}
+        {"customers": (w.raw_customers(), "customer_id"), "transactions": (w.raw_transactions(), "transaction_id")}
     )
 
 
-def table_profile(w: Workspace) -> DataFrame:
-    return quality.table_profile(_raw_tables(w))
+def _raw_preview(w: Workspace) -> DataFrame:
+    columns = TRANSACTIONS_RAW.fieldNames()
+    return _money_as_double(w.raw_transactions().select(columns).orderBy(*columns).limit(5))
+
+
+def _chosen_histogram(column: str) -> Callable[[Workspace], DataFrame]:
+    # Written first: the histogram reads its table twice.
+    return lambda w: histogram(w.store.scratch("chosen", _chosen(w).select(column)), column, DASHBOARD_BINS)
 
 
 def spend_by_satisfaction_box(w: Workspace) -> DataFrame:
     spend = purchasers_spend(w.unique_customers(), w.transactions(), w.store)
-    return _box_rounded(box_statistics(spend, "satisfaction_score", "total_spend", "customer_id", w.store))
+    return _box_rounded(box_statistics(spend, "satisfaction_score", "total_spend", w.store))
 
 
 def dashboard_spend_by_satisfaction(w: Workspace) -> DataFrame:
@@ -189,26 +226,44 @@ def dashboard_spend_by_satisfaction(w: Workspace) -> DataFrame:
 
 # Stage tables.
 
+# How each is built, and an amount and texts that are compared.
 _STAGES = {
-    "cleaned_transactions": Workspace.transactions,
-    "customer_profiles": Workspace.profiles,
-    "segmented_customers": Workspace.segmented,
+    "cleaned_transactions": (Workspace.transactions, "revenue", ["transaction_id", "product_name", "payment_method"]),
+    "customer_profiles": (Workspace.profiles, "total_spend", ["gender", "location", "churn_status"]),
+    "segmented_customers": (Workspace.segmented, "total_spend", ["location", "RFM_Score", "rfm_segment"]),
 }
 
 
 def stage_roundtrip(w: Workspace) -> DataFrame:
-    """Shape of each stage table as read back."""
+    """Shape of each stage table as read back, the sum of its amounts and the lengths of its texts."""
     parts = []
-    for name, build in _STAGES.items():
+    for name, (build, amount, texts) in _STAGES.items():
         stage = w.store.read(name, build(w).schema)
+        length = sum([F.coalesce(F.length(t), F.lit(0)) for t in texts], F.lit(0))
         parts.append(
-            stage.agg(F.count("*").alias("row_count")).select(
-                F.lit(name).alias("stage"), "row_count", F.lit(len(stage.columns)).alias("column_count")
+            stage.agg(
+                F.count("*").alias("row_count"),
+                F.sum(F.col(amount).cast("decimal(28,8)")).cast("double").alias("amount"),
+                F.sum(length).alias("text_length"),
+            ).select(
+                F.lit(name).alias("stage"), "row_count", F.lit(len(stage.columns)).alias("column_count"), "amount", "text_length"
             )
         )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def transactions_from_csv(w: Workspace) -> DataFrame:
+    """Raw transactions written as CSV, read with the raw reader, without copies and enriched."""
+    path = f"{w.store.root}/raw-csv/transactions.csv"
+    raw = w.raw_transactions().select(TRANSACTIONS_RAW.fieldNames())
+    writer = raw.write.mode("overwrite").options(header=True, escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    writer.csv(path)
+    order = [c for c in TRANSACTIONS_RAW.fieldNames() if c != "transaction_id"]
+    key = F.col("customer_id").cast(raw.schema["customer_id"].dataType)
+    unique = processing.unique_transactions(read_transactions(w.spark, path).withColumn("customer_id", key), order)
+    return _money_as_double(processing.enrich_transactions(unique))
+
+
 def stage_roundtrip_csv(w: Workspace) -> DataFrame:
     """Profiles written as CSV and read back with the fixed schema."""
     csv = StageStore(w.spark, w.store.root + "/csv", fmt="csv")
@@ -229,8 +284,14 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "kmeans_assign_fixed": kmeans_assign_fixed,
     "cluster_medians": cluster_medians,
     "kmeans_clusters": kmeans_fitted,
+    "kmeans_invariants": kmeans_invariants,
     "segmented_customers": Workspace.segmented,
+    "segmented_scores": segmented_scores,
     "segmented_customers_fixed": Workspace.segmented_by_centres,
+    # Lines of completed orders only, which leave some customers without a purchase.
+    "customer_profile_completed": _completed(customer_profile),
+    "segmented_customers_fixed_completed": _completed(Workspace.segmented_by_centres),
+    "transactions_from_csv": transactions_from_csv,
     # Whole tables.
     "monthly_revenue": lambda w: reports.monthly_revenue(_sales(w, "year_month")),
     "revenue_by_season": lambda w: reports.revenue_by_season(_sales(w, "season")),
@@ -254,10 +315,11 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "churn_by_location": lambda w: reports.churn_by_location(w.profiles()),
     "location_distribution": lambda w: reports.location_distribution(w.unique_customers()),
     "gender_distribution": lambda w: reports.gender_distribution(w.unique_customers()),
-    "null_profile": null_profile,
+    "null_profile": lambda w: quality.null_profile(w.column_counts()),
     "duplicate_profile": duplicate_profile,
-    "table_profile": table_profile,
+    "table_profile": lambda w: quality.table_profile(w.column_counts()),
     "preview_customers": lambda w: reports.preview(w.raw_customers(), "customer_id"),
+    "preview_raw_transactions": _raw_preview,
     "preview_transactions": lambda w: _money_as_double(reports.preview(w.transactions(), "transaction_id")),
     "preview_segmented": lambda w: reports.preview(w.segmented_by_centres(), "customer_id"),
     "age_histogram": lambda w: histogram(w.unique_customers(), "age", EXPLORATION_BINS),
@@ -285,8 +347,8 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "dashboard_satisfaction": lambda w: reports.satisfaction_distribution(_chosen(w)),
     "dashboard_churn_by_category": lambda w: reports.churn_by_category(_chosen(w)),
     "dashboard_churn_by_location": lambda w: reports.churn_by_location(_chosen(w)),
-    "dashboard_age_histogram": lambda w: histogram(_chosen(w), "age", DASHBOARD_BINS),
-    "dashboard_income_histogram": lambda w: histogram(_chosen(w), "annual_income", DASHBOARD_BINS),
+    "dashboard_age_histogram": _chosen_histogram("age"),
+    "dashboard_income_histogram": _chosen_histogram("annual_income"),
     "dashboard_spend_by_satisfaction": dashboard_spend_by_satisfaction,
     # Stages.
     "stage_roundtrip": stage_roundtrip,

@@ -28,13 +28,15 @@ def main(arguments: list[str] | None = None) -> None:
 
     spark = build_session()
     store = StageStore(spark, given.stages, given.format)
-    if given.step == "process":
-        process_files(spark, given.raw, store, given.raw_format)
-    else:
-        segmented = segment_files(store)
-        cluster_distribution(segmented).show(truncate=False)
-        rfm_distribution(segmented).show(truncate=False)
-    store.clear_scratch()
+    try:
+        if given.step == "process":
+            process_files(spark, given.raw, store, given.raw_format)
+        else:
+            segmented = segment_files(store)
+            cluster_distribution(segmented).show(truncate=False)
+            rfm_distribution(segmented).show(truncate=False)
+    finally:
+        store.clear_scratch()
 
 
 if __name__ == "__main__":

@@ -12,26 +12,25 @@ CHURN_AFTER_DAYS = 180
 DEFAULT_SATISFACTION = 3
 NO_CATEGORY = "None"
 
-# Fixed month numbers of each season; the remaining months are Autumn.
-SEASONS = {"Winter": [12, 1, 2], "Spring": [3, 4, 5], "Summer": [6, 7, 8]}
-
 
 def net_revenue(price: Column, quantity: Column, discount: Column) -> Column:
-    """Price times quantity less the discount, exact to the fourth decimal; null if any part is."""
+    """Price times quantity less the discount, exact; null if any part is."""
     return (price * quantity * (F.lit(1) - discount)).cast(MONEY)
 
 
 def money_sum(amount: Column) -> Column:
     """Exact sum of a money column; 0 when there is nothing to add up."""
-    return F.coalesce(F.sum(amount), F.lit(0).cast("decimal(28,4)"))
+    return F.coalesce(F.sum(amount), F.lit(0).cast("decimal(28,8)"))
 
 
 def season(month: Column) -> Column:
     # A missing month belongs to no listed season, so it lands in the rest like months 9 to 11.
-    chain = None
-    for name, months in SEASONS.items():
-        chain = (F if chain is None else chain).when(month.isin(months), name)
-    return chain.otherwise("Autumn")
+    return (
+        F.when(month.isin(12, 1, 2), "Winter")
+        .when(month.isin(3, 4, 5), "Spring")
+        .when(month.isin(6, 7, 8), "Summer")
+        .otherwise("Autumn")
+    )
 
 
 def calendar_columns(ts: Column) -> dict[str, Column]:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shoplens.operators.order_stats import BUFFERED_VALUES, counted_percentiles, grouped_quantiles
+from shoplens.operators.order_stats import grouped_quantiles
 from shoplens.sources.stages import StageStore
 
+# Fixed values of the cluster model. Names go from the highest median spend to the lowest.
 FEATURES = ["recency_days", "total_transactions", "total_spend"]
 SCALED = [f"{name}_scaled" for name in FEATURES]
-
-# Fixed values of the cluster model. Names go from the highest median spend to the lowest.
 EPSILON = 0.001
 CLUSTER_NAMES = ["VIP Spenders", "Active Customers", "Slipping Customers", "Lost Customers"]
 STARTS = 10
@@ -57,24 +57,36 @@ def fit_best_of(vectors: DataFrame, k: int, starts: int, seed: int):
         return KMeans(k=k, seed=seed + offset, maxIter=MAX_ITERATIONS, tol=CENTRE_SHIFT, solver="block").fit(vectors)
 
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        models = list(pool.map(fit, range(starts)))
+        # Cancelling the request reaches the fits.
+        models = list(pool.map(inheritable_thread_target(fit), range(starts)))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
-def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> DataFrame:
-    """Add ``kmeans_cluster``; ids are arbitrary, only :func:`name_clusters` orders them.
+def _vectors(features: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=SCALED, outputCol="features").transform(features)
 
-    Labelling is row-local, so every other column of ``features`` passes through without a join.
-    """
+
+def fit_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> KMeansModel:
+    """The best of ``starts`` fits of four clusters to the scaled features."""
     k = len(CLUSTER_NAMES)
-    assembler = VectorAssembler(inputCols=SCALED, outputCol="features")
     # Written in customer order: the iterations read a fixed layout, whatever tasks are lost.
     staged = store.scratch("features", features.select("customer_id", *SCALED).orderBy("customer_id"))
     customers = staged.count()
     if customers < k:
         raise ValueError(f"{k} clusters need at least {k} purchasing customers, found {customers}")
-    model = fit_best_of(assembler.transform(staged).select("features"), k, starts, seed)
-    return model.setPredictionCol("kmeans_cluster").transform(assembler.transform(features)).drop("features")
+    return fit_best_of(_vectors(staged).select("features"), k, starts, seed)
+
+
+def labelled(features: DataFrame, model: KMeansModel) -> DataFrame:
+    """Add ``kmeans_cluster``; ids are arbitrary, only :func:`name_clusters` orders them.
+
+    Labelling is row-local, so every other column of ``features`` passes through without a join.
+    """
+    return model.setPredictionCol("kmeans_cluster").transform(_vectors(features)).drop("features")
+
+
+def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> DataFrame:
+    return labelled(features, fit_clusters(features, store, starts, seed))
 
 
 def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
@@ -86,9 +98,9 @@ def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> D
     return features.withColumn("kmeans_cluster", F.array_min(F.array(*distances))["i"])
 
 
-def name_clusters(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
+def name_clusters(clustered: DataFrame, store: StageStore) -> DataFrame:
     """Median spend, ``spend_rank`` and ``cluster_name``: one line per cluster, four at most."""
-    medians = grouped_quantiles(clustered, "kmeans_cluster", "total_spend", "customer_id", [0.5], store, buffered)
+    medians = grouped_quantiles(clustered, ["kmeans_cluster"], "total_spend", [0.5], store)
     names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
     by_spend = Window.orderBy(F.desc("median_spend"), "kmeans_cluster")
     return (
@@ -98,18 +110,15 @@ def name_clusters(clustered: DataFrame, store: StageStore, buffered: int = BUFFE
     )
 
 
-def cluster_medians(clustered: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
-    """Named clusters with the medians of all three raw features, one line per cluster.
-
-    Days and order counts have few distinct values; spend has as many as there are customers.
-    """
+def cluster_medians(clustered: DataFrame, store: StageStore) -> DataFrame:
+    """Named clusters with the medians of all three raw features, one line per cluster."""
 
     def medians(feature: str, name: str) -> DataFrame:
-        found = counted_percentiles(clustered, feature, [0.5], ["kmeans_cluster"])
+        found = grouped_quantiles(clustered, ["kmeans_cluster"], feature, [0.5], store)
         return found.select("kmeans_cluster", F.col("quantiles")[0].alias(name))
 
     return (
-        name_clusters(clustered, store, buffered)
+        name_clusters(clustered, store)
         .join(medians("recency_days", "median_recency"), "kmeans_cluster")
         .join(medians("total_transactions", "median_frequency"), "kmeans_cluster")
     )

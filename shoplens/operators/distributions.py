@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoplens.operators.order_stats import BUFFERED_VALUES, grouped_quantiles, small_side
+from shoplens.operators.order_stats import grouped_quantiles
 from shoplens.sources.stages import StageStore
 
 # Fixed values of the charts.
@@ -106,16 +106,14 @@ def density_curve(df: DataFrame, column: str, bins: int, points: int = DENSITY_P
     )
 
 
-def box_statistics(
-    df: DataFrame, by: str, value: str, key: str, store: StageStore, buffered: int = BUFFERED_VALUES
-) -> DataFrame:
+def box_statistics(df: DataFrame, by: str, value: str, store: StageStore) -> DataFrame:
     """Quartiles, whiskers and number of outliers per group.
 
     Whiskers reach to the farthest value within 1.5 quartile ranges of the box, and at least to
     the box itself.
     """
     shares = [0.25, 0.5, 0.75]
-    quartiles = small_side(grouped_quantiles(df, by, value, key, shares, store, buffered))
+    quartiles = grouped_quantiles(df, [by], value, shares, store)
     boxes = quartiles.select(
         by, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoplens.operators.order_stats import BUFFERED_VALUES, quantile
+from shoplens.operators.order_stats import quantile
 from shoplens.sources.stages import StageStore
 
 
@@ -13,5 +13,5 @@ def fill_int(column: str, default: float | None) -> Column:
     return F.coalesce(F.col(column), F.lit(default)).cast("int").alias(column)
 
 
-def median_fill(df: DataFrame, column: str, key: str, store: StageStore, buffered: int = BUFFERED_VALUES) -> Column:
-    return fill_int(column, quantile(df, column, key, 0.5, store, buffered))
+def median_fill(df: DataFrame, column: str, store: StageStore) -> Column:
+    return fill_int(column, quantile(df, column, 0.5, store))

@@ -1,9 +1,8 @@
 """Exact order statistics over any number of rows: ranks, quantiles and quintile bins.
 
 A window without partition keys moves all rows to one task, and the exact percentile aggregate
-keeps one counter per distinct value in one buffer. Both are fine for small or narrow domains
-only. Here rows are sorted once by range partitions, numbered inside each partition, and the
-numbered result is written, so that every later look-up agrees on the numbering.
+keeps one counter per distinct value in one buffer. Here rows, or counted values, are sorted once by
+range partitions and written, so that every later look-up agrees on the numbering.
 """
 
 from __future__ import annotations
@@ -19,20 +18,6 @@ from shoplens.sources.stages import StageStore
 _ROW_BITS = 33
 _ROW_MASK = (1 << _ROW_BITS) - 1
 
-# The percentile aggregate keeps one counter per distinct value of a group in one buffer; columns
-# of more distinct values take the sorted path, whatever the number of rows.
-BUFFERED_VALUES = 500_000
-
-
-# Up to this many lines a written table is sent to every task; beyond, Spark picks the join.
-BROADCAST_ROWS = 10_000
-
-
-def small_side(written: DataFrame) -> DataFrame:
-    """The table marked for broadcasting if its counted lines are few; counting reads no column."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
-
-
 class SortedRows:
     """Rows in a total order, addressable by their position from 0."""
 
@@ -97,117 +82,84 @@ def rank_bins(df: DataFrame, value: str, key: str, store: StageStore, bins: int
     return bin_number
 
 
-def counted_percentiles(rows: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
-    """Exact interpolated quantiles of a column of few distinct values: ``(*by, quantiles)``.
+def _between(share: Column, n: Column) -> tuple[Column, Column, Column]:
+    """Positions next to a share of ``n`` sorted rows, and how far the second one counts."""
+    at = share * (n - 1)
+    low = F.floor(at)
+    return low, F.least(low + 1, n - 1), at - low
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], store: StageStore) -> DataFrame:
+    """Exact interpolated quantiles of the non-null values per group: ``(*by, quantiles)``, written once.
 
-    Equal values are counted first, which spreads over all tasks; the percentile aggregate then
-    merges one line per distinct value instead of a buffer from every task that read rows.
+    Equal values are counted first, which spreads over all tasks. The counted values are sorted by
+    group and value in range partitions; a position is found by the rows that the partitions before
+    hold, and only the partition that has it is added up value by value.
     """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    for column in rows.columns:
+        rows = rows.where(F.col(column).isNotNull())
+    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
+    counted = store.scratch("counted", counted.orderBy(*by, "_v").withColumn("_part", F.spark_partition_id()))
+
+    # One line per group and sort partition, which a group has few of.
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        counted.groupBy(*by, "_part")
+        .agg(F.sum("_times").alias("_held"))
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_held").over(earlier), F.lit(0)),
+                "_n": F.sum("_held").over(Window.partitionBy(*by)),
+            }
+        )
+    )
+    low, high, rest = _between(F.col("_share"), F.col("_n"))
+    ends = F.array(F.struct(low.alias("_pos"), (1 - rest).alias("_weight")), F.struct(high.alias("_pos"), rest.alias("_weight")))
     wanted = F.array(*[F.lit(float(s)) for s in shares])
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_times"))
-    return counted.groupBy(*by).agg(F.percentile(value, wanted, F.col("_times")).alias("quantiles"))
+    # Two lines per group and share, each at the partition that has the position.
+    targets = (
+        parts.select("*", F.posexplode(wanted).alias("_i", "_share"))
+        .select(*by, "_part", "_before", "_held", "_i", F.inline(ends))
+        .where((F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_held")))
+        .withColumn("_within", F.col("_pos") - F.col("_before"))
+        .select(*by, "_part", "_i", "_weight", "_within")
+    )
+    targets = store.scratch("positions", targets)
+    upto = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.join(targets.select(*by, "_part").distinct(), [*by, "_part"], "left_semi").withColumn(
+        "_upto", F.sum("_times").over(upto)
+    )
+    found = (
+        reached.join(targets, [*by, "_part"])
+        .where((F.col("_within") < F.col("_upto")) & (F.col("_within") >= F.col("_upto") - F.col("_times")))
+        .groupBy(*by, "_i")
+        .agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(F.sum(F.col("_weight") * F.col("_v"))).alias("_q"))
+    )
+    quantiles = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_found"))
+    return store.scratch("quantiles", quantiles.select(*by, F.col("_found._q").alias("quantiles")))
+
 
+def quantiles(df: DataFrame, value: str, shares: list[float], store: StageStore) -> list[float] | None:
+    """Exact interpolated quantiles of the non-null values of a column; none without values."""
+    found = grouped_quantiles(df.select(F.lit(1).alias("_all"), value), ["_all"], value, shares, store).first()
+    return found["quantiles"] if found else None
 
-def value_bins(df: DataFrame, value: str, bins: int = 5, strict: bool = False) -> Column:
+
+def quantile(df: DataFrame, value: str, share: float, store: StageStore) -> float | None:
+    found = quantiles(df, value, [share], store)
+    return found[0] if found else None
+
+
+def value_bins(df: DataFrame, value: str, store: StageStore, bins: int = 5, strict: bool = False) -> Column:
     """Column expression: bin 1..``bins`` between interpolated quantiles, each closed on the right.
 
-    For columns of few distinct values, such as whole days. Equal neighbouring edges leave a bin
-    empty, or raise if ``strict``.
+    Equal neighbouring edges leave a bin empty, or raise if ``strict``.
     """
-    shares = [k / bins for k in range(bins + 1)]
-    ends = counted_percentiles(df.select(value), value, shares, []).first()["quantiles"]
+    ends = quantiles(df, value, [k / bins for k in range(bins + 1)], store)
     if strict and ends and any(a == b for a, b in zip(ends, ends[1:])):
         raise ValueError(f"quantile edges of {value} must be unique: {ends}")
     bin_number = F.lit(1)
     for edge in (ends or [])[1:-1]:
         bin_number = bin_number + (F.col(value) > F.lit(edge)).cast("int")
     return bin_number
-
-
-def _fits_buffer(rows: DataFrame, value: str, buffered: int) -> bool:
-    # An estimate will do: both paths are exact, it only keeps the buffer near the limit.
-    return rows.agg(F.approx_count_distinct(value)).first()[0] <= buffered
-
-
-def _between(share: float, n: int) -> tuple[int, int, float]:
-    at = share * (n - 1)
-    low = int(at)
-    return low, min(low + 1, n - 1), at - low
-
-
-def quantile(
-    df: DataFrame, value: str, key: str, share: float, store: StageStore, buffered: int = BUFFERED_VALUES
-) -> float | None:
-    """Exact interpolated quantile of the non-null values of a column of any domain."""
-    rows = df.select(F.col(value).cast("double").alias(value), key).where(F.col(value).isNotNull())
-    if _fits_buffer(rows, value, buffered):
-        found = counted_percentiles(rows, value, [share], []).first()["quantiles"]
-        return found[0] if found else None
-    sorted_rows = SortedRows(rows, [value, key], store)
-    place: list[float] = []
-
-    def ends(n: int) -> list[int]:
-        low, high, rest = _between(share, n)
-        place.append(rest)
-        return [low, high]
-
-    low, high = (row[value] for row in sorted_rows.pick(ends))
-    return low if low == high else (1.0 - place[0]) * low + place[0] * high
-
-
-def grouped_quantiles(
-    df: DataFrame,
-    by: str,
-    value: str,
-    key: str,
-    shares: list[float],
-    store: StageStore,
-    buffered: int = BUFFERED_VALUES,
-) -> DataFrame:
-    """Exact interpolated quantiles per group: ``(by, quantiles)``, written once.
-
-    Columns of many values are sorted group by group in a single total order, so that a
-    group of any size spreads over many tasks, and the wanted positions are looked up.
-    """
-    rows = df.select(by, F.col(value).cast("double").alias(value), key).where(
-        F.col(by).isNotNull() & F.col(value).isNotNull()
-    )
-    if _fits_buffer(rows, value, buffered):
-        return store.scratch("quantiles", counted_percentiles(rows, value, shares, [by]))
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    numbered = SortedRows(rows, [by, value, key], store).positions()
-    # Two lines per group and share.
-    targets = store.scratch(
-        "positions",
-        numbered.groupBy(by)
-        .agg(F.count("*").alias("_n"), F.min("_pos").alias("_start"))
-        .select(by, "_start", "_n", F.posexplode(wanted).alias("_i", "_share"))
-        .withColumn("_at", F.col("_share") * (F.col("_n") - 1))
-        .withColumn("_low", F.floor("_at"))
-        .withColumn("_rest", F.col("_at") - F.col("_low"))
-        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
-        .select(
-            "_i",
-            F.inline(
-                F.array(
-                    F.struct((F.col("_start") + F.col("_low")).alias("_pos"), (1 - F.col("_rest")).alias("_weight")),
-                    F.struct((F.col("_start") + F.col("_high")).alias("_pos"), F.col("_rest").alias("_weight")),
-                )
-            ),
-        ),
-    )
-    found = (
-        numbered.join(small_side(targets), "_pos")
-        .groupBy(by, "_i")
-        .agg(
-            F.when(F.min(value) == F.max(value), F.min(value))
-            .otherwise(F.sum(F.col("_weight") * F.col(value)))
-            .alias("_q")
-        )
-    )
-    return store.scratch(
-        "quantiles",
-        found.groupBy(by)
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_found"))
-        .select(by, F.col("_found._q").alias("quantiles")),
-    )

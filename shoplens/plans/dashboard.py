@@ -17,17 +17,19 @@ from shoplens.sources.stages import StageStore, pinned
 
 
 def load_stages(store: StageStore, pin: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The two stage tables that the reports read; ``pin`` keeps them loaded between requests."""
-    tables = (
-        store.read("cleaned_transactions", TRANSACTIONS_CLEAN, "clean_and_process"),
-        store.read("segmented_customers", SEGMENTED, "segment"),
-    )
-    return pinned(*tables) if pin else tables
+    """The two stage tables that the reports read.
+
+    ``pin`` keeps the customers loaded between requests; the facts stay files, of which each request
+    reads the months and columns it needs.
+    """
+    transactions = store.read("cleaned_transactions", TRANSACTIONS_CLEAN, "clean_and_process")
+    customers = store.read("segmented_customers", SEGMENTED, "segment")
+    return (transactions, *pinned(customers)) if pin else (transactions, customers)
 
 
 def spend_by_satisfaction(profiles: DataFrame, store: StageStore) -> DataFrame:
     """Box statistics of customers' lifetime spend per satisfaction score."""
-    return box_statistics(profiles, "satisfaction_score", "total_spend", "customer_id", store)
+    return box_statistics(profiles, "satisfaction_score", "total_spend", store)
 
 
 def purchasers_spend(customers: DataFrame, transactions: DataFrame, store: StageStore) -> DataFrame:
@@ -51,7 +53,8 @@ def dashboard(
     """Every table of the dashboard for one choice of filters.
 
     The filtered customers and the filtered sales are written once, since about ten tables read
-    each of them; the facts are scanned, shuffled and joined for one request only once.
+    each of them; the facts are scanned and joined for one request only once. The tables read
+    scratch tables of ``store``, so give a request a store of its own: ``with store.request() as own``.
     """
     customers = store.scratch("filtered-customers", filtered_customers(transactions, segmented, choice))
     lines = store.scratch(

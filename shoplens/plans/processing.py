@@ -16,7 +16,6 @@ from shoplens.functions.columns import (
 )
 from shoplens.operators.impute import fill_int, median_fill
 from shoplens.operators.keep_first import keep_first
-from shoplens.operators.order_stats import BUFFERED_VALUES
 from shoplens.sources.readers import INPUT_ORDER
 from shoplens.sources.schemas import CUSTOMERS_CLEAN, TRANSACTIONS_CLEAN, TRANSACTIONS_RAW
 from shoplens.sources.stages import StageStore
@@ -30,24 +29,22 @@ def unique_transactions(transactions: DataFrame, order: list[str] = INPUT_ORDER)
     return keep_first(transactions, ["transaction_id"], order).select(TRANSACTIONS_RAW.fieldNames())
 
 
-def fill_customers(unique: DataFrame, store: StageStore, buffered: int = BUFFERED_VALUES) -> DataFrame:
+def fill_customers(unique: DataFrame, store: StageStore) -> DataFrame:
     """Gaps of unique customers filled: medians for age and income, 3 for satisfaction.
 
     The medians are looked up first, so pass a written table.
     """
     filled = {
-        "age": median_fill(unique, "age", "customer_id", store, buffered),
-        "annual_income": median_fill(unique, "annual_income", "customer_id", store, buffered),
+        "age": median_fill(unique, "age", store),
+        "annual_income": median_fill(unique, "annual_income", store),
         "satisfaction_score": fill_int("satisfaction_score", DEFAULT_SATISFACTION),
     }
     return unique.select([filled.get(name, F.col(name)) for name in CUSTOMERS_CLEAN.fieldNames()])
 
 
-def clean_customers(
-    customers: DataFrame, store: StageStore, order: list[str] = INPUT_ORDER, buffered: int = BUFFERED_VALUES
-) -> DataFrame:
+def clean_customers(customers: DataFrame, store: StageStore, order: list[str] = INPUT_ORDER) -> DataFrame:
     """One row per customer with gaps filled."""
-    return fill_customers(store.scratch("unique-customers", unique_customers(customers, order)), store, buffered)
+    return fill_customers(store.scratch("unique-customers", unique_customers(customers, order)), store)
 
 
 def enrich_transactions(transactions: DataFrame) -> DataFrame:

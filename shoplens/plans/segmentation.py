@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from shoplens.functions.columns import rfm_code, rfm_segment
 from shoplens.operators.clustering import kmeans_clusters, name_clusters, scaled_features
-from shoplens.operators.order_stats import BUFFERED_VALUES, rank_bins, value_bins
+from shoplens.operators.order_stats import rank_bins, value_bins
 from shoplens.sources.schemas import SEGMENTED
 from shoplens.sources.stages import StageStore
 
@@ -27,9 +29,10 @@ def rfm_scores(profiles: DataFrame, store: StageStore, strict: bool = False) ->
     active = purchasers(profiles)
     # The three look-ups do not depend on each other, so their jobs may share the executors.
     with ThreadPoolExecutor(3) as pool:
-        recency = pool.submit(value_bins, active, "recency_days", strict=strict)
-        frequency = pool.submit(rank_bins, active, "total_transactions", "customer_id", store)
-        spend = pool.submit(rank_bins, active, "total_spend", "customer_id", store)
+        # Threads take over job group and scheduler pool of the request, so cancelling reaches them.
+        recency = pool.submit(inheritable_thread_target(partial(value_bins, active, "recency_days", store, strict=strict)))
+        frequency = pool.submit(inheritable_thread_target(partial(rank_bins, active, "total_transactions", "customer_id", store)))
+        spend = pool.submit(inheritable_thread_target(partial(rank_bins, active, "total_spend", "customer_id", store)))
     scores = {
         # The most recent fifth scores 5.
         "R_Score": F.lit(6) - recency.result(),
@@ -60,7 +63,6 @@ def segment(
     store: StageStore,
     assign: Callable[[DataFrame], DataFrame] | None = None,
     strict: bool = False,
-    buffered: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Every customer exactly once with scores, segment and cluster, 26 columns.
 
@@ -71,7 +73,7 @@ def segment(
     features = scaled_features(rfm_scores(profiles, store, strict))
     clustered = assign(features) if assign else kmeans_clusters(features, store)
     # Four lines at most: one per cluster.
-    names = F.broadcast(name_clusters(clustered, store, buffered).select("kmeans_cluster", "cluster_name"))
+    names = F.broadcast(name_clusters(clustered, store).select("kmeans_cluster", "cluster_name"))
     columns = SEGMENTED.fieldNames()
     active = clustered.join(names, "kmeans_cluster").select(columns)
     return active.unionByName(never_purchased(profiles).select(columns))

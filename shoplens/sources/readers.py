@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from shoplens.sources.schemas import CUSTOMERS_RAW, TRANSACTIONS_RAW
 
@@ -11,11 +11,15 @@ from shoplens.sources.schemas import CUSTOMERS_RAW, TRANSACTIONS_RAW
 # split. Comparing the three gives file order without moving all rows to one place.
 INPUT_ORDER = ["_file", "_block", "_row"]
 
-_CSV_OPTIONS = {
-    "header": "true",
-    "mode": "FAILFAST",
+# Quotes inside a field are doubled, as CSV writers do.
+_CSV_OPTIONS = {"header": "true", "mode": "FAILFAST", "quote": '"', "escape": '"'}
+# Stage tables are read back as they were written: empty text is quoted, a gap is nothing.
+_STAGE_OPTIONS = _CSV_OPTIONS | {
     "dateFormat": "yyyy-MM-dd",
-    "timestampNTZFormat": "yyyy-MM-dd[ HH:mm:ss]",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "emptyValue": "",
+    "nullValue": "\\N",
+    "multiLine": "true",
 }
 
 
@@ -25,7 +29,11 @@ def read_table(
     """Read ``path`` with a fixed schema; a missing path names the step that produces it."""
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.options(**_CSV_OPTIONS)
+        reader = reader.options(**_STAGE_OPTIONS)
+    return _loaded(reader, path, made_by)
+
+
+def _loaded(reader: DataFrameReader, path: str, made_by: str | None) -> DataFrame:
     try:
         return reader.load(path)
     except AnalysisException as error:
@@ -35,6 +43,38 @@ def read_table(
         raise FileNotFoundError(f"No data at {path}.{hint}") from error
 
 
+def exact(column: str, kind: T.DataType) -> Column:
+    """A column of any type as ``kind``; a number that would be rounded raises instead."""
+    given = F.col(column)
+    if isinstance(kind, (T.IntegerType, T.DecimalType)):
+        wide = given.cast("decimal(38,18)")
+        cast = wide.cast(kind)
+        message = F.concat(F.lit(f"{column} does not fit {kind.simpleString()}: "), given.cast("string"))
+        return F.when(wide == cast.cast("decimal(38,18)"), cast).when(given.isNotNull(), F.raise_error(message).cast(kind))
+    return given.cast(kind)
+
+
+def read_raw(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str, made_by: str, multi_line: bool = False
+) -> DataFrame:
+    """A raw table in the types of ``schema``, with its input order.
+
+    CSV fields are read as text and then cast: whole numbers may be printed as ``2.0``, days may have
+    a time, seconds a fraction. What cannot be cast, or only with loss, raises.
+    """
+    names = schema.fieldNames()
+    if fmt == "csv":
+        texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        reader = spark.read.schema(texts).format(fmt).options(**_CSV_OPTIONS, multiLine=str(multi_line).lower())
+    else:
+        reader = spark.read.format(fmt)
+    rows = with_input_order(_loaded(reader, path, made_by))
+    if fmt == "csv":
+        numbers = [f.name for f in schema if not isinstance(f.dataType, T.StringType)]
+        rows = rows.withColumns({name: F.nullif(F.trim(name), F.lit("")) for name in numbers})
+    return rows.select(*[exact(f.name, f.dataType).alias(f.name) for f in schema], *INPUT_ORDER)
+
+
 def with_input_order(df: DataFrame) -> DataFrame:
     """Add the :data:`INPUT_ORDER` columns to a DataFrame read straight from files."""
     return df.select(
@@ -57,11 +97,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_customers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Raw customers, 7 columns plus the input order."""
-    return nan_to_null(with_input_order(read_table(spark, path, CUSTOMERS_RAW, fmt, "the customer extract")))
+    return nan_to_null(read_raw(spark, path, CUSTOMERS_RAW, fmt, "the customer extract", multi_line))
+
 
+def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+    """Raw transactions, 9 columns plus the input order.
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw transactions, 9 columns plus the input order."""
-    return with_input_order(read_table(spark, path, TRANSACTIONS_RAW, fmt, "the transaction extract"))
+    ``multi_line`` accepts line breaks inside quoted fields; such a file cannot be split, so one task
+    reads a whole file and large inputs should come as many files.
+    """
+    return read_raw(spark, path, TRANSACTIONS_RAW, fmt, "the transaction extract", multi_line)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 4)
-PRICE = T.DecimalType(15, 2)
-DISCOUNT = T.DecimalType(4, 2)
+# A product of price, whole quantity and one less discount needs the decimals of both, so revenue is
+# exact. 18 digits are the most that Spark keeps in one long number; a value that does not fit raises.
+PRICE = T.DecimalType(14, 4)
+DISCOUNT = T.DecimalType(5, 4)
+MONEY = T.DecimalType(18, 8)
 
 
 def _struct(*columns: tuple[str, T.DataType]) -> T.StructType:

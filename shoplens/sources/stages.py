@@ -6,9 +6,11 @@ its tasks and never a result that was already written.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -20,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    # A local-cluster has executors of its own, as any cluster.
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="shoplens-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -52,7 +55,16 @@ class StageStore:
             df = df.hint("rebalance", partition_by)
         writer = df.write.mode("overwrite").format(self.fmt)
         if self.fmt == "csv":
-            writer = writer.options(header="true", timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+            # Nothing is trimmed, and empty text differs from a gap, so that text reads back as it was.
+            writer = writer.options(
+                header="true",
+                timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS",
+                escape='"',
+                emptyValue='""',
+                nullValue="\\N",
+                ignoreLeadingWhiteSpace="false",
+                ignoreTrailingWhiteSpace="false",
+            )
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.save(self.path(name))
@@ -74,10 +86,25 @@ class StageStore:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def clear_scratch(self) -> None:
         """Delete the scratch tables of this store, once the results that read them are written."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("scratch"))
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._delete(self.path("scratch"))
+
+    @contextmanager
+    def request(self) -> Iterator[StageStore]:
+        """A store for the intermediate tables of one request; they go when the block ends.
+
+        Collect or write the results inside the block. Other requests keep their tables.
+        """
+        own = StageStore(self.spark, self.path(f"request-{uuid.uuid4().hex}"), self.fmt)
+        try:
+            yield own
+        finally:
+            own._delete(own.root)
 
 
 def pinned(*tables: DataFrame) -> tuple[DataFrame, ...]:

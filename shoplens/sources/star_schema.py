@@ -1,14 +1,15 @@
 """Retail inputs derived from an order-processing star schema.
 
-A line of a completed order is a transaction; open orders are no sales yet. Attributes that the
-schema lacks follow from the keys by a rule, with gaps, so that every cleaning step has work.
+Every line of an order is a transaction; ``status`` keeps the orders of one status only. Attributes
+that the schema lacks follow from the keys by a rule, with gaps, so that every cleaning step has work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shoplens.operators.keep_first import keep_first
+from shoplens.sources.readers import exact
 from shoplens.sources.schemas import DISCOUNT, PRICE, TRANSACTIONS_RAW
 
 # Order of the copies of one transaction.
@@ -42,10 +43,12 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "lineitem").select(*LINE_KEY, *LINE_ORDER, "l_quantity", "l_discount")
 
 
-def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
-    completed = _table(spark, folder, "orders").where("o_orderstatus = 'F'")
+def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame, status: str | None) -> DataFrame:
+    orders = _table(spark, folder, "orders")
+    if status is not None:
+        orders = orders.where(F.col("o_orderstatus") == status)
     return (
-        lines.join(completed, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("transaction_id"),
@@ -53,24 +56,24 @@ def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame) -> Data
             F.col("o_orderdate").alias("transaction_date"),
             F.col("p_type").alias("product_category"),
             F.col("p_name").alias("product_name"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            F.col("p_retailprice").cast(PRICE).alias("price"),
-            F.col("l_discount").cast(DISCOUNT).alias("discount_applied"),
+            exact("l_quantity", T.IntegerType()).alias("quantity"),
+            exact("p_retailprice", PRICE).alias("price"),
+            exact("l_discount", DISCOUNT).alias("discount_applied"),
             F.col("o_orderpriority").alias("payment_method"),
         )
     )
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
+def transactions(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Raw transactions, 9 columns, with their copies."""
-    return _as_transactions(spark, folder, _lines(spark, folder))
+    return _as_transactions(spark, folder, _lines(spark, folder), status)
 
 
-def unique_transactions(spark: SparkSession, folder: str) -> DataFrame:
+def unique_transactions(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Raw transactions without copies.
 
     The key of a transaction is the key of its line, so copies go before the look-ups of order
     and product: two integers are compared instead of a text, and less is joined.
     """
     lines = keep_first(_lines(spark, folder), LINE_KEY, LINE_ORDER)
-    return _as_transactions(spark, folder, lines).select(TRANSACTIONS_RAW.fieldNames())
+    return _as_transactions(spark, folder, lines, status).select(TRANSACTIONS_RAW.fieldNames())

@@ -13,8 +13,10 @@ from shoplens.plans.processing import (
     fill_customers,
     unique_customers,
 )
+from shoplens.plans.quality import column_counts
 from shoplens.plans.segmentation import segment
 from shoplens.sources import star_schema
+from shoplens.sources.schemas import CUSTOMERS_RAW
 from shoplens.sources.stages import StageStore
 
 # Scaled recency, frequency and spend of four typical customers, for reproducible labels.
@@ -22,25 +24,39 @@ TYPICAL_CENTRES = [(-0.8, 0.9, 0.9), (0.5, 0.4, 0.4), (-0.3, -0.7, -0.7), (1.0,
 
 
 class Workspace:
-    """Stages are built when first asked for and then read, by every report, from their tables."""
+    """Stages are built when first asked for and then read, by every report, from their tables.
 
-    def __init__(self, spark: SparkSession, folder: str, store: StageStore | None = None):
+    A workspace keeps its stages for good: make a new one when the files of ``folder`` change.
+    ``status`` restricts transactions to orders of one status.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, store: StageStore | None = None, status: str | None = None):
         self.spark = spark
         self.folder = folder
         self.store = store or StageStore(spark)
+        self.status = status
 
     def raw_customers(self) -> DataFrame:
         return star_schema.customers(self.spark, self.folder)
 
     def raw_transactions(self) -> DataFrame:
-        return star_schema.transactions(self.spark, self.folder)
+        """Raw transactions, written once for the quality profiles that read them column by column."""
+        return self.store.table(
+            "raw_transactions", lambda: star_schema.transactions(self.spark, self.folder, self.status)
+        )
+
+    def column_counts(self) -> DataFrame:
+        """Rows and filled values of each raw column, from one pass per table."""
+        raw = {"customers": self.raw_customers(), "transactions": self.raw_transactions()}
+        return self.store.table("column_counts", lambda: column_counts(raw))
 
     def unique_transactions(self) -> DataFrame:
-        return star_schema.unique_transactions(self.spark, self.folder)
+        return star_schema.unique_transactions(self.spark, self.folder, self.status)
 
     def unique_customers(self) -> DataFrame:
-        # The keys of the star schema have no copies; the order only has to name an existing column.
-        return self.store.table("unique_customers", lambda: unique_customers(self.raw_customers(), ["join_date"]))
+        # The star schema has no file order: of copies the one stays that comes first by its columns.
+        order = [c for c in CUSTOMERS_RAW.fieldNames() if c != "customer_id"]
+        return self.store.table("unique_customers", lambda: unique_customers(self.raw_customers(), order))
 
     def customers_clean(self) -> DataFrame:
         return fill_customers(self.unique_customers(), self.store)

@@ -27,16 +27,15 @@ customers AS (
 lines AS (
   SELECT l_orderkey || '-' || l_linenumber AS transaction_id, o_custkey AS customer_id,
          CAST(o_orderdate AS TIMESTAMP) AS transaction_date, p_type AS product_category, p_name AS product_name,
-         CAST(trunc(l_quantity) AS INTEGER) AS quantity, CAST(p_retailprice AS DECIMAL(15,2)) AS price,
-         CAST(l_discount AS DECIMAL(4,2)) AS discount_applied, o_orderpriority AS payment_method,
+         CAST(trunc(l_quantity) AS INTEGER) AS quantity, CAST(p_retailprice AS DECIMAL(14,4)) AS price,
+         CAST(l_discount AS DECIMAL(5,4)) AS discount_applied, o_orderpriority AS payment_method,
          l_shipdate, l_partkey, l_suppkey
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE o_orderstatus = 'F'),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 tx_unique AS (
   SELECT * EXCLUDE (l_shipdate, l_partkey, l_suppkey) FROM lines
   QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY l_shipdate, l_partkey, l_suppkey) = 1),
 tx AS (
-  SELECT *, CAST(price * quantity * (1 - discount_applied) AS DECIMAL(18,4)) AS revenue,
+  SELECT *, CAST(price * quantity * (1 - discount_applied) AS DECIMAL(18,8)) AS revenue,
          CAST(year(transaction_date) AS INTEGER) AS year, CAST(month(transaction_date) AS INTEGER) AS month,
          CAST(quarter(transaction_date) AS INTEGER) AS quarter, dayname(transaction_date) AS day_of_week,
          strftime(transaction_date, '%Y-%m') AS year_month,
@@ -283,8 +282,8 @@ _RAW_TRANSACTIONS = {
     "product_category": "string",
     "product_name": "string",
     "quantity": "int",
-    "price": "decimal(15,2)",
-    "discount_applied": "decimal(4,2)",
+    "price": "decimal(14,4)",
+    "discount_applied": "decimal(5,4)",
     "payment_method": "string",
 }
 _RAW = [("customers", "customers_raw", _RAW_CUSTOMERS), ("transactions", "lines", _RAW_TRANSACTIONS)]
@@ -307,6 +306,12 @@ def _table_profile() -> str:
     )
 
 
+def _completed(sql: str) -> str:
+    """The same over the lines of completed orders only."""
+    joined = "JOIN part ON l_partkey = p_partkey"
+    return sql.replace(joined, f"{joined} WHERE o_orderstatus = 'F'", 1)
+
+
 def _category_shown(source: str) -> str:
     return f"""
 SELECT product_category, '$' || format('{{:,.2f}}', revenue) AS revenue, format('{{:,}}', orders) AS orders
@@ -353,6 +358,17 @@ ORACLES: dict[str, str] = {
        any_value(cluster_name) AS cluster_name
 FROM clustered JOIN named USING (kmeans_cluster) GROUP BY kmeans_cluster""",
     "segmented_customers_fixed": _SEGMENT + "SELECT * FROM segmented",
+    "segmented_scores": _SEGMENT + "SELECT * EXCLUDE (kmeans_cluster, cluster_name) FROM segmented",
+    "kmeans_invariants": _PROFILE
+    + """SELECT count(*) FILTER (total_transactions > 0) AS purchasing_customers, CAST(4 AS BIGINT) AS clusters,
+       CAST(0 AS BIGINT) AS not_at_nearest_centre, true AS names_by_spend, count(*) AS customers FROM profile""",
+    "customer_profile_completed": _completed(_PROFILE + "SELECT * FROM profile"),
+    "segmented_customers_fixed_completed": _completed(_SEGMENT + "SELECT * FROM segmented"),
+    "transactions_from_csv": _CLEAN.replace(
+        "ORDER BY l_shipdate, l_partkey, l_suppkey",
+        "ORDER BY customer_id, transaction_date, product_category, product_name, quantity, price, discount_applied, payment_method",
+    )
+    + f"SELECT {_TX_COLUMNS}, {_TX_FEATURES} FROM tx",
     "monthly_revenue": _CLEAN + _revenue_by("year_month", "tx"),
     "revenue_by_season": _CLEAN + _revenue_by("season", "tx"),
     "payment_split": _CLEAN + _payment("tx"),
@@ -392,6 +408,9 @@ FROM (SELECT gender, count(*) AS customers, count(*) / sum(count(*)) OVER () * 1
 UNION ALL SELECT 'transactions', 'transaction_id', count(*), count(*) - count(DISTINCT transaction_id) FROM lines""",
     "table_profile": _CLEAN + _table_profile(),
     "preview_customers": _CLEAN + "SELECT * FROM customers_raw ORDER BY customer_id LIMIT 5",
+    "preview_raw_transactions": _CLEAN
+    + f"""SELECT {_TX_COLUMNS} FROM lines ORDER BY transaction_id, customer_id, transaction_date, product_category,
+       product_name, quantity, price, discount_applied, payment_method LIMIT 5""",
     "preview_transactions": _CLEAN + f"SELECT {_TX_COLUMNS}, {_TX_FEATURES} FROM tx ORDER BY transaction_id LIMIT 5",
     "preview_segmented": _SEGMENT + "SELECT * FROM segmented ORDER BY customer_id LIMIT 5",
     "age_histogram": _CLEAN + _histogram("age", "customers_unique", 20),
@@ -432,9 +451,16 @@ FROM ({_kpis("chosen_tx", "profile WHERE customer_id IN (SELECT customer_id FROM
     "dashboard_spend_by_satisfaction": _SEGMENT
     + _CHOSEN_SEGMENTED
     + _box("SELECT satisfaction_score, total_spend FROM chosen"),
-    "stage_roundtrip": _PROFILE
-    + """SELECT 'cleaned_transactions' AS stage, count(*) AS row_count, 16 AS column_count FROM tx
-UNION ALL SELECT 'customer_profiles', count(*), 19 FROM profile
-UNION ALL SELECT 'segmented_customers', count(*), 26 FROM profile""",
+    "stage_roundtrip": _SEGMENT
+    + " UNION ALL ".join(
+        f"""SELECT '{stage}' AS stage, count(*) AS row_count, {columns} AS column_count,
+       CAST(sum(CAST({amount} AS DECIMAL(28,8))) AS DOUBLE) AS amount,
+       CAST(sum({" + ".join(f"coalesce(length({t}), 0)" for t in texts)}) AS BIGINT) AS text_length FROM {source}"""
+        for stage, columns, amount, texts, source in [
+            ("cleaned_transactions", 16, "revenue", ["transaction_id", "product_name", "payment_method"], "tx"),
+            ("customer_profiles", 19, "total_spend", ["gender", "location", "churn_status"], "profile"),
+            ("segmented_customers", 26, "total_spend", ["location", "RFM_Score", "rfm_segment"], "segmented"),
+        ]
+    ),
     "stage_roundtrip_csv": _PROFILE + "SELECT * FROM profile",
 }

@@ -46,11 +46,10 @@ def test_density(spark):
     assert density_curve(frame(spark, np.array([3.0, 3.0])), "x", 20).count() == 0
 
 
-@pytest.mark.parametrize("buffered", [0, 500_000])
-def test_box(spark, store, buffered):
+def test_box(spark, store):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"customer_id": np.arange(900), "g": rng.integers(1, 4, 900), "x": rng.lognormal(3, 1, 900)})
-    rows = box_statistics(spark.createDataFrame(pdf), "g", "x", "customer_id", store, buffered).collect()
+    rows = box_statistics(spark.createDataFrame(pdf), "g", "x", store).collect()
     assert [r["g"] for r in rows] == [1, 2, 3]
     for r in rows:
         x = pdf[pdf["g"] == r["g"]]["x"].to_numpy()

@@ -8,8 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import CHOICE, queries, workspace
+from __spark_entry__ import _QUERIES, CHOICE, queries, workspace
+from shoplens.operators.order_stats import quantile
 from shoplens.operators.slicing import DashboardFilter, filtered_sales, filtered_transactions
+from shoplens.plans.dashboard import SALES_KEYS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +20,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(_QUERIES))
 def test_no_python_worker(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas|CartesianProduct", plan)
@@ -56,6 +58,32 @@ def test_reports_read_their_columns_only(spark):
     assert all("product_name" not in s and "age" not in s for s in schemas)
 
 
+def test_one_exchange_of_the_slice(spark):
+    """Facts and customers are each moved once; nothing is added up by many keys before the join."""
+    tx, customers = workspace(spark, FOLDER).transactions(), workspace(spark, FOLDER).profiles()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = plan_of(filtered_sales(tx, customers, CHOICE, SALES_KEYS, ["location", "churn_status"]))
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert plan.count("Exchange hashpartitioning") == 2 and "HashAggregate" not in plan
+
+
+def test_no_buffer_takes_all_values(spark, store):
+    """Quantiles add equal values up in the tasks and never fill a percentile buffer."""
+    profiles = workspace(spark, FOLDER).profiles()
+    for name in ["cluster_medians", "spend_by_satisfaction_box", "rfm_scores"]:
+        assert "percentile" not in plan_of(queries()[name](spark, FOLDER))
+    tables = []
+    scratch = store.scratch
+    store.scratch = lambda label, df: (tables.append(plan_of(df)), scratch(label, df))[1]
+    quantile(profiles, "total_spend", 0.5, store)
+    assert tables and not any("percentile" in plan or "SinglePartition" in plan for plan in tables)
+
+
 def skewed(spark):
     """Half of all transactions belong to one customer."""
     tx = spark.range(0, 200_000, 1, 8).select(
@@ -110,7 +138,9 @@ def test_a_hot_customer_is_split(spark):
         kept = filtered_transactions(tx, customers, DashboardFilter())
         assert len(kept.collect()) == 200_000
         assert "skew=true" in plan_of(kept)
-        # Added up first, the customer is one line per task.
+        narrow = filtered_sales(tx, customers, DashboardFilter(), ["product_category"])
+        assert narrow.agg(F.sum("rows")).first()[0] == 200_000
+        # Without further keys the customer is added up first and leaves each task as one line.
         lines = filtered_sales(tx, customers, DashboardFilter())
         assert lines.agg(F.sum("rows")).first()[0] == 200_000
         assert re.search(r"Exchange hashpartitioning\(customer_id.*\n.*HashAggregate.*partial_sum", plan_of(lines))

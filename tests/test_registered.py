@@ -6,15 +6,16 @@ import duckdb
 import numpy as np
 import pytest
 
-from __spark_entry__ import _QUERIES, entry, oracle_sql, queries, workspace
+from __spark_entry__ import _QUERIES, COMPLETED, entry, queries, workspace
 from check import TABLES, rows_of
+from shoplens_oracle import ORACLES
 from shoplens.operators.clustering import (
     CLUSTER_NAMES,
     SCALED,
     kmeans_clusters,
     scaled_features,
 )
-from shoplens.plans.segmentation import purchasers, segment
+from shoplens.plans.segmentation import purchasers
 from shoplens.sources.schemas import SEGMENTED
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,17 +29,17 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = queries()[name](spark, FOLDER)
-    cursor = con.execute(oracle_sql()[name])
+    cursor = con.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
 
 
 def test_only_fitted_clusters_lack_sql():
-    assert set(_QUERIES) - set(oracle_sql()) == {"kmeans_clusters", "segmented_customers"}
+    assert set(_QUERIES) - set(ORACLES) == {"kmeans_clusters", "segmented_customers"}
 
 
 def test_entry(spark):
@@ -46,7 +47,7 @@ def test_entry(spark):
 
 
 def test_fitted_segments(spark):
-    w = workspace(spark, FOLDER)
+    w = workspace(spark, FOLDER, COMPLETED)
     segmented = w.segmented()
     assert segmented.columns == SEGMENTED.fieldNames()
     pdf = segmented.toPandas()
@@ -100,18 +101,6 @@ def test_too_few_customers(spark, store):
         kmeans_clusters(scaled_features(three), store)
 
 
-def test_distributed_path_gives_the_same_segments(spark, store):
-    from functools import partial
-
-    from shoplens.operators.clustering import nearest_centre
-    from shoplens.workspace import TYPICAL_CENTRES
-
-    w = workspace(spark, FOLDER)
-    label = partial(nearest_centre, centres=TYPICAL_CENTRES)
-    far = segment(w.profiles(), store, assign=label, buffered=0)
-    assert sorted(map(str, far.collect())) == sorted(map(str, w.segmented_by_centres().collect()))
-
-
 def test_revenues_add_up(spark):
     total = queries()["kpi_cards"](spark, FOLDER).first()["total_revenue"]
     for name in ["monthly_revenue", "revenue_by_season", "payment_split", "revenue_by_location", "category_performance"]:

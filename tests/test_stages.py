@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime
 
 import pytest
 
 from shoplens.__main__ import main
-from shoplens.plans.dashboard import load_stages
+from shoplens.operators.slicing import DashboardFilter
+from shoplens.plans.dashboard import dashboard, load_stages
 from shoplens.plans.processing import clean_and_process
 from shoplens.plans.segmentation import segment
 from shoplens.sources.schemas import SEGMENTED, TRANSACTIONS_CLEAN, with_customer_key
@@ -43,6 +45,27 @@ def test_round_trip(spark, tmp_path, work, fmt):
         assert sorted(map(str, back.collect())) == sorted(map(str, table.collect()))
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_awkward_text_round_trips(spark, tmp_path, fmt):
+    store = StageStore(spark, str(tmp_path / "out"), fmt)
+    values = [" lead", "trail ", "", None, 'a "quoted" word', "comma, here", "two\nlines", "back\\slash", "\\N", '"']
+    rows = [(i, v, datetime(2025, 1, 1, 10, 0, 0, 750_000 + i)) for i, v in enumerate(values) if v != "\\N" or fmt == "parquet"]
+    table = spark.createDataFrame(rows, "i int, v string, t timestamp_ntz")
+    assert sorted(map(tuple, store.write("t", table).collect())) == rows
+
+
+def test_a_request_leaves_no_folder(spark, store, work):
+    with store.request() as own:
+        tables = dashboard(work.transactions(), work.segmented_by_centres(), DashboardFilter(), own)
+        assert tables["kpi_cards"].first()["total_orders"] > 0
+        assert os.path.exists(own.root)
+    assert not os.path.exists(own.root)
+    with pytest.raises(RuntimeError), store.request() as own:
+        own.scratch("x", spark.range(3))
+        raise RuntimeError
+    assert not os.path.exists(own.root)
+
+
 def test_scratch_is_cleared_and_stages_stay(spark, store):
     store.write("kept", spark.range(3))
     gone = store.scratch("gone", spark.range(3))
@@ -73,9 +96,10 @@ def test_raw_tables_run_through_the_whole_pipeline(spark, tmp_path, work):
         load_stages(StageStore(spark, str(tmp_path / "nothing")))
 
 
-def test_a_cluster_needs_a_shared_folder():
+@pytest.mark.parametrize("name", ["spark://somewhere:7077", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(name):
     class Context:
-        master = "spark://somewhere:7077"
+        master = name
 
         def getCheckpointDir(self):
             return None
@@ -111,7 +135,8 @@ def test_commands(spark, tmp_path, capfd, fmt):
     assert "VIP Spenders" in shown and "Never Purchased" in shown and "Inactive" in shown
     tx, segmented = load_stages(StageStore(spark, stages, fmt), pin=True)
     assert (tx.count(), segmented.count()) == (len(lines) - 1, 40)
-    tx.unpersist()
+    # The facts stay files.
+    assert not tx.storageLevel.useMemory and segmented.storageLevel.useMemory
     segmented.unpersist()
 
 
