@@ -26,8 +26,9 @@ NEARLY_FULL = 8
 FAN_IN = 8
 VOCABULARY = "word_bpe_49k.json"
 END = (0).to_bytes(4, "little")
-# Words whose ids a worker remembers, some 200 MB.
-REMEMBERED = 1_000_000
+# Words whose ids a worker remembers, some 400 MB.
+REMEMBERED = 2_000_000
+WORDS_AT_ONCE = 2_000
 ROWS_AT_ONCE = 50_000
 
 _PIECE = pa.schema(
@@ -46,31 +47,80 @@ _PIECE = pa.schema(
 _ITEM = "node long, bin long, fill long, parts array<struct<bin:bigint,shift:bigint>>, up boolean"
 
 
-@cache
-def _tokenizer(path: str | None) -> tuple[object, dict[bytes, bytes]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import public_tokenizers
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of white-space separated words as little-endian 32-bit numbers, remembered by word.
 
-    return Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)), {}
+    The vocabulary never joins characters across ASCII white space, and ignores case, so each word is
+    tokenized once. A full stop or comma after an ASCII letter is a token of its own, so the word
+    before it is looked up without it. Words of letters alone have one last token each, which tells
+    them apart when many are tokenized as one text.
+    """
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.marks = {mark: self._one(mark.decode()) for mark in (b".", b",")}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _several(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(found, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return [self._one(word) for word in words]
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remember every word of ``words``."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(words.difference(known))
+        bases, tails, letters = [], [], {}
+        for word in new:
+            base, tail = word.lower(), b""
+            if not base.isalpha():
+                mark = base[-1:]
+                if mark in self.marks and (base[:-1].isalpha() or base[:-1].decode().lower().isalpha()):
+                    base, tail = base[:-1], self.marks[mark]
+                elif not base.decode().lower().isalpha():
+                    known[word] = self._one(word.decode())
+                    continue
+            if base not in known:
+                letters[base] = None
+            bases.append((word, base))
+            tails.append(tail)
+        todo = list(letters)
+        for start in range(0, len(todo), WORDS_AT_ONCE):
+            some = todo[start : start + WORDS_AT_ONCE]
+            known.update(zip(some, self._several([base.decode() for base in some])))
+        for (word, base), tail in zip(bases, tails):
+            known[word] = known[base] + tail
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text and the end id."""
+        words = [raw.split() for raw in texts]
+        self.learn(set().union(*words))
+        for own in words:
+            yield b"".join(map(self.known.__getitem__, own)) + END
 
-def token_ids(texts: list[bytes], path: str | None) -> Iterator[bytes]:
-    """Ids of each text and the end id, as little-endian 32-bit numbers.
 
-    The vocabulary never joins characters across ASCII white space, so words are tokenized once and remembered.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    words = [raw.split() for raw in texts]
-    new = list({w for own in words for w in own}.difference(known))
-    for start in range(0, len(new), 10_000):
-        part = new[start : start + 10_000]
-        for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    for own in words:
-        yield b"".join(map(known.__getitem__, own)) + END
+@cache
+def word_ids(path: str | None) -> WordIds:
+    """One for each worker, so that tasks share what it remembers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+
+    return WordIds(path or public_tokenizers.path(VOCABULARY))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +176,7 @@ def _local_packer(path: str | None, capacity: int, with_ids: bool):
             place = sum(len(x) for x in ids)
             ids.append(batch.column(0))
             for some in in_batches(raw_texts(batch.column(1))):
-                for tokens in token_ids(some, path):
+                for tokens in word_ids(path).of(some):
                     total = len(tokens) // 4
                     for piece, start in enumerate(range(0, total, capacity)):
                         own = tokens[4 * start : 4 * (start + capacity)]
