@@ -20,7 +20,7 @@ def process_files(spark: SparkSession, raw_dir: str, store: StageStore, fmt: str
     )
 
 
-def segment_files(store: StageStore) -> DataFrame:
-    """Read the stage ``customer_profiles`` and write the stage ``segmented_customers``."""
+def segment_files(store: StageStore, order_by: list[str] | None = None) -> DataFrame:
+    """Read the stage ``customer_profiles`` and write the stage ``segmented_customers``, sorted if ``order_by`` is given."""
     profiles = store.read("customer_profiles", PROFILES, "process_files")
-    return store.write("segmented_customers", segment(profiles, store))
+    return store.write("segmented_customers", segment(profiles, store), order_by=order_by)

@@ -44,15 +44,21 @@ class StageStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def write(
+        self, name: str, df: DataFrame, partition_by: str | None = None, order_by: list[str] | None = None
+    ) -> DataFrame:
         """Overwrite stage ``name`` and return it as read back.
 
+        With ``order_by`` rows are sorted over all files, in the order of the file names.
+
         With ``partition_by`` the rows are first rebalanced on that column, which gives each
         value few large files, and splits a value that holds a large share of the rows.
         """
         schema = df.schema
         if partition_by:
             df = df.hint("rebalance", partition_by)
+        if order_by:
+            df = df.orderBy(*order_by)
         writer = df.write.mode("overwrite").format(self.fmt)
         if self.fmt == "csv":
             # Nothing is trimmed, and empty text differs from a gap, so that text reads back as it was.

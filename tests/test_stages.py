@@ -76,6 +76,13 @@ def test_scratch_is_cleared_and_stages_stay(spark, store):
     store.clear_scratch()
 
 
+def test_a_stage_may_be_sorted(spark, store):
+    back = store.write("sorted", spark.range(1000, 0, -1).repartition(4), order_by=["id"])
+    files = sorted(f for f in os.listdir(store.path("sorted")) if f.endswith(".parquet"))
+    read = [r["id"] for f in files for r in spark.read.parquet(f"{store.path('sorted')}/{f}").collect()]
+    assert read == list(range(1, 1001)) and back.count() == 1000
+
+
 def test_overwrite_replaces_the_stage(spark, store):
     store.write("t", spark.range(5))
     assert store.write("t", spark.range(2)).count() == 2
