@@ -12,7 +12,7 @@ from collections.abc import Mapping
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shoplens.llm.common import fresh, text_of, written
+from shoplens.llm.common import fresh, text_of
 
 # The category of all values that a dimension's targets don't name, null among them.
 REST = "*"
@@ -149,5 +149,4 @@ def sampled(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_id",
 def mix_sources(documents: DataFrame) -> DataFrame:
     """Weight, probability and draw of every document. Null texts have no tokens, null sources and languages are REST."""
     named = [c for c in documents.columns if c in ("doc_id", "text", "source", "lang", "topic")]
-    done = calibrated(documents.select(named)).select("doc_id", "source", "lang", "mix.*")
-    return written(done, "mixture")
+    return calibrated(documents.select(named)).select("doc_id", "source", "lang", "mix.*")

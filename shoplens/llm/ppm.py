@@ -19,15 +19,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shoplens.llm.common import id_remainder, raw_texts, text_of, written
+from shoplens.llm.common import id_remainder, text_of, written
 
 ORDER = 5
 # Symbols are the bytes of UTF-8 and the end of a text; the byte before its first is not predicted.
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
 # Text that shares one set of distinct strings, and text that is worked on at once.
-CHUNK_BYTES = 64 << 20
-BLOCK_BYTES = 4 << 20
+CHUNK_BYTES = 48 << 20
+BLOCK_BYTES = 2 << 20
+# Texts of a block are numbered in this many bits beside the 48 of a string.
+TEXT_BITS = 16
 SMOOTHING = 0.1
 ROWS_AT_ONCE = 200_000
 
@@ -35,13 +37,30 @@ ROWS_AT_ONCE = 200_000
 def strings_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The ``order`` bytes before each symbol and the symbol, as one number each; and symbols per text."""
     lead, end = bytes([START]) * order, bytes([END])
-    data = np.frombuffer(b"".join(part for raw in texts for part in (lead, raw, end)), np.uint8)
-    size = len(data) - order
-    codes = np.zeros(max(size, 0), np.uint64)
-    for place in range(order + 1):
-        codes <<= np.uint64(8)
-        codes |= data[place : place + size]
-    return codes[data[order:] != START], np.array([len(raw) + 1 for raw in texts], np.int64)
+    parts = [part for raw in texts for part in (lead, raw, end)]
+    data = np.frombuffer(b"".join([*parts, bytes(7 - order)]), np.uint8)
+    size = len(data) - 7
+    # Eight bytes are read at every place as one number, of which the first are wanted.
+    codes = np.ndarray((size,), ">u8", data.data, 0, (1,)).astype(np.uint64) >> np.uint64(8 * (7 - order))
+    return codes[data[order : order + size] != START], np.array([len(raw) + 1 for raw in texts], np.int64)
+
+
+def summed_by_text(found: np.ndarray, symbols: np.ndarray, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Per text the sum of ``logp`` over its strings; ``codes`` is sorted and has all of them.
+
+    Strings are sorted together with the number of their text, so that each distinct one is looked up once.
+    """
+    keys = found << np.uint64(TEXT_BITS) | np.repeat(np.arange(len(symbols), dtype=np.uint64), symbols)
+    keys.sort()
+    strings = keys >> np.uint64(TEXT_BITS)
+    starts = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
+    distinct = strings[starts]
+    at = np.minimum(np.searchsorted(codes, distinct), len(codes) - 1)
+    if (codes[at] != distinct).any():
+        raise ValueError("a string of the text is not in the trie")
+    values = np.repeat(logp[at], np.diff(np.append(starts, len(keys))))
+    texts = (keys & np.uint64((1 << TEXT_BITS) - 1)).astype(np.int64)
+    return np.bincount(texts, values, len(symbols))
 
 
 def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +117,14 @@ def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int):
         first = TaskContext.get().partitionId() << 20
         chunk, ids, texts, held, size = _Chunk(first), [], [], [], 0
         for batch in batches:
-            for key, raw, out in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+            texts_here = batch.column(1).cast(pa.binary())
+            for key, raw, out in zip(batch.column(0).to_pylist(), texts_here, batch.column(2).to_pylist()):
+                raw = raw.as_py()
                 ids.append(key)
                 texts.append(raw.lower())
                 held.append(out)
                 size += len(raw)
-                if size >= block_bytes:
+                if size >= block_bytes or len(ids) >= 1 << TEXT_BITS:
                     chunk.add(ids, texts, held)
                     ids, texts, held, size = [], [], [], 0
                     if chunk.held_bytes >= chunk_bytes:
@@ -193,10 +214,7 @@ def _scorer(key: pa.DataType, tokens: int, types: int):
             stops = np.cumsum(np.frombuffer(block["sizes"], np.int64))
             texts = [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
             found, symbols = strings_of(texts)
-            at = np.searchsorted(codes, found)
-            if (at >= len(codes)).any() or (codes[at] != found).any():
-                raise ValueError("a string of the text is not in the trie")
-            scores = np.add.reduceat(logp[at], np.cumsum(symbols) - symbols)
+            scores = summed_by_text(found, symbols, codes, logp)
             own = [raw.split() for raw in texts]
             lengths = np.array([len(w) + 1 for w in own], np.int64)
             spots = np.fromiter((p for w in own for p in (*map(place.__getitem__, w), len(place))), np.int64, int(lengths.sum()))
