@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shoplens.llm.common import fresh, text_of
+from shoplens.llm.common import fresh, raw_texts, text_of
 
 # The category of all values that a dimension's targets don't name, null among them.
 REST = "*"
@@ -32,21 +33,21 @@ TOLERANCE = 1e-12
 MOST_ROUNDS = 1_000
 
 
-def word_count(text: str = "text") -> Column:
-    return F.regexp_count(text_of(text), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+def topic_of(raw: bytes, words: int) -> str:
+    """A coarse topic from the form of the text, for tables without a topic of their own."""
+    if b" | " in raw:
+        return "table"
+    if b"licensed under" in raw.lower():
+        return "licensed"
+    return "note" if words < 100 else "article" if words < 1000 else "long_read"
 
 
-def topic_of(text: str = "text", words: Column | None = None) -> Column:
-    """A coarse topic from the form of the text, for tables without a topic of their own."""
-    whole = text_of(text)
-    words = word_count(text) if words is None else words
-    return (
-        F.when(F.contains(whole, F.lit(" | ")), F.lit("table"))
-        .when(F.contains(F.lower(whole), F.lit("licensed under")), F.lit("licensed"))
-        .when(words < 100, F.lit("note"))
-        .when(words < 1000, F.lit("article"))
-        .otherwise(F.lit("long_read"))
-    )
+@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("topic", T.StringType())]))
+def _form(text: pa.Array) -> pa.Array:
+    raw = raw_texts(text)
+    words = [len(x.split()) for x in raw]
+    topics = [topic_of(x, n) for x, n in zip(raw, words)]
+    return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(topics, pa.string())], ["words", "topic"])
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
@@ -110,10 +111,12 @@ def calibrated(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_i
     A topic column in ``docs`` is used; otherwise the topic follows from the text. Rows of equal ids are
     drawn together. Only cell sums are shuffled; the weights are as many as the targets have cells.
     """
-    words, topic = fresh(docs, "_words"), fresh(docs, "_topic")
-    own = F.col("topic") if "topic" in docs.columns else topic_of(text, F.col(words))
-    known = docs.withColumn(words, word_count(text)).withColumn(topic, own)
-    values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}
+    form = fresh(docs, "_form")
+    # Words and topic in one pass over the text, whose result the plan uses by name and never repeats.
+    known = docs.withColumn(form, _form(F.col(text).cast("string")))
+    words = F.col(f"{form}.words")
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else F.col(f"{form}.topic")
+    values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     places = {d: _category(values[d].cast("string"), [c for c in targets[d] if c != REST]) for d in targets}
     cells = known.groupBy(*[places[d].alias(d) for d in targets]).agg(F.sum(words).alias("tokens"))
     categories, weights = cell_weights(cells, targets)
@@ -130,13 +133,13 @@ def calibrated(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_i
     parts = known.withColumn(
         info,
         F.struct(
-            F.col(topic).alias("topic"),
-            F.col(words).alias("n_tokens"),
+            topic.alias("topic"),
+            words.alias("n_tokens"),
             weight.alias("weight"),
             (weight / F.lit(largest)).alias("probability"),
             draw_of(doc_id, text).alias("draw"),
         ),
-    ).drop(words, topic)
+    ).drop(form)
     return parts.withColumn(info, F.col(info).withField("sampled", F.col(f"{info}.draw") < F.col(f"{info}.probability")))
 
 
