@@ -29,8 +29,12 @@ TARGETS: Targets = {
 }
 TEMPER = 0.85
 SEED = 20_240_607
-TOLERANCE = 1e-12
-MOST_ROUNDS = 1_000
+# Share of all tokens that the sample takes.
+KEEP = 0.7
+TOLERANCE = 1e-10
+# Cells are found to be full once raking has come this near.
+LOOSE = 1e-4
+MOST_ROUNDS = 5_000
 
 
 def topic_of(raw: bytes, words: int) -> str:
@@ -50,29 +54,40 @@ def _form(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(topics, pa.string())], ["words", "topic"])
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """``tokens`` scaled, axis by axis and round by round, until the sums over each axis meet its targets.
+def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float = 1.0) -> np.ndarray:
+    """The tokens to take of each cell: ``keep`` of all, with the target share in every category of every axis.
 
-    The sums of the result are shares. Targets of categories without tokens go to the others.
+    Cells are scaled axis by axis until all sums meet their targets. A cell that would give more than it
+    has gives all of it, and the others are raked to what is then left of the targets. Targets of
+    categories without tokens go to the others. Targets that contradict each other or ask for more than
+    there is are met as far as the last axis allows.
     """
-    cells = tokens / max(tokens.sum(), 1)
+    total = keep * tokens.sum()
+    cells, full = keep * tokens, np.zeros(tokens.shape, bool)
     for _ in range(MOST_ROUNDS):
         worst = 0.0
-        for axis, wanted in enumerate(targets):
+        for axis, share in enumerate(targets):
             others = tuple(i for i in range(cells.ndim) if i != axis)
-            sums = cells.sum(axis=others)
-            wanted = np.where(sums > 0, wanted, 0)
-            wanted = wanted / (wanted.sum() or 1)
-            factor = np.divide(wanted, sums, out=np.zeros_like(sums), where=sums > 0)
-            worst = max(worst, float(np.abs(wanted - sums).max()))
-            cells = cells * np.expand_dims(factor, others)
-        if worst < TOLERANCE:
+            share = np.where(tokens.sum(axis=others) > 0, share, 0)
+            taken = np.where(full, cells, 0).sum(axis=others)
+            free = np.where(full, 0, cells).sum(axis=others)
+            wanted = np.maximum(total * share / (share.sum() or 1) - taken, 0)
+            factor = np.divide(wanted, free, out=np.ones_like(free), where=free > 0)
+            worst = max(worst, float(np.abs(factor - 1).max()))
+            cells = np.where(full, cells, cells * np.expand_dims(factor, others))
+        over = ~full & (cells > tokens * (1 + TOLERANCE))
+        if over.any() and worst < LOOSE:
+            full |= over
+            cells = np.where(full, tokens, cells)
+        elif worst < TOLERANCE:
             break
-    return cells
+    return np.minimum(cells, tokens)
 
 
-def cell_weights(cells: DataFrame, targets: Targets, temper: float = TEMPER) -> tuple[list[list[str]], np.ndarray]:
-    """Categories per dimension, and the weight of a token in each cell.
+def cell_probabilities(
+    cells: DataFrame, targets: Targets, keep: float = KEEP, temper: float = TEMPER
+) -> tuple[list[list[str]], np.ndarray]:
+    """Categories per dimension, and the probability of a token in each cell.
 
     ``cells`` has one row per cell with its tokens. The categories are those of ``targets``, so its
     size, and that of the weights, follows from the targets alone and not from the data.
@@ -89,8 +104,8 @@ def cell_weights(cells: DataFrame, targets: Targets, temper: float = TEMPER) ->
         free = np.where(np.isnan(given), sums / max(tokens.sum(), 1), 0) ** temper * np.isnan(given)
         left = max(0.0, 1 - np.nansum(given))
         wanted.append(np.where(np.isnan(given), free * left / (free.sum() or 1), given))
-    raked = rake(tokens, wanted) * max(tokens.sum(), 1)
-    return categories, np.divide(raked, tokens, out=np.zeros_like(tokens), where=tokens > 0)
+    # Texts without words carry no tokens to rake; they are drawn like the average token.
+    return categories, np.divide(rake(tokens, wanted, keep), tokens, out=np.full_like(tokens, keep), where=tokens > 0)
 
 
 def _category(value: Column, named: list[str]) -> Column:
@@ -103,11 +118,19 @@ def draw_of(doc_id: str, text: str, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), 11).cast("double") / float(1 << 53)
 
 
-def calibrated(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_id", text: str = "text", info: str = "mix") -> DataFrame:
+def calibrated(
+    docs: DataFrame,
+    targets: Targets = TARGETS,
+    keep: float = KEEP,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    info: str = "mix",
+) -> DataFrame:
     """``docs`` with a struct column ``info``: topic, n_tokens, weight, probability, draw and sampled.
 
-    Probabilities are weights divided by the largest weight, so expected tokens of the sample meet every
-    target and no document is drawn twice. A document is sampled if its draw is below its probability.
+    Expected tokens of the sample are ``keep`` of all and meet every target that the data can fill; no
+    document is drawn twice. The weight is the probability divided by ``keep``. A document is sampled if
+    its draw is below its probability.
     A topic column in ``docs`` is used; otherwise the topic follows from the text. Rows of equal ids are
     drawn together. Only cell sums are shuffled; the weights are as many as the targets have cells.
     """
@@ -119,34 +142,35 @@ def calibrated(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_i
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     places = {d: _category(values[d].cast("string"), [c for c in targets[d] if c != REST]) for d in targets}
     cells = known.groupBy(*[places[d].alias(d) for d in targets]).agg(F.sum(words).alias("tokens"))
-    categories, weights = cell_weights(cells, targets)
-    largest = float(weights.max()) or 1.0
+    categories, probabilities = cell_probabilities(cells, targets, keep)
 
-    table = F.array(*[F.lit(float(w)) for w in weights.ravel()])
+    table = F.array(*[F.lit(float(p)) for p in probabilities.ravel()])
     place, step = F.lit(0), 1
     for name, known_here in reversed(list(zip(targets, categories))):
         chain = F.lit(len(known_here) - 1)
         for number, category in enumerate(known_here[:-1]):
             chain = F.when(values[name].cast("string") == category, F.lit(number)).otherwise(chain)
         place, step = place + chain * step, step * len(known_here)
-    weight = F.get(table, place)
+    probability = F.get(table, place)
     parts = known.withColumn(
         info,
         F.struct(
             topic.alias("topic"),
             words.alias("n_tokens"),
-            weight.alias("weight"),
-            (weight / F.lit(largest)).alias("probability"),
+            (probability / F.lit(keep)).alias("weight"),
+            probability.alias("probability"),
             draw_of(doc_id, text).alias("draw"),
         ),
     ).drop(form)
     return parts.withColumn(info, F.col(info).withField("sampled", F.col(f"{info}.draw") < F.col(f"{info}.probability")))
 
 
-def sampled(docs: DataFrame, targets: Targets = TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sampled(
+    docs: DataFrame, targets: Targets = TARGETS, keep: float = KEEP, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """The documents that are drawn, with their columns as they are."""
     info = fresh(docs, "_mix")
-    return calibrated(docs, targets, doc_id, text, info).where(F.col(f"{info}.sampled")).drop(info)
+    return calibrated(docs, targets, keep, doc_id, text, info).where(F.col(f"{info}.sampled")).drop(info)
 
 
 def mix_sources(documents: DataFrame) -> DataFrame:

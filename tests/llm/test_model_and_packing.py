@@ -142,7 +142,7 @@ def test_what_stays_below_is_of_no_use_above(seed):
 def test_rake_meets_every_marginal():
     tokens = np.random.default_rng(0).integers(1, 100, (3, 4, 2)).astype(float)
     targets = [np.array([0.2, 0.5, 0.3]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]
-    raked = rake(tokens, targets)
+    raked = rake(tokens, targets, 0.1) / (0.1 * tokens.sum())
     for axis, wanted in enumerate(targets):
         others = tuple(i for i in range(3) if i != axis)
         assert raked.sum(axis=others) == pytest.approx(wanted, abs=1e-9)
@@ -151,11 +151,22 @@ def test_rake_meets_every_marginal():
     assert odds(raked) == pytest.approx(odds(tokens))
 
 
+def test_full_cells_give_all_they_have():
+    tokens = np.array([[1.0, 999.0], [500.0, 500.0]])
+    taken = rake(tokens, [np.array([0.5, 0.5]), np.array([0.4, 0.6])], 0.6)
+    assert taken[0, 0] == 1.0 and (taken <= tokens).all()
+    assert taken.sum(axis=1) == pytest.approx([600, 600], rel=1e-6) and taken.sum(axis=0) == pytest.approx([480, 720], rel=1e-6)
+    # Targets that contradict the data end as well, within what there is.
+    beyond = rake(tokens, [np.array([0.9, 0.1]), np.array([0.5, 0.5])], 0.9)
+    assert (beyond <= tokens).all() and (beyond >= 0).all()
+    assert rake(np.zeros((2, 2)), [np.ones(2), np.ones(2)], 0.5).sum() == 0
+
+
 def test_mixture(spark, nothing):
     rows = AWKWARD + [(1000 + i, "w " * (20 + i % 300), ["en", "de"][i % 5 == 0], f"src{i % 3}") for i in range(4000)]
     docs = frame(spark, rows)
     targets = {"source": {"src0": 0.5, "src1": 0.3, REST: 0.2}, "lang": {"de": 0.4, "en": None}, "topic": {"note": 0.3, REST: 0.7}}
-    found = calibrated(docs, targets).select("doc_id", "text", "source", "lang", "mix.*").collect()
+    found = calibrated(docs, targets, 0.3).select("doc_id", "text", "source", "lang", "mix.*").collect()
     assert len(found) == len(rows) and [r["n_tokens"] for r in found] == [len(words(r["text"])) for r in found]
     total = sum(r["n_tokens"] for r in found)
     share = lambda keep: sum(r["weight"] * r["n_tokens"] for r in found if keep(r)) / total
@@ -166,7 +177,7 @@ def test_mixture(spark, nothing):
     assert max(r["probability"] for r in found) <= 1 and all(r["sampled"] == (r["draw"] < r["probability"]) for r in found)
     drawn = sum(r["n_tokens"] for r in found if r["sampled"])
     assert sum(r["n_tokens"] for r in found if r["sampled"] and r["lang"] == "de") / drawn == pytest.approx(0.4, abs=0.06)
-    kept = sampled(docs, targets)
+    kept = sampled(docs, targets, 0.3)
     assert kept.columns == docs.columns and kept.count() == sum(r["sampled"] for r in found)
     assert mix_sources(docs).count() == len(rows) and mix_sources(nothing).count() == 0
 
