@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ START, END = 0xFF, 0xFE
 SYMBOLS = 255
 # Text that shares one set of distinct strings, and text that is worked on at once.
 CHUNK_BYTES = 48 << 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+# Distinct strings of so many blocks are kept apart before they are merged.
+BLOCKS_AT_ONCE = 8
 # Texts of a block are numbered in this many bits beside the 48 of a string.
 TEXT_BITS = 16
 SMOOTHING = 0.1
-ROWS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 50_000
 
 
 def strings_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +66,14 @@ def summed_by_text(found: np.ndarray, symbols: np.ndarray, codes: np.ndarray, lo
     return np.bincount(texts, values, len(symbols))
 
 
-def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
-    return distinct, np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) parts as one with distinct, sorted codes."""
+    codes = np.concatenate([c for c, _ in parts])
+    order = np.argsort(codes)
+    codes = codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    counts = np.add.reduceat(np.concatenate([n for _, n in parts])[order], starts)
+    return [(codes[starts], counts)]
 
 
 class _Chunk:
@@ -74,7 +82,7 @@ class _Chunk:
     def __init__(self, number: int):
         self.number = number
         self.held_bytes = 0
-        self.codes, self.counts = [], []
+        self.strings: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter[bytes] = Counter()
         self.blocks: list[tuple[list, bytes, bytes]] = []
 
@@ -84,8 +92,9 @@ class _Chunk:
         for some, weight in ((taught, 1), (others, 0)):
             if some:
                 codes, n = np.unique(strings_of(some)[0], return_counts=True)
-                self.codes.append(codes)
-                self.counts.append(n * weight)
+                self.strings.append((codes, n * weight))
+        if len(self.strings) > 2 * BLOCKS_AT_ONCE:
+            self.strings = _merged(self.strings)
         for raw in taught:
             self.words.update(raw.split())
         for raw in others:
@@ -102,14 +111,19 @@ class _Chunk:
 
         for ids, sizes, data in self.blocks:
             yield rows("block", 1, ids=[ids], sizes=[sizes], data=[data])
-        codes, counts = _counted(self.codes, self.counts)
+        self.blocks = []
+        ((codes, counts),) = _merged(self.strings)
+        self.strings = []
         for at in range(0, len(codes), ROWS_AT_ONCE):
             part = slice(at, at + ROWS_AT_ONCE)
             yield rows("string", len(codes[part]), code=codes[part].astype(np.int64), n=counts[part])
-        words = list(self.words.items())
-        for at in range(0, len(words), ROWS_AT_ONCE):
-            part = words[at : at + ROWS_AT_ONCE]
+        del codes, counts
+        words = iter(self.words.items())
+        while part := list(islice(words, ROWS_AT_ONCE)):
             yield rows("word", len(part), word=[w for w, _ in part], n=[n for _, n in part])
+        self.words = Counter()
+        # Workers are reused; what this chunk needed goes back to the system.
+        pa.default_memory_pool().release_unused()
 
 
 def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int):
@@ -221,6 +235,7 @@ def _scorer(key: pa.DataType, tokens: int, types: int):
             firsts = np.cumsum(lengths) - lengths
             columns = [block["ids"], lengths, np.add.reduceat(known[spots].astype(np.int64), firsts), np.add.reduceat(base[spots], firsts), scores]
             out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema)
 
     return score
