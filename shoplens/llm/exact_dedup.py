@@ -56,16 +56,15 @@ class QuotientFilter:
             np.concatenate([p.fingerprints() for p in parts]), self.quotient_bits, np.concatenate([p.counts for p in parts])
         )
 
-    def block(self, first: int, last: int, quotients_per_block: int) -> Iterator[tuple[int, QuotientFilter]]:
-        """The filter cut into its occupied blocks ``first`` to ``last``."""
+    def blocks(self, quotients_per_block: int) -> Iterator[tuple[int, QuotientFilter]]:
+        """The filter cut into its occupied blocks."""
         ends = np.concatenate([[0], np.cumsum(self.runs)])
-        for number in range(first, last + 1):
-            lo, hi = np.searchsorted(self.quotients, np.array([number, number + 1], np.uint64) * np.uint64(quotients_per_block))
-            if lo < hi:
-                inside = slice(ends[lo], ends[hi])
-                yield number, QuotientFilter(
-                    self.quotient_bits, self.quotients[lo:hi], self.runs[lo:hi], self.remainders[inside], self.counts[inside]
-                )
+        numbers, firsts = np.unique(self.quotients // np.uint64(quotients_per_block), return_index=True)
+        for number, lo, hi in zip(numbers.tolist(), firsts, np.append(firsts[1:], len(self.quotients))):
+            inside = slice(ends[lo], ends[hi])
+            yield number, QuotientFilter(
+                self.quotient_bits, self.quotients[lo:hi], self.runs[lo:hi], self.remainders[inside], self.counts[inside]
+            )
 
 
 _FILTER_SCHEMA = "block long, quotients binary, runs binary, remainders binary, counts binary"
@@ -110,7 +109,7 @@ def counting_filters(fingerprints: DataFrame, rows: int) -> DataFrame:
         if not held:
             return
         own = QuotientFilter.of(np.concatenate(held), quotient_bits)
-        rows_out = [_packed(n, f) for n, f in own.block(0, (1 << bits) - 1, 1 << SLOTS_PER_BLOCK_BITS)]
+        rows_out = [_packed(n, f) for n, f in own.blocks(1 << SLOTS_PER_BLOCK_BITS)]
         for start in range(0, len(rows_out), 64):
             yield pa.RecordBatch.from_pylist(rows_out[start : start + 64], pa.schema(list(zip(fields, types))))
 

@@ -57,7 +57,7 @@ def test_quotient_filters_merge_without_loss():
     filters = [QuotientFilter.of(p, 12) for p in parts]
     merged = filters[0].merged(*filters[1:])
     assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist())) == Counter(np.concatenate(parts).tolist())
-    blocks = list(merged.block(0, 63, 64))
+    blocks = list(merged.blocks(64))
     assert np.array_equal(np.concatenate([b.fingerprints() for _, b in blocks]), merged.fingerprints())
 
 
