@@ -58,7 +58,7 @@ def fit_best_of(vectors: DataFrame, k: int, starts: int, seed: int):
 
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
         # Cancelling the request reaches the fits.
-        models = list(pool.map(inheritable_thread_target(fit), range(starts)))
+        models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(starts)))
     return min(models, key=lambda model: model.summary.trainingCost)
 
 

@@ -30,9 +30,10 @@ def rfm_scores(profiles: DataFrame, store: StageStore, strict: bool = False) ->
     # The three look-ups do not depend on each other, so their jobs may share the executors.
     with ThreadPoolExecutor(3) as pool:
         # Threads take over job group and scheduler pool of the request, so cancelling reaches them.
-        recency = pool.submit(inheritable_thread_target(partial(value_bins, active, "recency_days", store, strict=strict)))
-        frequency = pool.submit(inheritable_thread_target(partial(rank_bins, active, "total_transactions", "customer_id", store)))
-        spend = pool.submit(inheritable_thread_target(partial(rank_bins, active, "total_spend", "customer_id", store)))
+        inherit = inheritable_thread_target(profiles.sparkSession)
+        recency = pool.submit(inherit(partial(value_bins, active, "recency_days", store, strict=strict)))
+        frequency = pool.submit(inherit(partial(rank_bins, active, "total_transactions", "customer_id", store)))
+        spend = pool.submit(inherit(partial(rank_bins, active, "total_spend", "customer_id", store)))
     scores = {
         # The most recent fifth scores 5.
         "R_Score": F.lit(6) - recency.result(),
