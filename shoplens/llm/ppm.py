@@ -15,7 +15,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,7 +26,7 @@ ORDER = 5
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
 # Text that shares one set of distinct strings, and text that is worked on at once.
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 40 << 20
 BLOCK_BYTES = 1 << 20
 # Distinct strings of so many blocks are kept apart before they are merged.
 BLOCKS_AT_ONCE = 8
@@ -218,12 +217,16 @@ def _scorer(key: pa.DataType, tokens: int, types: int):
         order = np.argsort(codes)
         codes, logp = codes[order], strings.column("logp").to_numpy()[order]
         is_word = rest.column("data").is_null()
-        words = rest.filter(is_word)
+        words = rest.select(["word", "c"]).filter(is_word)
+        blocks = np.flatnonzero(~is_word.to_numpy())
         count = np.append(words.column("c").to_numpy(), ends)
         base, known = np.log10((count + SMOOTHING) / total), count > 0
-        place = {word: i for i, word in enumerate(words.column("word").to_pylist())}
+        place = dict(zip(words.column("word").to_pylist(), range(len(words))))
+        del words, is_word, order
         out = []
-        for block in rest.filter(pc.invert(is_word)).to_pylist():
+        for row in blocks.tolist():
+            # One block at a time; the others stay compressed in the table.
+            block = {name: rest.column(name)[row].as_py() for name in ("ids", "sizes", "data")}
             data = zstandard.decompress(block["data"])
             stops = np.cumsum(np.frombuffer(block["sizes"], np.int64))
             texts = [data[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
