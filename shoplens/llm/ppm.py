@@ -26,7 +26,7 @@ ORDER = 5
 START, END = 0xFF, 0xFE
 SYMBOLS = 255
 # Text that shares one set of distinct strings, and text that is worked on at once.
-CHUNK_BYTES = 40 << 20
+CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 1 << 20
 # Distinct strings of so many blocks are kept apart before they are merged.
 BLOCKS_AT_ONCE = 8
