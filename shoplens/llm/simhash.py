@@ -124,17 +124,18 @@ def near_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_components(narrow: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fingerprint, component_id): the smallest id that each fingerprint of (doc_id, fingerprint) reaches.
+    """(fingerprint, root, component_id): the smallest id that each fingerprint of (doc_id, fingerprint) reaches.
 
-    Null ids take no part in the smallest.
+    Null ids take no part in the smallest. The root is a fingerprint of the component; it tells components
+    apart that have no id, or whose smallest id is the same.
     """
     distinct = written(narrow.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = component_roots(near_links(distinct, distance))
     members = written(distinct.join(roots, distinct["fingerprint"] == roots["node"]).drop("node"), "members")
     components = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = members.join(components, "root").select("fingerprint", "component_id")
+    linked = members.join(components, "root").select("fingerprint", "root", "component_id")
     return distinct.join(linked.withColumnRenamed("component_id", "_c"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("_c", "first_id").alias("component_id")
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("_c", "first_id").alias("component_id")
     )
 
 
@@ -146,7 +147,7 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, distance: i
     """
     narrow = with_fingerprint(documents.select("doc_id", "text"), "fingerprint", shingle).select("doc_id", "fingerprint")
     narrow = written(narrow, "simhash")
-    components = written(near_components(narrow, distance), "components")
+    components = written(near_components(narrow, distance).drop("root"), "components")
     return narrow.join(components, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -155,18 +156,18 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, distance: i
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the smallest id. Columns stay as they are.
 
-    Of rows that repeat that id one stays. A component without any id keeps one row too.
+    Of a component's rows that repeat that id one stays. Each component without any id keeps one row too.
     """
-    mark, key, component = (fresh(docs, n) for n in ("_fingerprint", "_key", "_component"))
+    mark, key, root, component = (fresh(docs, n) for n in ("_fingerprint", "_key", "_root", "_component"))
     marked = with_fingerprint(docs, mark, shingle, text)
     narrow = written(marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint")), "simhash")
     found = written(near_components(narrow, distance), "components").select(
-        F.col("fingerprint").alias(key), F.col("component_id").alias(component)
+        F.col("fingerprint").alias(key), F.col("root").alias(root), F.col("component_id").alias(component)
     )
     first = marked.join(found, F.col(mark) == F.col(key)).where(F.col(doc_id).eqNullSafe(F.col(component)))
     columns = docs.columns
     bearers = narrow.join(found, F.col("fingerprint") == F.col(key)).where(F.col("doc_id").eqNullSafe(F.col(component)))
-    repeated = written(bearers.groupBy(component).agg(F.count("*").alias("n")).where("n > 1").select(component), "repeated")
+    repeated = written(bearers.groupBy(root).agg(F.count("*").alias("n")).where("n > 1").select(root), "repeated")
     if repeated.isEmpty():
         return first.select(columns)
-    return first.select(columns).dropDuplicates([doc_id])
+    return first.select(*columns, root).dropDuplicates([root]).select(columns)

@@ -158,6 +158,17 @@ def test_components(spark, nothing):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_every_component_keeps_a_row(spark):
+    """Components without any id, or with the same smallest id, stay apart; each keeps one row."""
+    rows = [(i, f"{name} {name}s only here, nothing like the others", "en", "s") for name, i in [("ant", None), ("bee", None), ("cow", 7), ("dog", 7)]]
+    rows += [rows[0], rows[2], rows[2], (8, rows[3][1], "en", "s")]
+    assert len({p for _, p, _ in components(rows)}) == 4
+    kept = one_of_each(frame(spark, rows)).collect()
+    assert sorted([(r["doc_id"], r["text"]) for r in kept], key=str) == sorted([r[:2] for r in rows[:4]], key=str)
+    unlike = [(None, " ".join(f"t{n}w{k}" for k in range(20)), "en", "s") for n in range(50)]
+    assert one_of_each(frame(spark, unlike)).count() == len(unlike)
+
+
 def test_long_texts_are_hashed_in_parts(monkeypatch):
     text = " ".join(f"t{i % 71}" for i in range(1000))
     monkeypatch.setattr("shoplens.llm.simhash.SHINGLES_AT_ONCE", 64)
