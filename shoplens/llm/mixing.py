@@ -7,6 +7,7 @@ its cell's weight calls for.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 import numpy as np
@@ -31,10 +32,14 @@ TEMPER = 0.85
 SEED = 20_240_607
 # Share of all tokens that the sample takes.
 KEEP = 0.7
+# Part of all tokens by which a sum may miss its target.
 TOLERANCE = 1e-10
-# Cells are found to be full once raking has come this near.
-LOOSE = 1e-4
 MOST_ROUNDS = 5_000
+# Targets that no sample meets together are moved to the data's own shares, as little as so many halvings find.
+HALVINGS = 8
+SCALES = (1e-60, 1e60)
+
+log = logging.getLogger(__name__)
 
 
 def topic_of(raw: bytes, words: int) -> str:
@@ -54,34 +59,119 @@ def _form(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(topics, pa.string())], ["words", "topic"])
 
 
+def _dealt(share: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
+    """``total`` in proportion to ``share``; no category gets more than it holds, the others get the excess."""
+    full = np.zeros(len(share), bool)
+    while True:
+        left = max(0.0, total - held[full].sum())
+        wanted = np.where(full, held, share * left / (share[~full].sum() or 1))
+        over = ~full & (wanted > held)
+        if not over.any():
+            return wanted
+        full |= over
+
+
+def _wanted(share: np.ndarray, held: np.ndarray, total: float, given: np.ndarray) -> np.ndarray:
+    """Tokens per category that one axis can give; excess goes to categories whose share is not given, as far as they hold it."""
+    fixed = np.minimum(share / share.sum() * total, held)
+    rest = total - fixed[given].sum()
+    if not given.any() or held[~given].sum() >= rest:
+        fixed[~given] = _dealt(share[~given], held[~given], rest)
+    else:
+        fixed[~given] = held[~given]
+        fixed[given] = _dealt(share[given], held[given], total - held[~given].sum())
+    return fixed
+
+
+def _scale(weights: np.ndarray, tokens: np.ndarray, code: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Per category the factor at which its cells, none above its tokens, add up to ``wanted``."""
+    reach = tokens / weights
+    order = np.lexsort((reach, code))
+    w, t, c, reach = weights[order], tokens[order], code[order], reach[order]
+    start = np.searchsorted(c, np.arange(len(wanted)))
+    start[start == len(c)] = 0
+    before_t, before_w = np.cumsum(t) - t, np.cumsum(w) - w
+    # With the cells of smaller reach full, what the others have to give.
+    others = np.bincount(c, w, len(wanted))[c] - (before_w - before_w[start][c])
+    factor = (wanted[c] - (before_t - before_t[start][c])) / np.maximum(others, w)
+    fits = np.flatnonzero(factor <= reach)[::-1]
+    found = np.ones(len(wanted))
+    found[c] = reach
+    found[c[fits]] = factor[fits]
+    return np.clip(found, *SCALES)
+
+
+def _met(tokens: np.ndarray, codes: list[np.ndarray], wanted: list[np.ndarray], total: float) -> np.ndarray | None:
+    """Cells min(tokens, tokens * product of a factor per category) whose sums are ``wanted``; none if raking doesn't settle."""
+    sums = lambda x, axis, of=slice(None): np.bincount(codes[axis][of], x[of], len(wanted[axis]))
+    axes, full = range(len(codes)), np.zeros(len(tokens), bool)
+    for axis in axes:
+        full |= (wanted[axis] >= sums(tokens, axis) * (1 - 1e-12))[codes[axis]]
+    cells, free = tokens.copy(), ~full
+    left = [wanted[axis] - sums(tokens, axis, full) for axis in axes]
+    if min(x.min() for x in left) < -TOLERANCE * total:
+        return None
+    own, places = tokens[free], [code[free] for code in codes]
+    scales = [np.ones(len(x)) for x in wanted]
+    for _ in range(MOST_ROUNDS if free.any() else 1):
+        for axis in axes:
+            weights = own * (total / tokens.sum())
+            for other in axes:
+                if other != axis:
+                    weights = weights * scales[other][places[other]]
+            if free.any():
+                scales[axis] = _scale(weights, own, places[axis], left[axis])
+            cells[free] = np.minimum(own, weights * scales[axis][places[axis]])
+        if max(np.abs(sums(cells, axis) - wanted[axis]).max() for axis in axes) <= TOLERANCE * total:
+            return cells
+    return None
+
+
+def _raked(
+    tokens: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray], keep: float, given: list[np.ndarray] | None = None
+) -> np.ndarray:
+    """``rake`` over a list of cells with a category number per axis."""
+    usable = tokens > 0
+    for code, share in zip(codes, shares):
+        usable &= share[code] > 0
+    taken = np.zeros(len(tokens))
+    if not usable.any():
+        return taken
+    tokens, codes, all_tokens = tokens[usable], [code[usable] for code in codes], tokens.sum()
+    total = min(keep * all_tokens, tokens.sum())
+    if total < keep * all_tokens * (1 - TOLERANCE):
+        log.warning("mixing: shares of zero leave %.6g of all tokens, %.6g were to be kept", total / all_tokens, keep)
+    wanted, own = [], []
+    for axis, (code, share) in enumerate(zip(codes, shares)):
+        held = np.bincount(code, tokens, len(share))
+        own.append(held * (total / tokens.sum()))
+        wanted.append(_wanted(share, held, total, given[axis] if given else np.zeros(len(share), bool)))
+        short = np.flatnonzero((wanted[-1] < share / share.sum() * total * (1 - TOLERANCE)) & (held > 0))
+        if len(short):
+            log.warning("mixing: axis %d, categories %s hold less than their share; they give all, others the rest", axis, short.tolist())
+    cells = _met(tokens, codes, wanted, total)
+    if cells is None:
+        low, high, cells = 0.0, 1.0, own and tokens * (total / tokens.sum())
+        for _ in range(HALVINGS):
+            middle = (low + high) / 2
+            found = _met(tokens, codes, [o + middle * (w - o) for o, w in zip(own, wanted)], total)
+            low, high, cells = (low, middle, cells) if found is None else (middle, high, found)
+        log.warning("mixing: no sample meets all targets together; shares go %.4g of the way from the data's to the targets", low)
+    taken[usable] = cells
+    return taken
+
+
 def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float = 1.0) -> np.ndarray:
     """The tokens to take of each cell: ``keep`` of all, with the target share in every category of every axis.
 
-    Cells are scaled axis by axis until all sums meet their targets. A cell that would give more than it
-    has gives all of it, and the others are raked to what is then left of the targets. Targets of
-    categories without tokens go to the others. Targets that contradict each other or ask for more than
-    there is are met as far as the last axis allows.
+    Cells are scaled axis by axis, none beyond what it has, until all sums meet their targets. A category
+    that holds less than its share gives all it has, and the other categories of its axis give the rest in
+    proportion to their shares; a share of zero stays zero, and less is kept if the others don't hold ``keep``.
+    If no sample meets the targets of all axes together, they are moved to the data's own shares until one
+    does. Each such change is logged; the sums always meet the targets that result.
     """
-    total = keep * tokens.sum()
-    cells, full = keep * tokens, np.zeros(tokens.shape, bool)
-    for _ in range(MOST_ROUNDS):
-        worst = 0.0
-        for axis, share in enumerate(targets):
-            others = tuple(i for i in range(cells.ndim) if i != axis)
-            share = np.where(tokens.sum(axis=others) > 0, share, 0)
-            taken = np.where(full, cells, 0).sum(axis=others)
-            free = np.where(full, 0, cells).sum(axis=others)
-            wanted = np.maximum(total * share / (share.sum() or 1) - taken, 0)
-            factor = np.divide(wanted, free, out=np.ones_like(free), where=free > 0)
-            worst = max(worst, float(np.abs(factor - 1).max()))
-            cells = np.where(full, cells, cells * np.expand_dims(factor, others))
-        over = ~full & (cells > tokens * (1 + TOLERANCE))
-        if over.any() and worst < LOOSE:
-            full |= over
-            cells = np.where(full, tokens, cells)
-        elif worst < TOLERANCE:
-            break
-    return np.minimum(cells, tokens)
+    codes = [x.ravel() for x in np.indices(tokens.shape)]
+    return _raked(tokens.ravel(), codes, targets, keep).reshape(tokens.shape)
 
 
 def cell_probabilities(
@@ -97,15 +187,18 @@ def cell_probabilities(
     tokens = np.zeros([len(c) for c in categories])
     for row in cells.select(*names, "tokens").toLocalIterator():
         tokens[tuple(c.index(row[d]) for d, c in zip(names, categories))] += row["tokens"]
-    wanted = []
+    wanted, fixed = [], []
     for axis, (name, known) in enumerate(zip(names, categories)):
         sums = tokens.sum(axis=tuple(i for i in range(tokens.ndim) if i != axis))
         given = np.array([np.nan if targets[name].get(c) is None else targets[name][c] for c in known], float)
         free = np.where(np.isnan(given), sums / max(tokens.sum(), 1), 0) ** temper * np.isnan(given)
         left = max(0.0, 1 - np.nansum(given))
         wanted.append(np.where(np.isnan(given), free * left / (free.sum() or 1), given))
+        fixed.append(~np.isnan(given))
+    places = [x.ravel() for x in np.indices(tokens.shape)]
+    raked = _raked(tokens.ravel(), places, wanted, keep, fixed).reshape(tokens.shape)
     # Texts without words carry no tokens to rake; they are drawn like the average token.
-    return categories, np.divide(rake(tokens, wanted, keep), tokens, out=np.full_like(tokens, keep), where=tokens > 0)
+    return categories, np.divide(raked, tokens, out=np.full_like(tokens, keep), where=tokens > 0)
 
 
 def _category(value: Column, named: list[str]) -> Column:
@@ -128,8 +221,8 @@ def calibrated(
 ) -> DataFrame:
     """``docs`` with a struct column ``info``: topic, n_tokens, weight, probability, draw and sampled.
 
-    Expected tokens of the sample are ``keep`` of all and meet every target that the data can fill; no
-    document is drawn twice. The weight is the probability divided by ``keep``. A document is sampled if
+    Expected tokens of the sample are ``keep`` of all and meet every target that the data can fill (``rake``
+    says what becomes of the others); no document is drawn twice. The weight is the probability divided by ``keep``. A document is sampled if
     its draw is below its probability.
     A topic column in ``docs`` is used; otherwise the topic follows from the text. Rows of equal ids are
     drawn together. Only cell sums are shuffled; the weights are as many as the targets have cells.

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoplens.llm.mixing import REST, calibrated, draw_of, mix_sources, rake, sampled
+from shoplens.llm.mixing import KEEP, REST, TARGETS, TEMPER, calibrated, draw_of, mix_sources, rake, sampled
 from shoplens.llm.packing import CAPACITY, best_fit, goes_up, pack_documents, sequences, word_ids
 from shoplens.llm.ppm import ppm_scores
 from shoplens.llm.quality_rules import quality_rules
@@ -162,6 +162,38 @@ def test_full_cells_give_all_they_have():
     assert rake(np.zeros((2, 2)), [np.ones(2), np.ones(2)], 0.5).sum() == 0
 
 
+def test_targets_that_contradict_each_other_are_moved_until_a_sample_meets_them():
+    tokens = np.array([[500.0, 0.0], [0.0, 500.0]])
+    taken = rake(tokens, [np.array([0.6, 0.4]), np.array([0.4, 0.6])], 0.5)
+    assert taken.sum() == pytest.approx(500) and (taken <= tokens).all()
+    assert taken.sum(axis=0) == pytest.approx(taken.sum(axis=1)) and taken.sum(axis=0) == pytest.approx([250, 250])
+    none = rake(np.array([[5.0, 9.0], [5.0, 5.0]]), [np.array([0.0, 1.0]), np.array([0.5, 0.5])], 0.9)
+    assert none.tolist() == [[0, 0], [5, 5]]
+
+
+def test_production_marginals(spark):
+    """Notes and licensed texts hold less than their share of the production targets; all other marginals are met nevertheless."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    info = calibrated(docs).select("source", "lang", "mix.*").withColumn("taken", F.col("probability") * F.col("n_tokens"))
+    rows = info.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("held"), F.sum("taken").alias("taken")).collect()
+    total, kept = sum(r["held"] for r in rows), sum(r["taken"] for r in rows)
+    assert kept == pytest.approx(KEEP * total, rel=1e-8)
+    for axis in ("source", "lang", "topic"):
+        held, taken = Counter(), Counter()
+        for r in rows:
+            held[r[axis]] += r["held"]
+            taken[r[axis]] += r["taken"]
+        given = {k: v for k, v in TARGETS[axis].items() if v is not None}
+        power = {k: (n / total) ** TEMPER for k, n in held.items() if k not in given}
+        share = {k: n * (1 - sum(given.values())) / sum(power.values()) for k, n in power.items()}
+        full = {k for k in share if share[k] * kept > held[k]}
+        assert full == ({"note", "licensed"} if axis == "topic" else set())
+        left = 1 - sum(given.values()) - sum(held[k] for k in full) / kept
+        share = {k: held[k] / kept if k in full else share[k] * left / sum(share[x] for x in share if x not in full) for k in share}
+        for k, wanted in (share | given).items():
+            assert taken[k] / kept == pytest.approx(wanted, abs=1e-8), k
+
+
 def test_mixture(spark, nothing):
     rows = AWKWARD + [(1000 + i, "w " * (20 + i % 300), ["en", "de"][i % 5 == 0], f"src{i % 3}") for i in range(4000)]
     docs = frame(spark, rows)
