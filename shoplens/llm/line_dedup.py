@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shoplens.llm.common import CONTINUATION, fresh, raw_texts, text_of, written
 
@@ -57,20 +57,30 @@ def _rebuilt(min_points: int):
     return rebuild
 
 
+def text_key(doc_id: str, text: str) -> Column:
+    """A hash of the text where the id is null, else null: with the id it names a document."""
+    return F.when(F.col(doc_id).isNull(), F.xxhash64(text_of(text)))
+
+
 def shared_lines(docs: DataFrame, min_points: int, min_documents: int, doc_id: str, text: str) -> DataFrame:
-    """Per document id the keys of the lines that it loses.
+    """Per document, named by id and ``text_key``, the keys of the lines that it loses.
 
-    Documents are counted by distinct id; null ids count as one document, below all others. The count
-    adds up in two steps, by line and id and then by line, so that a line that a third of all
-    documents have is spread over many tasks.
+    Documents are counted by distinct id, and each row without id counts; ids stand above rows without.
+    The count adds up in two steps, by line and document and then by line, so that a line that a third of
+    all documents have is spread over many tasks.
     """
-    keys = docs.select(F.col(doc_id).alias("id"), F.explode(_keys_of(min_points)(F.col(text).cast("string"))).alias("line"))
+    keys = docs.select(
+        F.col(doc_id).alias("id"),
+        text_key(doc_id, text).alias("own"),
+        F.explode(_keys_of(min_points)(F.col(text).cast("string"))).alias("line"),
+    )
     keys = written(keys, "line-keys")
-    count = F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))
-    frequent = keys.groupBy("line").agg(count.alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents)
-    frequent = written(frequent.select("line", "keeper"), "frequent-lines")
-    losses = keys.join(frequent, "line").where(~F.col("id").eqNullSafe(F.col("keeper")))
-    return losses.groupBy("id").agg(F.collect_set("line").alias("lines"))
+    holders = keys.groupBy("line", "id", "own").agg(F.count("*").alias("rows"))
+    count = F.sum(F.when(F.col("id").isNull(), F.col("rows")).otherwise(F.lit(1)))
+    found = holders.groupBy("line").agg(count.alias("n"), F.max("id").alias("id_kept"), F.max("own").alias("own_kept"))
+    frequent = written(found.where(F.col("n") >= min_documents).select("line", "id_kept", "own_kept"), "frequent-lines")
+    keeps = F.col("id").eqNullSafe(F.col("id_kept")) & (F.col("id").isNotNull() | F.col("own").eqNullSafe(F.col("own_kept")))
+    return keys.join(frequent, "line").where(~keeps).groupBy("id", "own").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_shared_lines(
@@ -85,18 +95,23 @@ def drop_shared_lines(
 
     Lines of at least ``min_points`` code points (stripped, A-Z lower-cased) in at least
     ``min_documents`` documents stay only in the largest id that has them. A null text counts as empty,
-    one empty line. Repeated rows of one id are one document and each is rebuilt. Other columns stay.
+    one empty line. Repeated rows of one id are one document and each is rebuilt. Each row without id is a
+    document of its own; a line that none but such rows have stays in one of them, and in its exact copies
+    without id. Other columns stay.
     """
-    key, lines, rebuilt = fresh(docs, "_id"), fresh(docs, "_lines"), fresh(docs, "_rebuilt")
-    losses = shared_lines(docs, min_points, min_documents, doc_id, text).select(F.col("id").alias(key), F.col("lines").alias(lines))
-    joined = docs.join(losses, F.col(doc_id).eqNullSafe(F.col(key)), "left")
+    key, own, lines, rebuilt = (fresh(docs, n) for n in ("_id", "_own", "_lines", "_rebuilt"))
+    losses = shared_lines(docs, min_points, min_documents, doc_id, text).select(
+        F.col("id").alias(key), F.col("own").alias(own), F.col("lines").alias(lines)
+    )
+    same = F.col(doc_id).eqNullSafe(F.col(key)) & text_key(doc_id, text).eqNullSafe(F.col(own))
+    joined = docs.join(losses, same, "left")
     touched = F.when(F.col(lines).isNotNull(), F.col(text))
     whole = joined.withColumn(rebuilt, _rebuilt(min_points)(touched.cast("string"), F.col(lines)))
     before = F.char_length(text_of(text)) - F.char_length(F.replace(text_of(text), F.lit("\n"), F.lit(""))) + 1
     result = {text: F.coalesce(F.col(f"{rebuilt}.text"), text_of(text))}
     if counts:
         result |= {counts[0]: before.cast("bigint"), counts[1]: F.col(f"{rebuilt}.n_dropped")}
-    return whole.withColumns(result).drop(key, lines, rebuilt)
+    return whole.withColumns(result).drop(key, own, lines, rebuilt)
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 
 from shoplens.llm.components import component_roots
 from shoplens.llm.exact_dedup import QuotientFilter, block_bits, counting_filters, exact_dedup
-from shoplens.llm.line_dedup import drop_shared_lines, line_dedup
+from shoplens.llm.line_dedup import drop_shared_lines, line_dedup, shared_lines
 from shoplens.llm.oracles import ORACLES
 from shoplens.llm.simhash import fingerprint_of, linked_within, near_links, one_of_each, simhash_components
 from tests.llm.conftest import AWKWARD, LOWER, frame, words
@@ -109,6 +109,20 @@ def test_lines(spark, nothing):
     assert line_dedup(nothing).count() == 0
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    passage, other = "A passage that rows without an id share", "Another passage, which one id has as well"
+    rows = [(None, f"own words of number {n}\n{passage}\n{other}", "en", "s") for n in range(40)] + [(1, other, "en", "s")]
+    docs = frame(spark, rows)
+    done = drop_shared_lines(docs, counts=("before", "dropped"))
+    texts = Counter(r["text"] for r in done.collect())
+    assert sum(passage in t for t in texts) == 1 and all(f"own words of number {n}" in "\n".join(texts) for n in range(40))
+    assert [t for t in texts if other in t] == [other]
+    assert sorted(r["dropped"] for r in done.collect()) == [0, 1] + [2] * 39
+    # No group of losses holds more than the lines of one document.
+    assert {len(r["lines"]) for r in shared_lines(docs, 20, 3, "doc_id", "text").collect()} == {1, 2}
+    assert drop_shared_lines(docs).columns == docs.columns
+
+
 def fingerprint(text):
     own = [w.translate(LOWER) for w in words(text)]
     if not own:
