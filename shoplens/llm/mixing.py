@@ -16,16 +16,17 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shoplens.llm.common import fresh, raw_texts, text_of
 
-# The category of all values that a dimension's targets don't name, null among them.
+# The category of all values that the targets of a dimension with explicit shares don't name, null among them.
 REST = "*"
 
 Targets = Mapping[str, Mapping[str, float | None]]
 
 # Shares of tokens. What the given shares leave is dealt among the categories without a share, and REST,
-# in proportion to their tokens to the power TEMPER, which lifts small sources and languages.
+# in proportion to their tokens to the power TEMPER, which lifts small sources and languages. In a dimension
+# without any given share each value of the data is a category, null as well.
 TARGETS: Targets = {
-    "source": {f"src{i}": None for i in range(20)},
-    "lang": {"en": None, "de": None, "fr": None, "es": None},
+    "source": {},
+    "lang": {},
     "topic": {"note": None, "article": None, "long_read": None, "licensed": None, "table": 0.02},
 }
 TEMPER = 0.85
@@ -38,6 +39,8 @@ MOST_ROUNDS = 5_000
 # Targets that no sample meets together are moved to the data's own shares, as little as so many halvings find.
 HALVINGS = 8
 SCALES = (1e-60, 1e60)
+# Cells that are sent to every executor; more are joined as Spark sees fit.
+MOST_BROADCAST = 100_000
 
 log = logging.getLogger(__name__)
 
@@ -174,34 +177,42 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float = 1.0) -> np
     return _raked(tokens.ravel(), codes, targets, keep).reshape(tokens.shape)
 
 
-def cell_probabilities(
-    cells: DataFrame, targets: Targets, keep: float = KEEP, temper: float = TEMPER
-) -> tuple[list[list[str]], np.ndarray]:
-    """Categories per dimension, and the probability of a token in each cell.
+def _from_data(shares: Mapping[str, float | None]) -> bool:
+    return all(share is None for share in shares.values())
 
-    ``cells`` has one row per cell with its tokens. The categories are those of ``targets``, so its
-    size, and that of the weights, follows from the targets alone and not from the data.
+
+def cell_probabilities(cells: DataFrame, targets: Targets, keep: float = KEEP, temper: float = TEMPER) -> pa.Table:
+    """The category per dimension, and the probability of a token, of each cell.
+
+    ``cells`` has one row per cell with its tokens; the driver holds them in arrays, some hundred bytes a cell.
     """
     names = list(targets)
-    categories = [[*[c for c in targets[d] if c != REST], REST] for d in names]
-    tokens = np.zeros([len(c) for c in categories])
-    for row in cells.select(*names, "tokens").toLocalIterator():
-        tokens[tuple(c.index(row[d]) for d, c in zip(names, categories))] += row["tokens"]
-    wanted, fixed = [], []
-    for axis, (name, known) in enumerate(zip(names, categories)):
-        sums = tokens.sum(axis=tuple(i for i in range(tokens.ndim) if i != axis))
-        given = np.array([np.nan if targets[name].get(c) is None else targets[name][c] for c in known], float)
+    table = cells.select(*names, "tokens").toArrow()
+    tokens = table["tokens"].to_numpy().astype(float)
+    codes, wanted, fixed = [], [], []
+    for name in names:
+        shares = targets[name]
+        coded = pa.concat_arrays([pa.array([], pa.string()), *table[name].chunks]).dictionary_encode("encode")
+        known = coded.dictionary.to_pylist()
+        known += [c for c, share in shares.items() if share is not None and c not in known]
+        code = coded.indices.to_numpy().astype(np.int64)
+        sums = np.bincount(code, tokens, len(known))
+        given = np.array([np.nan if shares.get(c) is None else shares[c] for c in known], float)
         free = np.where(np.isnan(given), sums / max(tokens.sum(), 1), 0) ** temper * np.isnan(given)
         left = max(0.0, 1 - np.nansum(given))
+        codes.append(code)
         wanted.append(np.where(np.isnan(given), free * left / (free.sum() or 1), given))
         fixed.append(~np.isnan(given))
-    places = [x.ravel() for x in np.indices(tokens.shape)]
-    raked = _raked(tokens.ravel(), places, wanted, keep, fixed).reshape(tokens.shape)
+    raked = _raked(tokens, codes, wanted, keep, fixed)
     # Texts without words carry no tokens to rake; they are drawn like the average token.
-    return categories, np.divide(raked, tokens, out=np.full_like(tokens, keep), where=tokens > 0)
+    probability = np.divide(raked, tokens, out=np.full_like(tokens, keep), where=tokens > 0)
+    return table.select(names).append_column("probability", pa.array(probability))
 
 
-def _category(value: Column, named: list[str]) -> Column:
+def _category(value: Column, shares: Mapping[str, float | None]) -> Column:
+    named = [c for c in shares if c != REST]
+    if _from_data(shares):
+        return value
     return F.when(value.isin(named), value).otherwise(F.lit(REST)) if named else F.lit(REST)
 
 
@@ -225,7 +236,7 @@ def calibrated(
     says what becomes of the others); no document is drawn twice. The weight is the probability divided by ``keep``. A document is sampled if
     its draw is below its probability.
     A topic column in ``docs`` is used; otherwise the topic follows from the text. Rows of equal ids are
-    drawn together. Only cell sums are shuffled; the weights are as many as the targets have cells.
+    drawn together. Only cell sums are shuffled; the weights, one per cell, are joined to the rows.
     """
     form = fresh(docs, "_form")
     # Words and topic in one pass over the text, whose result the plan uses by name and never repeats.
@@ -233,18 +244,17 @@ def calibrated(
     words = F.col(f"{form}.words")
     topic = F.col("topic").cast("string") if "topic" in docs.columns else F.col(f"{form}.topic")
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    places = {d: _category(values[d].cast("string"), [c for c in targets[d] if c != REST]) for d in targets}
+    places = {d: _category(values[d].cast("string"), targets[d]) for d in targets}
     cells = known.groupBy(*[places[d].alias(d) for d in targets]).agg(F.sum(words).alias("tokens"))
-    categories, probabilities = cell_probabilities(cells, targets, keep)
-
-    table = F.array(*[F.lit(float(p)) for p in probabilities.ravel()])
-    place, step = F.lit(0), 1
-    for name, known_here in reversed(list(zip(targets, categories))):
-        chain = F.lit(len(known_here) - 1)
-        for number, category in enumerate(known_here[:-1]):
-            chain = F.when(values[name].cast("string") == category, F.lit(number)).otherwise(chain)
-        place, step = place + chain * step, step * len(known_here)
-    probability = F.get(table, place)
+    found = cell_probabilities(cells, targets, keep)
+    cell = fresh(known, "_cell")
+    weights = docs.sparkSession.createDataFrame(found).select(F.struct(*found.column_names).alias(cell))
+    weights = F.broadcast(weights) if found.num_rows <= MOST_BROADCAST else weights
+    same = F.lit(True)
+    for d in targets:
+        same = same & places[d].eqNullSafe(F.col(f"{cell}.{d}"))
+    known = known.join(weights, same, "left")
+    probability = F.col(f"{cell}.probability")
     parts = known.withColumn(
         info,
         F.struct(
@@ -254,7 +264,7 @@ def calibrated(
             probability.alias("probability"),
             draw_of(doc_id, text).alias("draw"),
         ),
-    ).drop(form)
+    ).drop(form, cell)
     return parts.withColumn(info, F.col(info).withField("sampled", F.col(f"{info}.draw") < F.col(f"{info}.probability")))
 
 

@@ -214,6 +214,22 @@ def test_mixture(spark, nothing):
     assert mix_sources(docs).count() == len(rows) and mix_sources(nothing).count() == 0
 
 
+def test_sources_and_languages_come_from_the_data(spark):
+    """Sources and languages of any name are raked one by one: small ones are lifted, a hot one gives."""
+    rows = [(n, "w " * 50, f"lang{n % 7}" if n % 7 else None, "hot" if n % 2 else f"site{n // 2 % 150}") for n in range(6000)]
+    found = calibrated(frame(spark, rows), keep=0.3).select("source", "lang", "mix.*").collect()
+    assert len(found) == len(rows)
+    for axis in ("source", "lang"):
+        held, taken = Counter(), Counter()
+        for r in found:
+            held[r[axis]] += r["n_tokens"]
+            taken[r[axis]] += r["probability"] * r["n_tokens"]
+        power = {k: n**TEMPER for k, n in held.items()}
+        assert len(held) == (151 if axis == "source" else 7)
+        for k in held:
+            assert taken[k] / sum(taken.values()) == pytest.approx(power[k] / sum(power.values()), abs=1e-8), k
+
+
 def test_a_given_topic_is_used(spark):
     docs = frame(spark, AWKWARD).withColumn("topic", F.lit("mine"))
     assert {r["topic"] for r in mix_sources(docs).collect()} == {"mine"}
