@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from shoplens.llm.common import fresh, raw_texts
+from shoplens.llm.common import fresh, raw_texts, written
 from shoplens.llm.measures import MEASURES, in_batches, measured, repeated_windows
 
 COLUMNS = [*MEASURES, "n_repeat_words"]
@@ -96,12 +96,13 @@ def ablations(ledger: DataFrame, version: str = CURRENT, fail_bits: str = "fail_
 
     Rows collapse to one count per pattern of bits first (at most two to the number of rules).
     """
+    return _ablations(ledger.groupBy(F.col(fail_bits).alias("fail_bits")).agg(F.count("*").alias("docs")), version)
+
+
+def _ablations(counts: DataFrame, version: str) -> DataFrame:
     mask = mask_of(POLICIES[version])
-    patterns = (
-        ledger.select(F.col(fail_bits).bitwiseAND(F.lit(mask).cast("bigint")).alias("bits"))
-        .groupBy("bits")
-        .agg(F.count("*").alias("docs"))
-    )
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("bigint"))
+    patterns = counts.groupBy(bits.alias("bits")).agg(F.sum("docs").alias("docs"))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(mask_of([r])).cast("bigint").alias("bit")) for r in POLICIES[version]])
     return (
         patterns.withColumn("r", F.explode(rules))
@@ -121,12 +122,27 @@ def reject_low_quality(docs: DataFrame, version: str = CURRENT, text: str = "tex
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
-    """The ledger of every document with the verdict of the current policy."""
+    """The ledger of every document with the verdicts of the current policy and of each version."""
     judged = rule_ledger(documents.select("doc_id", "text")).select("doc_id", "ledger.*")
-    return judged.select(
+    return apply_policies(judged).select(
         "doc_id",
         *COLUMNS,
         "fail_bits",
         (~passes(F.col("fail_bits"), BASE)).alias("base_failed"),
-        passes(F.col("fail_bits"), POLICIES[CURRENT]).alias("kept"),
+        F.col(f"kept_{CURRENT}").alias("kept"),
+        *[f"kept_{version}" for version in POLICIES],
     )
+
+
+def rule_ablations(documents: DataFrame) -> DataFrame:
+    """``ablations`` of every policy version over the whole table, with the version as first column; texts are read once.
+
+    An empty table gives no rows.
+    """
+    patterns = rule_ledger(documents.select("text")).groupBy(F.col("ledger.fail_bits").alias("fail_bits")).agg(F.count("*").alias("docs"))
+    patterns = written(patterns, "fail-bits")
+    found = None
+    for version in POLICIES:
+        rows = _ablations(patterns, version).select(F.lit(version).alias("version"), "rule", "failed", "rejected_by_it_alone")
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -14,7 +14,7 @@ from shoplens.llm.oracles import ORACLES
 from shoplens.llm.packing import pack_documents
 from shoplens.llm.ppm import ppm_scores
 from shoplens.llm.quality_ranking import quality_ranking
-from shoplens.llm.quality_rules import quality_rules
+from shoplens.llm.quality_rules import quality_rules, rule_ablations
 from shoplens.llm.sharding import hash_tree_shards
 from shoplens.llm.simhash import simhash_components
 from shoplens.llm.warc import warc_round_trip
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_ranking": _over(quality_ranking, "documents", "labels"),
     "op3_exact_dedup": _over(exact_dedup, "documents"),
     "op4_quality_rules": _over(quality_rules, "documents"),
+    "op4_rule_ablations": _over(rule_ablations, "documents"),
     "op5_hash_tree_shards": _over(hash_tree_shards, "documents"),
     "op6_warc": _over(warc_round_trip, "pages"),
     "op7_ppm_scores": _over(ppm_scores, "documents"),

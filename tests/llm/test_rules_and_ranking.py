@@ -12,6 +12,7 @@ from shoplens.llm.measures import repeated_windows
 from shoplens.llm.oracles import ORACLES
 from shoplens.llm.quality_ranking import FEATURES, fit, quality_ranking, with_features
 from shoplens.llm.quality_rules import BASE, POLICIES, RULES, ablations, apply_policies, mask_of, quality_rules, reject_low_quality
+from shoplens.llm.registry import QUERIES
 from tests.llm.conftest import AWKWARD, words
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,6 +72,19 @@ def test_policies_and_ablations_need_the_ledger_only(awkward):
     assert mask_of(BASE) == 3
 
 
+def test_registered_queries_run_all_versions(spark):
+    rows = QUERIES["op4_quality_rules"](spark, SMALL).collect()
+    for version, rules in POLICIES.items():
+        assert [r[f"kept_{version}"] for r in rows] == [r["fail_bits"] & mask_of(rules) == 0 for r in rows]
+    found = {(r["version"], r["rule"]): (r["failed"], r["rejected_by_it_alone"]) for r in QUERIES["op4_rule_ablations"](spark, SMALL).collect()}
+    bits = [r["fail_bits"] for r in rows]
+    assert found == {
+        (version, rule): (sum(b & mask_of([rule]) > 0 for b in bits), sum(b & mask_of(rules) == mask_of([rule]) for b in bits))
+        for version, rules in POLICIES.items()
+        for rule in rules
+    }
+
+
 def test_stage_keeps_columns(awkward, nothing):
     kept = reject_low_quality(awkward)
     assert kept.columns == awkward.columns
