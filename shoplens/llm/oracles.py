@@ -4,20 +4,8 @@ Ranking, hash tree, language model, SimHash, raking and packing have none: their
 against brute force.
 """
 
-ORACLES = {
-    "op3_exact_dedup": r"""
-        with d as (
-            select doc_id, length(coalesce(text, '')) as points,
-                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm
-            from documents
-        ), g as (
-            select doc_id, norm, count(*) over (partition by norm) as group_size,
-                   first_value(doc_id) over (partition by norm order by points desc, doc_id) as keep_id
-            from d
-        )
-        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g
-    """,
-    "op4_quality_rules": r"""
+# The measures and failure bits of every document.
+_LEDGER = r"""
         with d as (
             select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
                    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
@@ -55,11 +43,39 @@ ORACLES = {
                     + (case when word_chars < 2 * n_words or word_chars > 15 * n_words then 128 else 0 end) as fail_bits
             from m
         )
+"""
+
+ORACLES = {
+    "op3_exact_dedup": r"""
+        with d as (
+            select doc_id, length(coalesce(text, '')) as points,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm
+            from documents
+        ), g as (
+            select doc_id, norm, count(*) over (partition by norm) as group_size,
+                   first_value(doc_id) over (partition by norm order by points desc, doc_id) as keep_id
+            from d
+        )
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g
+    """,
+    "op4_quality_rules": _LEDGER + r"""
         select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_adjacent, n_distinct, n_capitals, n_exclaims,
                n_digits, n_stops, n_repeat_words, cast(fail_bits as bigint) as fail_bits,
-               fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept
+               fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept,
+               fail_bits & 3 = 0 as kept_v1, fail_bits & 127 = 0 as kept_v2, fail_bits & 255 = 0 as kept_v3
         from b
     """,
+    "rule_ablations": _LEDGER + r""", rules(version, rule, bit, mask) as (
+            select version, names[i], 1 << (i - 1), mask
+            from (values ('v1', 2, 3), ('v2', 7, 127), ('v3', 8, 255)) v(version, n, mask),
+                 (select ['few_words', 'repeated_windows', 'symbols', 'stutter', 'capitals', 'exclamations', 'duplicate_lines',
+                          'word_length'] as names), range(1, 9) r(i)
+            where i <= n
+        )
+        select version, rule, cast(count(*) filter (fail_bits & bit <> 0) as bigint) as failed,
+               cast(count(*) filter (fail_bits & mask = bit) as bigint) as rejected_by_it_alone
+        from b, rules group by version, rule
+    """,
     "op6_warc": r"""
         with p as (select page_id, encode(coalesce(html, '')) as b from pages),
         q as (select page_id, octet_length(b) as n, sha1(b) as d, max(page_id) over (partition by sha1(b)) as latest from p)

@@ -122,7 +122,10 @@ def reject_low_quality(docs: DataFrame, version: str = CURRENT, text: str = "tex
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
-    """The ledger of every document with the verdicts of the current policy and of each version."""
+    """The ledger of every document with the verdicts of the current policy and of each version.
+
+    Null texts count as empty. Every row gives one row, also repeated ones; an empty table gives none.
+    """
     judged = rule_ledger(documents.select("doc_id", "text")).select("doc_id", "ledger.*")
     return apply_policies(judged).select(
         "doc_id",

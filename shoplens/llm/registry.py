@@ -31,7 +31,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_ranking": _over(quality_ranking, "documents", "labels"),
     "op3_exact_dedup": _over(exact_dedup, "documents"),
     "op4_quality_rules": _over(quality_rules, "documents"),
-    "op4_rule_ablations": _over(rule_ablations, "documents"),
+    "rule_ablations": _over(rule_ablations, "documents"),
     "op5_hash_tree_shards": _over(hash_tree_shards, "documents"),
     "op6_warc": _over(warc_round_trip, "pages"),
     "op7_ppm_scores": _over(ppm_scores, "documents"),

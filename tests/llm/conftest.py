@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,3 +54,14 @@ def nothing(spark):
 
 def words(text):
     return WORD.findall(text or "")
+
+
+def equals_sql(found, sql, **tables):
+    """Columns and rows of ``found`` are those of the SQL over ``table=folder``; not one column more or less."""
+    con = duckdb.connect()
+    for table, folder in tables.items():
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    cursor = con.execute(sql)
+    names = [c[0] for c in cursor.description]
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(tuple, found.select(names).collect()), key=str) == sorted(cursor.fetchall(), key=str)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -15,7 +14,7 @@ from shoplens.llm.exact_dedup import QuotientFilter, block_bits, counting_filter
 from shoplens.llm.line_dedup import drop_shared_lines, line_dedup, shared_lines
 from shoplens.llm.oracles import ORACLES
 from shoplens.llm.simhash import fingerprint_of, linked_within, near_links, one_of_each, simhash_components
-from tests.llm.conftest import AWKWARD, LOWER, frame, words
+from tests.llm.conftest import AWKWARD, LOWER, equals_sql, frame, words
 
 SMALL = "/root/testdata/sf0.001"
 COPIES = [(100 + i, "a text " + " " * (i % 5) + "with many copies", "en", "src0") for i in range(400)]
@@ -41,12 +40,7 @@ def test_exact_groups(spark, nothing):
 
 @pytest.mark.parametrize("query, operator", [("op3_exact_dedup", exact_dedup), ("op8_line_dedup", line_dedup)])
 def test_equals_sql(spark, query, operator):
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
-    cursor = con.execute(ORACLES[query])
-    names = [c[0] for c in cursor.description]
-    found = operator(spark.read.parquet(f"{SMALL}/documents.parquet")).select(names).collect()
-    assert sorted(map(tuple, found)) == sorted(cursor.fetchall())
+    equals_sql(operator(spark.read.parquet(f"{SMALL}/documents.parquet")), ORACLES[query], documents=SMALL)
 
 
 def test_quotient_filters_merge_without_loss():

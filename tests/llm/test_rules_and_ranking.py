@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from shoplens.llm.oracles import ORACLES
 from shoplens.llm.quality_ranking import FEATURES, fit, quality_ranking, with_features
 from shoplens.llm.quality_rules import BASE, POLICIES, RULES, ablations, apply_policies, mask_of, quality_rules, reject_low_quality
 from shoplens.llm.registry import QUERIES
-from tests.llm.conftest import AWKWARD, words
+from tests.llm.conftest import AWKWARD, equals_sql, words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -51,12 +50,9 @@ def test_repeated_windows_of_periodic_texts(length):
     assert repeated_windows(texts).tolist() == expected
 
 
-def test_ledger_equals_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
-    names = [c[0] for c in con.execute(ORACLES["op4_quality_rules"]).description]
-    found = quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).select(names).collect()
-    assert sorted(map(tuple, found)) == sorted(con.execute(ORACLES["op4_quality_rules"]).fetchall())
+@pytest.mark.parametrize("query", ["op4_quality_rules", "rule_ablations"])
+def test_ledger_equals_sql(spark, query):
+    equals_sql(QUERIES[query](spark, SMALL), ORACLES[query], documents=SMALL)
 
 
 def test_policies_and_ablations_need_the_ledger_only(awkward):
@@ -76,7 +72,7 @@ def test_registered_queries_run_all_versions(spark):
     rows = QUERIES["op4_quality_rules"](spark, SMALL).collect()
     for version, rules in POLICIES.items():
         assert [r[f"kept_{version}"] for r in rows] == [r["fail_bits"] & mask_of(rules) == 0 for r in rows]
-    found = {(r["version"], r["rule"]): (r["failed"], r["rejected_by_it_alone"]) for r in QUERIES["op4_rule_ablations"](spark, SMALL).collect()}
+    found = {(r["version"], r["rule"]): (r["failed"], r["rejected_by_it_alone"]) for r in QUERIES["rule_ablations"](spark, SMALL).collect()}
     bits = [r["fail_bits"] for r in rows]
     assert found == {
         (version, rule): (sum(b & mask_of([rule]) > 0 for b in bits), sum(b & mask_of(rules) == mask_of([rule]) for b in bits))

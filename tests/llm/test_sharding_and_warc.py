@@ -7,14 +7,13 @@ import zlib
 from collections import Counter
 from dataclasses import replace
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shoplens.llm.oracles import ORACLES
 from shoplens.llm.sharding import Node, hash_tree_shards, shard_documents, shard_of, topology, with_region
 from shoplens.llm.warc import coalesced, parse_record, read_records, record_bytes, warc_round_trip, write_archives
-from tests.llm.conftest import AWKWARD, frame
+from tests.llm.conftest import AWKWARD, equals_sql, frame
 
 
 def test_shards_are_gapless_and_grow_into_the_new_one(spark, nothing):
@@ -113,12 +112,8 @@ def test_round_trip(pages, tmp_path):
 
 
 def test_round_trip_equals_sql(spark, tmp_path):
-    con = duckdb.connect()
-    con.execute("create view pages as select * from '/root/testdata/sf0.001/pages.parquet'")
-    cursor = con.execute(ORACLES["op6_warc"])
-    names = [c[0] for c in cursor.description]
-    found = warc_round_trip(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), str(tmp_path)).select(names)
-    assert sorted(map(tuple, found.collect())) == sorted(cursor.fetchall())
+    folder = "/root/testdata/sf0.001"
+    equals_sql(warc_round_trip(spark.read.parquet(f"{folder}/pages.parquet"), str(tmp_path)), ORACLES["op6_warc"], pages=folder)
 
 
 def test_chosen_records_are_read_with_their_payload(pages, tmp_path):
