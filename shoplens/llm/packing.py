@@ -11,6 +11,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ NEARLY_FULL = 8
 FAN_IN = 8
 VOCABULARY = "word_bpe_49k.json"
 END = (0).to_bytes(4, "little")
-# Words whose ids a worker remembers, some 400 MB.
-REMEMBERED = 2_000_000
+# Bytes of words and ids that a task remembers; the words themselves cost about as much again.
+REMEMBERED_BYTES = 32 << 20
+# What an entry of the memory takes beside the bytes of the word and of its ids.
+ENTRY_BYTES = 150
 WORDS_AT_ONCE = 2_000
 ROWS_AT_ONCE = 50_000
 
@@ -64,6 +67,7 @@ class WordIds:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.marks = {mark: self._one(mark.decode()) for mark in (b".", b",")}
 
     def _one(self, word: str) -> bytes:
@@ -81,9 +85,12 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Remember every word of ``words``."""
+        if self.held > REMEMBERED_BYTES:
+            # Words of the last texts are likely to come again.
+            self.known = {word: self.known[word] for word in words.intersection(self.known)}
+            self.held = self._size(self.known)
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        before = len(known)
         new = list(words.difference(known))
         bases, tails, letters = [], [], {}
         for word in new:
@@ -105,6 +112,14 @@ class WordIds:
             known.update(zip(some, self._several([base.decode() for base in some])))
         for (word, base), tail in zip(bases, tails):
             known[word] = known[base] + tail
+        self.held += self._size(dict(islice(known.items(), before, None)))
+
+    @staticmethod
+    def _size(some: dict[bytes, bytes]) -> int:
+        return sum(map(len, some)) + sum(map(len, some.values())) + ENTRY_BYTES * len(some)
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text and the end id."""
@@ -116,7 +131,7 @@ class WordIds:
 
 @cache
 def word_ids(path: str | None) -> WordIds:
-    """One for each worker, so that tasks share what it remembers."""
+    """One for each worker: the vocabulary is loaded once, what words gave is forgotten at the end of a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
 
@@ -184,6 +199,7 @@ def _local_packer(path: str | None, capacity: int, with_ids: bool):
                         rows.append((piece, start, len(own) // 4, zlib.crc32(own)))
                         raw_ids.append(own if with_ids else None)
                     place += 1
+        word_ids(path).forget()
         if not rows:
             return
         table = np.array(rows, np.int64)
@@ -247,7 +263,7 @@ def pack_documents(
 
     ``docs`` has doc_id and text; null texts count as empty and give one token, the end. ``tokenizer`` is a
     file of the tokenizers library. With ``with_ids`` each piece has its ids as little-endian 32-bit numbers.
-    Rows of equal ids are packed each. Tokens are made once: pieces are a written table.
+    Rows of equal ids are packed each; an empty table gives no pieces. Tokens are made once: pieces are a written table.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     key = docs.schema["doc_id"].dataType.simpleString()
