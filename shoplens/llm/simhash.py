@@ -16,9 +16,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from shoplens.llm.common import fresh, raw_texts, written
+from shoplens.llm.common import fresh, raw_texts, text_of, written
 from shoplens.llm.components import component_roots
 
 SHINGLE = 3
@@ -142,7 +142,8 @@ def near_components(narrow: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def simhash_components(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Fingerprint and component of every document.
 
-    Null texts count as empty: fingerprint zero, linked like any other. Equal texts collapse to one
+    Null texts count as empty: fingerprint zero, linked like any other. Every row gives one row, also repeated
+    ones; an empty table gives none. Equal texts collapse to one
     fingerprint before any index is built, so groups of copies cost nothing further.
     """
     narrow = with_fingerprint(documents.select("doc_id", "text"), "fingerprint", shingle).select("doc_id", "fingerprint")
@@ -156,18 +157,30 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, distance: i
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the smallest id. Columns stay as they are.
 
-    Of a component's rows that repeat that id one stays. Each component without any id keeps one row too.
+    Of a component's rows that repeat that id the one of smallest text hash stays, then of smallest hash of
+    all columns. Each component without any id keeps one row too. An empty table stays empty.
+
+    Fingerprints are made once: they are written beside the documents, and both the index and the choice
+    read them there.
     """
     mark, key, root, component = (fresh(docs, n) for n in ("_fingerprint", "_key", "_root", "_component"))
-    marked = with_fingerprint(docs, mark, shingle, text)
-    narrow = written(marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint")), "simhash")
+    marked = written(with_fingerprint(docs, mark, shingle, text), "marked")
+    narrow = marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint"))
     found = written(near_components(narrow, distance), "components").select(
         F.col("fingerprint").alias(key), F.col("root").alias(root), F.col("component_id").alias(component)
     )
-    first = marked.join(found, F.col(mark) == F.col(key)).where(F.col(doc_id).eqNullSafe(F.col(component)))
     columns = docs.columns
-    bearers = narrow.join(found, F.col("fingerprint") == F.col(key)).where(F.col("doc_id").eqNullSafe(F.col(component)))
-    repeated = written(bearers.groupBy(root).agg(F.count("*").alias("n")).where("n > 1").select(root), "repeated")
+
+    def bearers(rows: DataFrame, print_: str, own: str) -> DataFrame:
+        return rows.join(found, F.col(print_) == F.col(key)).where(F.col(own).eqNullSafe(F.col(component)))
+
+    times = bearers(narrow, "fingerprint", "doc_id").groupBy(root).agg(F.count("*").alias("n"))
+    repeated = written(times.where("n > 1").select(root), "repeated")
+    first = bearers(marked, mark, doc_id)
     if repeated.isEmpty():
         return first.select(columns)
-    return first.select(*columns, root).dropDuplicates([root]).select(columns)
+    hashes = [F.sha2(text_of(text), 256), F.xxhash64(*columns)]
+    nth = fresh(docs, "_nth")
+    # A group limit of one row comes before the exchange, so copies leave their task as one row.
+    order = Window.partitionBy(root).orderBy(*hashes)
+    return first.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(columns)
