@@ -155,7 +155,7 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
     """Per document the id that stays among equal normalised texts, and the size of its group.
 
     The text with most code points stays, of these the smallest id; a null id comes after all others.
-    Null texts count as empty. Rows alike in id and text count in ``group_size`` and are marked alike.
+    Null texts count as empty; an empty table gives no rows. Rows alike in id and text count in ``group_size`` and are marked alike.
     Texts are moved only where the merged filter may hold their fingerprint more than once, and copies
     within a task collapse before they move, so a group of any size is one row per task.
     """

@@ -115,6 +115,10 @@ def drop_shared_lines(
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
-    """Lines, dropped lines and the digest of the remaining text of every document."""
+    """Lines, dropped lines and the digest of the remaining text of every document.
+
+    Null and empty texts have one empty line. Rows of equal ids are one document to the counts and give a row
+    each; rows without an id are documents of their own. An empty table gives no rows.
+    """
     done = drop_shared_lines(documents.select("doc_id", "text"), counts=("n_lines", "n_dropped"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

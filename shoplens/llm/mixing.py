@@ -277,6 +277,11 @@ def sampled(
 
 
 def mix_sources(documents: DataFrame) -> DataFrame:
-    """Weight, probability and draw of every document. Null texts have no tokens, null sources and languages are REST."""
+    """Weight, probability and draw of every document.
+
+    Null and empty texts have no tokens and are drawn like the average token. A null source or language is a
+    category of its own where categories come from the data, and REST where shares are given. Rows of equal
+    ids are drawn together; an empty table gives no rows.
+    """
     named = [c for c in documents.columns if c in ("doc_id", "text", "source", "lang", "topic")]
     return calibrated(documents.select(named)).select("doc_id", "source", "lang", "mix.*")

@@ -249,7 +249,7 @@ def ppm_scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes
 
     Documents whose crc32 of the id leaves 0 on division by 10 are held out, the others train. A-Z are
     lower-cased; tokens are words and one end per document. Null texts count as empty and have their
-    end only. Every row is scored and trains by itself, also repeated ones.
+    end only. Every row is scored and trains by itself, also repeated ones; an empty table gives no rows.
 
     Text moves once, compressed, to the task that scores its chunk. A chunk sends each distinct string
     and word once, whatever their number, so a frequent word costs a row per chunk.

@@ -130,7 +130,7 @@ def quality_ranking(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Held out are documents whose crc32 of the id leaves 2 on division by 4. Null texts count as empty;
     labels without an id or a quality teach nothing; of several labels for one id the largest holds.
-    Every row of ``documents`` gives one row, also repeated ones.
+    Every row of ``documents`` gives one row, also repeated ones; an empty table gives none.
     """
     docs = written(with_features(documents.select("doc_id", "text")).select("doc_id", "features"), "features")
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))

@@ -114,7 +114,7 @@ def shard_documents(docs: DataFrame, tree: Node, grown: Node, key: str = "doc_id
 def hash_tree_shards(documents: DataFrame) -> DataFrame:
     """Sixteen shards by key, and the shard of each document if a seventeenth is added.
 
-    Null texts have size 1 and the checksum of nothing. Repeated ids go to one shard.
+    Null texts have size 1 and the checksum of nothing. Repeated ids go to one shard; an empty table gives no rows.
     """
     tree = topology()
     placed = shard_documents(documents.select("doc_id", "text"), tree, with_region(tree, "region-grown", SHARDS))

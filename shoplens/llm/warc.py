@@ -25,6 +25,8 @@ from shoplens.llm.common import scratch_path, text_of, written
 MIN_REVISIT_BYTES = 1_000
 FILE_BYTES = 512 << 20
 READ_BYTES = 8 << 20
+# Archive bytes that a task reads.
+TASK_BYTES = 64 << 20
 GAP_BYTES = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -184,8 +186,12 @@ def coalesced(places: list[tuple[str, int, int]], most: int = READ_BYTES, gap: i
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records that the rows of ``index`` point to, parsed and checked.
 
-    Rows are sorted by file and offset, so that a task reads a stretch of few files.
+    Rows are sorted by file and offset, so that a task reads a stretch of few files. The number of tasks
+    follows from the bytes to read, which the narrow index rows don't show. An empty index gives no records.
     """
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     kind = index.schema["page_id"].dataType
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +207,16 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
                     rows = [row | {"payload": None} for row in rows]
                 yield pa.RecordBatch.from_pylist(rows, _arrow_schema(RECORDS))
 
-    places = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, RECORDS).withColumns({x: F.col(x).cast(kind) for x in ("page_id", "refers_to")})
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Every page as its archive record says after writing and reading back."""
+    """Every page as its archive record says after writing and reading back.
+
+    Null html is an empty payload. Rows of equal page_id are records of their own; an empty table gives no
+    rows and no archive.
+    """
     folder = folder or scratch_path(pages, "warc")
     records = read_records(write_archives(pages.select("page_id", "url", "html"), folder), folder, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
