@@ -104,3 +104,47 @@ ORACLES = {
         from judged group by doc_id
     """,
 }
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Product codes with every round spelled out and every entry compared."""
+    near = """
+            select p.id, p.vec_id, p.label, p.part, p.v, min(struct_pack(
+                d := list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))),
+                e := b.entry)) as best
+            from parts p join {book} b using (part) group by all"""
+    steps = [
+        f"""
+        with kept as (
+            select row_number() over (order by vec_id, embedding) as id, vec_id, label,
+                   list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), parts as (
+            select id, vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] as v
+            from kept, range({parts}) r(part)
+        ), book0 as (select part, id - 1 as entry, v from parts where id <= {entries})"""
+    ]
+    for k in range(rounds):
+        steps.append(f"""near{k} as materialized ({near.format(book=f"book{k}")}
+        ), means{k} as (
+            select part, best.e as entry, i, cast(floor(sum(v[i]) / count(*)) as bigint) as m
+            from near{k}, range(1, (select max(len(v)) + 1 from parts)) r(i) group by all
+        ), book{k + 1} as materialized (
+            select part, entry, coalesce(m.v, b.v) as v
+            from book{k} b left join (select part, entry, list(m order by i) as v from means{k} group by all) m using (part, entry)
+        )""")
+    steps.append(f"""final as materialized ({near.format(book=f"book{rounds}")}
+        ), coded as (
+            select id, vec_id, label, string_agg(lower(printf('%02x', best.e)), '' order by part) as code,
+                   cast(sum(best.d) as bigint) as error
+            from final group by all
+        )
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+               (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from book{rounds}) as codebooks_sha256
+        from coded
+    """)
+    return ", ".join(steps)
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()

@@ -17,6 +17,7 @@ from shoplens.llm.quality_ranking import quality_ranking
 from shoplens.llm.quality_rules import quality_rules, rule_ablations
 from shoplens.llm.sharding import hash_tree_shards
 from shoplens.llm.simhash import simhash_components
+from shoplens.llm.vector_codes import vector_codes
 from shoplens.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": _over(line_dedup, "documents"),
     "op9_simhash": _over(simhash_components, "documents"),
     "op10_packing": _over(pack_documents, "documents"),
+    "op12_vector_codes": _over(vector_codes, "embeddings"),
     "pipeline": corpus_pipeline.run,
 }
 
