@@ -18,6 +18,7 @@ from shoplens.llm.quality_rules import quality_rules, rule_ablations
 from shoplens.llm.sharding import hash_tree_shards
 from shoplens.llm.simhash import simhash_components
 from shoplens.llm.token_alignment import token_alignment
+from shoplens.llm.toxicity import toxicity
 from shoplens.llm.vector_codes import vector_codes
 from shoplens.llm.warc import warc_round_trip
 
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": _over(line_dedup, "documents"),
     "op9_simhash": _over(simhash_components, "documents"),
     "op10_packing": _over(pack_documents, "documents"),
+    "op11_toxicity": _over(toxicity, "documents", "labels"),
     "op12_vector_codes": _over(vector_codes, "embeddings"),
     "op13_token_alignment": _over(token_alignment, "documents"),
     "pipeline": corpus_pipeline.run,
