@@ -160,7 +160,7 @@ def kmeans_invariants(w: Workspace) -> DataFrame:
     features = scaled_features(purchasers(w.profiles()))
     model = fit_clusters(features, w.store)
     clustered = w.store.scratch("labelled", labelled(features, model).select("customer_id", "total_spend", *SCALED, "kmeans_cluster"))
-    nearest = nearest_centre(clustered.withColumnRenamed("kmeans_cluster", "label"), model.clusterCenters())
+    nearest = nearest_centre(clustered.withColumnRenamed("kmeans_cluster", "label"), model.centres)
     rows = nearest.agg(
         F.count("*").alias("purchasing_customers"),
         F.count_distinct("label").alias("clusters"),

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from random import Random
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoplens.operators.order_stats import grouped_quantiles
@@ -21,10 +19,10 @@ CLUSTER_NAMES = ["VIP Spenders", "Active Customers", "Slipping Customers", "Lost
 STARTS = 10
 SEED = 42
 MAX_ITERATIONS = 300
-# Fits at a time; each holds its own copy of the three features in memory.
-PARALLEL_FITS = 4
+# Customers that the first centres are drawn from.
+SEEDING_ROWS = 4_096
 # Stopping rule on unit-variance features: the squared shifts of all centres add up to 1e-4 at
-# most. Spark limits the shift of each centre, so each gets its share.
+# most, of which each centre gets its share.
 CENTRE_SHIFT = (1e-4 / len(CLUSTER_NAMES)) ** 0.5
 
 
@@ -46,43 +44,103 @@ def scaled_features(active: DataFrame) -> DataFrame:
     return active.withColumns({f"{x}_scaled": scale(x) for x in FEATURES})
 
 
-def fit_best_of(vectors: DataFrame, k: int, starts: int, seed: int):
-    """The fitted model of lowest cost among ``starts`` seeds, the smallest seed among equals.
+@dataclass(frozen=True)
+class Clusters:
+    """Centres of the scaled features, and the sum of all squared distances to the nearest of them."""
 
-    A few fits run side by side, so the short jobs of one fill the gaps of another. The block
-    solver packs rows into matrices and caches those itself, so ``vectors`` need no caching.
-    """
+    centres: list[tuple[float, ...]]
+    cost: float
+
+
+def _square(point: Sequence[float], centre: Sequence[float]) -> float:
+    return sum((a - b) ** 2 for a, b in zip(point, centre))
+
+
+def first_centres(points: list[tuple[float, ...]], k: int, seed: int) -> list[tuple[float, ...]]:
+    """k of the points, each drawn with a probability that grows with its squared distance to those before."""
+    rng = Random(seed)
+    centres = [rng.choice(points)]
+    nearest = [_square(p, centres[0]) for p in points]
+    while len(centres) < k:
+        # All points at their centres: any will do.
+        weights = nearest if sum(nearest) > 0 else None
+        centres.append(rng.choices(points, weights)[0])
+        nearest = [min(d, _square(p, centres[-1])) for d, p in zip(nearest, points)]
+    return centres
+
+
+def _nearest(centres: Sequence[Sequence[float]]) -> Column:
+    """Struct (d, i): squared distance and index of the closest centre, the lower index among equals."""
+    distances = []
+    for index, centre in enumerate(centres):
+        squares = [(F.col(x) - F.lit(float(c))) * (F.col(x) - F.lit(float(c))) for x, c in zip(SCALED, centre)]
+        distances.append(F.struct((squares[0] + squares[1] + squares[2]).alias("d"), F.lit(index).alias("i")))
+    return F.array_min(F.array(*distances))
 
-    def fit(offset: int):
-        return KMeans(k=k, seed=seed + offset, maxIter=MAX_ITERATIONS, tol=CENTRE_SHIFT, solver="block").fit(vectors)
 
-    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        # Cancelling the request reaches the fits.
-        models = list(pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(starts)))
-    return min(models, key=lambda model: model.summary.trainingCost)
+def lloyd_step(points: DataFrame, starts: dict[int, list[tuple[float, ...]]]) -> DataFrame:
+    """Per start and cluster: members, sums of the features and cost, for the centres of several starts.
 
+    One scan and one aggregate whatever the number of starts: each task sends a line per start and cluster.
+    """
+    placed = F.array(*[F.struct(F.lit(s).alias("start"), _nearest(centres).alias("near")) for s, centres in starts.items()])
+    sums = [F.sum(x).alias(x) for x in SCALED]
+    return (
+        points.select(*SCALED, F.inline(placed))
+        .groupBy("start", F.col("near.i").alias("cluster"))
+        .agg(F.count("*").alias("n"), *sums, F.sum("near.d").alias("cost"))
+    )
 
-def _vectors(features: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=SCALED, outputCol="features").transform(features)
 
+def fit_best_of(points: DataFrame, sample: list[tuple[float, ...]], k: int, starts: int, seed: int) -> Clusters:
+    """The clusters of lowest cost among ``starts`` seeds, the smallest seed among equals.
 
-def fit_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> KMeansModel:
-    """The best of ``starts`` fits of four clusters to the scaled features."""
+    All starts move together: an iteration is one aggregate over ``points`` for the starts whose centres
+    still move. A cluster without members stays where it is.
+    """
+    centres = {s: first_centres(sample, k, seed + s) for s in range(starts)}
+    moving = set(centres)
+    for _ in range(MAX_ITERATIONS):
+        if not moving:
+            break
+        for s, moved in _moved(points, {s: centres[s] for s in sorted(moving)}).items():
+            if all(_square(a, b) <= CENTRE_SHIFT**2 for a, b in zip(centres[s], moved)):
+                moving.discard(s)
+            centres[s] = moved
+    costs = {r["start"]: r["cost"] for r in lloyd_step(points, centres).groupBy("start").agg(F.sum("cost").alias("cost")).collect()}
+    best = min(centres, key=lambda s: (costs[s], s))
+    return Clusters(centres[best], costs[best])
+
+
+def _moved(points: DataFrame, starts: dict[int, list[tuple[float, ...]]]) -> dict[int, list[tuple[float, ...]]]:
+    moved = {s: list(centres) for s, centres in starts.items()}
+    for row in lloyd_step(points, starts).collect():
+        moved[row["start"]][row["cluster"]] = tuple(row[x] / row["n"] for x in SCALED)
+    return moved
+
+
+def fit_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> Clusters:
+    """The best of ``starts`` fits of four clusters to the scaled features.
+
+    First centres are drawn from at most :data:`SEEDING_ROWS` customers, those of smallest id hash; every
+    iteration and the cost take all customers.
+    """
     k = len(CLUSTER_NAMES)
-    # Written in customer order: the iterations read a fixed layout, whatever tasks are lost.
-    staged = store.scratch("features", features.select("customer_id", *SCALED).orderBy("customer_id"))
+    # Written once, three numbers per customer: what the iterations read, whatever tasks are lost.
+    staged = store.scratch("features", features.select(F.xxhash64("customer_id").alias("_draw"), *SCALED))
     customers = staged.count()
     if customers < k:
         raise ValueError(f"{k} clusters need at least {k} purchasing customers, found {customers}")
-    return fit_best_of(_vectors(staged).select("features"), k, starts, seed)
+    sample = staged.orderBy("_draw", *SCALED).limit(SEEDING_ROWS).select(SCALED).collect()
+    return fit_best_of(staged.select(SCALED), [tuple(r) for r in sample], k, starts, seed)
 
 
-def labelled(features: DataFrame, model: KMeansModel) -> DataFrame:
+def labelled(features: DataFrame, clusters: Clusters) -> DataFrame:
     """Add ``kmeans_cluster``; ids are arbitrary, only :func:`name_clusters` orders them.
 
     Labelling is row-local, so every other column of ``features`` passes through without a join.
     """
-    return model.setPredictionCol("kmeans_cluster").transform(_vectors(features)).drop("features")
+    return nearest_centre(features, clusters.centres)
 
 
 def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> DataFrame:
@@ -91,34 +149,32 @@ def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS
 
 def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
     """Features with ``kmeans_cluster``, the index of the closest of the given centres."""
-    distances = []
-    for index, centre in enumerate(centres):
-        squares = [(F.col(x) - F.lit(float(c))) * (F.col(x) - F.lit(float(c))) for x, c in zip(SCALED, centre)]
-        distances.append(F.struct((squares[0] + squares[1] + squares[2]).alias("d"), F.lit(index).alias("i")))
-    return features.withColumn("kmeans_cluster", F.array_min(F.array(*distances))["i"])
+    return features.withColumn("kmeans_cluster", _nearest(centres)["i"])
 
 
-def name_clusters(clustered: DataFrame, store: StageStore) -> DataFrame:
-    """Median spend, ``spend_rank`` and ``cluster_name``: one line per cluster, four at most."""
-    medians = grouped_quantiles(clustered, ["kmeans_cluster"], "total_spend", [0.5], store)
+def _named(medians: DataFrame) -> DataFrame:
+    """Clusters with ``spend_rank`` and ``cluster_name``: one line per cluster, four at most."""
     names = F.array(*[F.lit(name) for name in CLUSTER_NAMES])
     by_spend = Window.orderBy(F.desc("median_spend"), "kmeans_cluster")
-    return (
-        medians.select("kmeans_cluster", F.col("quantiles")[0].alias("median_spend"))
-        .withColumn("spend_rank", F.row_number().over(by_spend))
-        .withColumn("cluster_name", F.element_at(names, F.col("spend_rank")))
+    return medians.withColumn("spend_rank", F.row_number().over(by_spend)).withColumn(
+        "cluster_name", F.element_at(names, F.col("spend_rank"))
     )
 
 
-def cluster_medians(clustered: DataFrame, store: StageStore) -> DataFrame:
-    """Named clusters with the medians of all three raw features, one line per cluster."""
+def name_clusters(clustered: DataFrame, store: StageStore) -> DataFrame:
+    """Median spend, ``spend_rank`` and ``cluster_name``: one line per cluster, four at most."""
+    medians = grouped_quantiles(clustered, ["kmeans_cluster"], ["total_spend"], [0.5], store)
+    return _named(medians.select("kmeans_cluster", F.col("total_spend")[0].alias("median_spend")))
 
-    def medians(feature: str, name: str) -> DataFrame:
-        found = grouped_quantiles(clustered, ["kmeans_cluster"], feature, [0.5], store)
-        return found.select("kmeans_cluster", F.col("quantiles")[0].alias(name))
 
-    return (
-        name_clusters(clustered, store)
-        .join(medians("recency_days", "median_recency"), "kmeans_cluster")
-        .join(medians("total_transactions", "median_frequency"), "kmeans_cluster")
+def cluster_medians(clustered: DataFrame, store: StageStore) -> DataFrame:
+    """Named clusters with the medians of all three raw features, from one pass, one line per cluster."""
+    medians = grouped_quantiles(clustered, ["kmeans_cluster"], ["total_spend", "recency_days", "total_transactions"], [0.5], store)
+    return _named(
+        medians.select(
+            "kmeans_cluster",
+            F.get("total_spend", F.lit(0)).alias("median_spend"),
+            F.get("recency_days", F.lit(0)).alias("median_recency"),
+            F.get("total_transactions", F.lit(0)).alias("median_frequency"),
+        )
     )

@@ -113,10 +113,8 @@ def box_statistics(df: DataFrame, by: str, value: str, store: StageStore) -> Dat
     the box itself.
     """
     shares = [0.25, 0.5, 0.75]
-    quartiles = grouped_quantiles(df, [by], value, shares, store)
-    boxes = quartiles.select(
-        by, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])]
-    )
+    quartiles = grouped_quantiles(df, [by], [value], shares, store)
+    boxes = quartiles.select(by, *[F.col(value)[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])])
     x = F.col(value)
     reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)

@@ -82,68 +82,70 @@ def rank_bins(df: DataFrame, value: str, key: str, store: StageStore, bins: int
     return bin_number
 
 
-def _between(share: Column, n: Column) -> tuple[Column, Column, Column]:
-    """Positions next to a share of ``n`` sorted rows, and how far the second one counts."""
-    at = share * (n - 1)
-    low = F.floor(at)
-    return low, F.least(low + 1, n - 1), at - low
-
-
-def grouped_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], store: StageStore) -> DataFrame:
-    """Exact interpolated quantiles of the non-null values per group: ``(*by, quantiles)``, written once.
-
-    Equal values are counted first, which spreads over all tasks. The counted values are sorted by
-    group and value in range partitions; a position is found by the rows that the partitions before
-    hold, and only the partition that has it is added up value by value.
+def _positions(shares: list[float], n: Column) -> Column:
+    """Array of (share number, position, weight): two neighbours for every share of ``n`` sorted rows."""
+    found = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (n - 1)
+        low = F.floor(at)
+        for position, weight in ((low, 1 - (at - low)), (F.least(low + 1, n - 1), at - low)):
+            found.append(F.struct(F.lit(i).alias("i"), position.alias("pos"), weight.alias("weight")))
+    return F.array(*found)
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], values: list[str], shares: list[float], store: StageStore) -> DataFrame:
+    """Exact interpolated quantiles of several columns in one pass: ``by`` and, per value column, an array by share.
+
+    Rows are melted to (group, column, value), equal ones counted first, which spreads over all tasks, and the
+    counts sorted once by range and written: the only table. One line per group, column and sort partition
+    says how many rows come before it, so each wanted position is known by its partition, and only the
+    partitions that have one are added up value by value. Groups and values that are null don't count; a
+    column without values in a group has an empty array.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
-    for column in rows.columns:
+    keys = [*by, "_c"]
+    melted = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(v).cast("double").alias("_v")) for i, v in enumerate(values)])
+    rows = df.select(*by, F.inline(melted))
+    for column in [*by, "_v"]:
         rows = rows.where(F.col(column).isNotNull())
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_times"))
-    counted = store.scratch("counted", counted.orderBy(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_times"))
+    counted = store.scratch("counted", counted.orderBy(*keys, "_v").withColumn("_part", F.spark_partition_id()))
 
-    # One line per group and sort partition, which a group has few of.
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # No more lines than groups and sort partitions together, since the order goes by group.
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
-        counted.groupBy(*by, "_part")
+        counted.groupBy(*keys, "_part")
         .agg(F.sum("_times").alias("_held"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum("_held").over(earlier), F.lit(0)),
-                "_n": F.sum("_held").over(Window.partitionBy(*by)),
-            }
-        )
-    )
-    low, high, rest = _between(F.col("_share"), F.col("_n"))
-    ends = F.array(F.struct(low.alias("_pos"), (1 - rest).alias("_weight")), F.struct(high.alias("_pos"), rest.alias("_weight")))
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    # Two lines per group and share, each at the partition that has the position.
-    targets = (
-        parts.select("*", F.posexplode(wanted).alias("_i", "_share"))
-        .select(*by, "_part", "_before", "_held", "_i", F.inline(ends))
-        .where((F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_held")))
-        .withColumn("_within", F.col("_pos") - F.col("_before"))
-        .select(*by, "_part", "_i", "_weight", "_within")
+        .withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
+        .withColumn("_n", F.sum("_held").over(Window.partitionBy(*keys)))
     )
-    targets = store.scratch("positions", targets)
-    upto = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counted.join(targets.select(*by, "_part").distinct(), [*by, "_part"], "left_semi").withColumn(
-        "_upto", F.sum("_times").over(upto)
+    here = F.filter(
+        _positions(shares, F.col("_n")),
+        lambda x: (x["pos"] >= F.col("_before")) & (x["pos"] < F.col("_before") + F.col("_held")),
     )
+    targets = parts.select(*keys, "_part", "_before", here.alias("_wanted")).where(F.size("_wanted") > 0)
+    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counted.join(targets, [*keys, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_times").over(upto))
+    hit = F.filter("_wanted", lambda x: (x["pos"] < F.col("_upto")) & (x["pos"] >= F.col("_upto") - F.col("_times")))
     found = (
-        reached.join(targets, [*by, "_part"])
-        .where((F.col("_within") < F.col("_upto")) & (F.col("_within") >= F.col("_upto") - F.col("_times")))
-        .groupBy(*by, "_i")
-        .agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(F.sum(F.col("_weight") * F.col("_v"))).alias("_q"))
+        reached.select(*keys, "_v", F.inline(hit))
+        .groupBy(*keys, "i")
+        .agg(F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise(F.sum(F.col("weight") * F.col("_v"))).alias("_q"))
     )
-    quantiles = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_found"))
-    return store.scratch("quantiles", quantiles.select(*by, F.col("_found._q").alias("quantiles")))
+
+    def of_column(i: int) -> Column:
+        own = F.collect_list(F.when(F.col("_c") == i, F.struct("i", "_q")))
+        return F.transform(F.array_sort(own), lambda x: x["_q"])
+
+    return found.groupBy(*by).agg(*[of_column(i).alias(v) for i, v in enumerate(values)])
+
+
+def quantiles_of(df: DataFrame, values: list[str], shares: list[float], store: StageStore) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of the non-null values of several columns, from one pass; an empty list without values."""
+    return grouped_quantiles(df, [], values, shares, store).first().asDict()
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], store: StageStore) -> list[float] | None:
-    """Exact interpolated quantiles of the non-null values of a column; none without values."""
-    found = grouped_quantiles(df.select(F.lit(1).alias("_all"), value), ["_all"], value, shares, store).first()
-    return found["quantiles"] if found else None
+    return quantiles_of(df, [value], shares, store)[value] or None
 
 
 def quantile(df: DataFrame, value: str, share: float, store: StageStore) -> float | None:

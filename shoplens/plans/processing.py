@@ -14,7 +14,7 @@ from shoplens.functions.columns import (
     net_revenue,
     whole_days,
 )
-from shoplens.operators.impute import fill_int, median_fill
+from shoplens.operators.impute import fill_int, median_fills
 from shoplens.operators.keep_first import keep_first
 from shoplens.sources.readers import INPUT_ORDER
 from shoplens.sources.schemas import CUSTOMERS_CLEAN, TRANSACTIONS_CLEAN, TRANSACTIONS_RAW
@@ -34,11 +34,8 @@ def fill_customers(unique: DataFrame, store: StageStore) -> DataFrame:
 
     The medians are looked up first, so pass a written table.
     """
-    filled = {
-        "age": median_fill(unique, "age", store),
-        "annual_income": median_fill(unique, "annual_income", store),
-        "satisfaction_score": fill_int("satisfaction_score", DEFAULT_SATISFACTION),
-    }
+    filled = median_fills(unique, ["age", "annual_income"], store)
+    filled["satisfaction_score"] = fill_int("satisfaction_score", DEFAULT_SATISFACTION)
     return unique.select([filled.get(name, F.col(name)) for name in CUSTOMERS_CLEAN.fieldNames()])
 
 

@@ -158,8 +158,8 @@ def gender_distribution(customers: DataFrame) -> DataFrame:
 
 
 def _mean_money(column: str) -> Column:
-    # Spends are exact to the fourth decimal; adding them as decimals does not depend on row order.
-    total = F.sum(F.col(column).cast("decimal(28,4)"))
+    # Revenue has eight decimals, and so have sums of it; adding them as decimals does not depend on row order.
+    total = F.sum(F.col(column).cast("decimal(38,8)"))
     return F.try_divide(total.cast("double"), F.count(column).cast("double"))
 
 

@@ -111,17 +111,19 @@ def test_grouped_quantiles_equal_numpy(spark, store):
     n = 3000
     values = hot_values(n)
     groups = np.random.default_rng(2).choice([1, 2, 3], n, p=[0.8, 0.1, 0.1])
-    pdf = pd.DataFrame({"customer_id": np.arange(n), "g": groups, "x": values})
-    df = spark.createDataFrame(pdf).repartition(4)
+    pdf = pd.DataFrame({"customer_id": np.arange(n), "g": groups, "x": values, "y": np.arange(n) % 17})
+    df = spark.createDataFrame(pdf).repartition(4).withColumn("none", F.lit(None).cast("int"))
     shares = [0.25, 0.5, 0.75]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = {r["g"]: r["quantiles"] for r in grouped_quantiles(df, ["g"], "x", shares, store).collect()}
+        found = {r["g"]: r for r in grouped_quantiles(df, ["g"], ["x", "y", "none"], shares, store).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(found) == 3
     for g, rows in pdf.groupby("g"):
-        assert found[g] == pytest.approx(np.quantile(rows["x"], shares), rel=1e-12)
+        assert found[g]["x"] == pytest.approx(np.quantile(rows["x"], shares), rel=1e-12)
+        assert found[g]["y"] == pytest.approx(np.quantile(rows["y"], shares), rel=1e-12)
+        assert found[g]["none"] == []
 
 
 def test_segment_of_every_code(spark):

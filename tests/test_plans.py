@@ -9,9 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import _QUERIES, CHOICE, queries, workspace
+from shoplens.operators.clustering import SCALED, cluster_medians, lloyd_step, nearest_centre, scaled_features
 from shoplens.operators.order_stats import quantile
 from shoplens.operators.slicing import DashboardFilter, filtered_sales, filtered_transactions
 from shoplens.plans.dashboard import SALES_KEYS
+from shoplens.plans.processing import fill_customers
+from shoplens.plans.segmentation import purchasers
+from shoplens.workspace import TYPICAL_CENTRES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -77,11 +81,40 @@ def test_no_buffer_takes_all_values(spark, store):
     profiles = workspace(spark, FOLDER).profiles()
     for name in ["cluster_medians", "spend_by_satisfaction_box", "rfm_scores"]:
         assert "percentile" not in plan_of(queries()[name](spark, FOLDER))
-    tables = []
-    scratch = store.scratch
-    store.scratch = lambda label, df: (tables.append(plan_of(df)), scratch(label, df))[1]
+    tables = counted_tables(store)
     quantile(profiles, "total_spend", 0.5, store)
-    assert tables and not any("percentile" in plan or "SinglePartition" in plan for plan in tables)
+    assert tables and not any("percentile" in plan or "SinglePartition" in plan for _, plan in tables)
+
+
+def counted_tables(store):
+    """The labels and plans of the tables that ``store`` writes from now on."""
+    tables, scratch = [], store.scratch
+    store.scratch = lambda label, df: (tables.append((label, plan_of(df))), scratch(label, df))[1]
+    return tables
+
+
+def test_one_table_for_all_quantiles(spark, store):
+    """Medians of several columns and groups come from one sort, whose counts are the only table."""
+    profiles = workspace(spark, FOLDER).profiles()
+    tables = counted_tables(store)
+    fill_customers(workspace(spark, FOLDER).unique_customers(), store).collect()
+    assert [label for label, _ in tables] == ["counted"] and tables[0][1].count("rangepartitioning") == 1
+    tables.clear()
+    clustered = nearest_centre(scaled_features(purchasers(profiles)), TYPICAL_CENTRES)
+    assert cluster_medians(clustered, store).count() == 4
+    assert [label for label, _ in tables] == ["counted"]
+
+
+def test_one_scan_for_all_starts(spark, store):
+    """An iteration reads the features once and adds up once, however many starts still move."""
+    points = store.scratch("points", scaled_features(purchasers(workspace(spark, FOLDER).profiles())).select(SCALED))
+    starts = {s: [(float(s), 0.0, 0.0), (0.0, 1.0, float(-s)), (1.0, 1.0, 1.0), (-1.0, 0.5, 2.0)] for s in range(10)}
+    plan = plan_of(lloyd_step(points, starts))
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(start") == 1
+    found = {(r["start"], r["cluster"]): r["n"] for r in lloyd_step(points, starts).collect()}
+    for s, centres in starts.items():
+        alone = nearest_centre(points, centres).groupBy("kmeans_cluster").count().collect()
+        assert {(s, r["kmeans_cluster"]): r["count"] for r in alone} == {k: n for k, n in found.items() if k[0] == s}
 
 
 def skewed(spark):
