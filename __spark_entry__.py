@@ -58,18 +58,19 @@ EVERYTHING = DashboardFilter()
 # Orders of this status are completed; the others leave some customers without a purchase.
 COMPLETED = "F"
 
-_WORKSPACES: dict[tuple[str, str, str | None], Workspace] = {}
+_WORKSPACES: dict[tuple[str, str, str | None], tuple[str, Workspace]] = {}
 
 
 def workspace(spark: SparkSession, sf_dir: str, status: str | None = None) -> Workspace:
     """Stages are built once per application and folder, then shared by the queries.
 
-    They are not rebuilt when files of the folder change within an application.
+    When a file of the folder's tables changes, they are built anew.
     """
     key = (spark.sparkContext.applicationId, sf_dir, status)
-    if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(spark, sf_dir, status=status)
-    return _WORKSPACES[key]
+    inputs = Workspace.inputs(spark, sf_dir)
+    if key not in _WORKSPACES or _WORKSPACES[key][0] != inputs:
+        _WORKSPACES[key] = (inputs, Workspace(spark, sf_dir, status=status))
+    return _WORKSPACES[key][1]
 
 
 def _completed(query: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
@@ -185,8 +186,13 @@ def _sales(w: Workspace, *keys: str) -> DataFrame:
     return sales(w.transactions(), keys)
 
 
-def _slice(w: Workspace, *keys: str, attributes: tuple[str, ...] = (), choice: DashboardFilter = CHOICE) -> DataFrame:
-    return filtered_sales(w.transactions(), w.profiles(), choice, keys, attributes)
+def _everything(w: Workspace, attribute: str) -> DataFrame:
+    return filtered_sales(w.transactions(), w.profiles(), EVERYTHING, attributes=(attribute,))
+
+
+def _summed(report: Callable[[DataFrame], DataFrame], keys_of: str) -> Callable[[Workspace], DataFrame]:
+    """A sales report of the filtered slice, from the sums that one scan gives all of them."""
+    return lambda w: report(reports.of_report(w.sales_summary("chosen", CHOICE), keys_of))
 
 
 def _chosen(w: Workspace) -> DataFrame:
@@ -194,10 +200,6 @@ def _chosen(w: Workspace) -> DataFrame:
     return filtered_customers(w.transactions(), w.segmented_by_centres(), CHOICE)
 
 
-def _kpis(w: Workspace, choice: DashboardFilter) -> DataFrame:
-    return reports.kpi_cards(_slice(w, attributes=("churn_status",), choice=choice))
-
-
 def duplicate_profile(w: Workspace) -> DataFrame:
     return quality.duplicate_profile(
         {"customers": (w.raw_customers(), "customer_id"), "transactions": (w.raw_transactions(), "transaction_id")}
@@ -296,13 +298,11 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "monthly_revenue": lambda w: reports.monthly_revenue(_sales(w, "year_month")),
     "revenue_by_season": lambda w: reports.revenue_by_season(_sales(w, "season")),
     "payment_split": lambda w: reports.payment_split(_sales(w, "payment_method")),
-    "revenue_by_location": lambda w: reports.revenue_by_location(
-        _slice(w, attributes=("location",), choice=EVERYTHING)
-    ),
+    "revenue_by_location": lambda w: reports.revenue_by_location(_everything(w, "location")),
     "category_performance": lambda w: reports.category_performance(_sales(w, "product_category")),
     "category_table_formatted": lambda w: reports.category_table(_sales(w, "product_category")),
     "top_products": lambda w: reports.top_products(_sales(w, "product_category", "product_name")),
-    "kpi_cards": lambda w: _kpis(w, EVERYTHING),
+    "kpi_cards": lambda w: reports.kpi_cards(_everything(w, "churn_status")),
     "filter_options": lambda w: reports.filter_options(w.transactions(), w.customers()),
     "rfm_distribution": lambda w: reports.rfm_distribution(w.segmented_by_centres()),
     "rfm_segment_metrics": lambda w: reports.rfm_segment_metrics(w.segmented_by_centres()),
@@ -332,14 +332,14 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
         filtered_transactions(w.transactions(), w.profiles(), CHOICE)
     ),
     "filtered_customers": lambda w: filtered_customers(w.transactions(), w.profiles(), CHOICE),
-    "dashboard_kpi_cards": lambda w: _kpis(w, CHOICE),
-    "dashboard_kpi_cards_formatted": lambda w: reports.kpi_cards_formatted(_slice(w, attributes=("churn_status",))),
-    "dashboard_monthly_revenue": lambda w: reports.monthly_revenue(_slice(w, "year_month")),
-    "dashboard_payment_split": lambda w: reports.payment_split(_slice(w, "payment_method")),
-    "dashboard_revenue_by_location": lambda w: reports.revenue_by_location(_slice(w, attributes=("location",))),
-    "dashboard_category_performance": lambda w: reports.category_performance(_slice(w, "product_category")),
-    "dashboard_category_table_formatted": lambda w: reports.category_table(_slice(w, "product_category")),
-    "dashboard_top_products": lambda w: reports.top_products(_slice(w, "product_category", "product_name")),
+    "dashboard_kpi_cards": _summed(reports.kpi_cards, "kpi_cards"),
+    "dashboard_kpi_cards_formatted": _summed(reports.kpi_cards_formatted, "kpi_cards"),
+    "dashboard_monthly_revenue": _summed(reports.monthly_revenue, "monthly_revenue"),
+    "dashboard_payment_split": _summed(reports.payment_split, "payment_split"),
+    "dashboard_revenue_by_location": _summed(reports.revenue_by_location, "revenue_by_location"),
+    "dashboard_category_performance": _summed(reports.category_performance, "category_performance"),
+    "dashboard_category_table_formatted": _summed(reports.category_table, "category_performance"),
+    "dashboard_top_products": _summed(reports.top_products, "top_products"),
     "dashboard_rfm_distribution": lambda w: reports.rfm_distribution(_chosen(w)),
     "dashboard_cluster_profile": lambda w: reports.cluster_profile(_chosen(w)),
     "dashboard_cluster_profile_formatted": lambda w: reports.cluster_profile_formatted(_chosen(w)),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from random import Random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoplens.operators.order_stats import grouped_quantiles
@@ -19,7 +20,7 @@ CLUSTER_NAMES = ["VIP Spenders", "Active Customers", "Slipping Customers", "Lost
 STARTS = 10
 SEED = 42
 MAX_ITERATIONS = 300
-# Customers that the first centres are drawn from.
+# Customers that the starts begin from.
 SEEDING_ROWS = 4_096
 # Stopping rule on unit-variance features: the squared shifts of all centres add up to 1e-4 at
 # most, of which each centre gets its share.
@@ -69,61 +70,72 @@ def first_centres(points: list[tuple[float, ...]], k: int, seed: int) -> list[tu
     return centres
 
 
-def _nearest(centres: Sequence[Sequence[float]]) -> Column:
-    """Struct (d, i): squared distance and index of the closest centre, the lower index among equals."""
-    distances = []
-    for index, centre in enumerate(centres):
-        squares = [(F.col(x) - F.lit(float(c))) * (F.col(x) - F.lit(float(c))) for x, c in zip(SCALED, centre)]
-        distances.append(F.struct((squares[0] + squares[1] + squares[2]).alias("d"), F.lit(index).alias("i")))
-    return F.array_min(F.array(*distances))
+def settled(points: list[tuple[float, ...]], centres: list[tuple[float, ...]]) -> list[tuple[float, ...]]:
+    """``centres`` moved to the means of their nearest points until they rest: where a start begins on all rows."""
+    x, own = np.array(points), np.array(centres)
+    for _ in range(MAX_ITERATIONS):
+        label = ((x[:, None, :] - own) ** 2).sum(2).argmin(1)
+        moved = np.array([x[label == k].mean(0) if (label == k).any() else own[k] for k in range(len(own))])
+        rests = (((moved - own) ** 2).sum(1) <= CENTRE_SHIFT**2).all()
+        own = moved
+        if rests:
+            break
+    return [tuple(c) for c in own.tolist()]
 
 
-def lloyd_step(points: DataFrame, starts: dict[int, list[tuple[float, ...]]]) -> DataFrame:
-    """Per start and cluster: members, sums of the features and cost, for the centres of several starts.
+def lloyd_step(points: DataFrame, centres: list[list[tuple[float, ...]]], moving: set[int]) -> DataFrame:
+    """Per start and cluster: members, sums of the features and cost, for those of the starts that move.
 
     One scan and one aggregate whatever the number of starts: each task sends a line per start and cluster.
+    The centres of the moving starts are one array value, over which a row is exploded, so every iteration runs
+    the same generated code. Expressions are text, since a call per operator would outlast the scan.
     """
-    placed = F.array(*[F.struct(F.lit(s).alias("start"), _nearest(centres).alias("near")) for s, centres in starts.items()])
-    sums = [F.sum(x).alias(x) for x in SCALED]
+    size = len(SCALED)
+
+    def array(numbers: Iterable[float]) -> str:
+        return f"array({', '.join(f'{float(x)!r}D' for x in numbers)})"
+
+    given = ", ".join(f"named_struct('start', {s}, 'c', {array(v for own in centres[s] for v in own)})" for s in sorted(moving))
+    distances = []
+    for k in range(len(centres[0])):
+        squares = [f"({x} - at.c[{k * size + i}]) * ({x} - at.c[{k * size + i}])" for i, x in enumerate(SCALED)]
+        distances.append(f"named_struct('d', {' + '.join(squares)}, 'i', {k})")
+    sums = [f"sum({x}) AS {x}" for x in SCALED]
     return (
-        points.select(*SCALED, F.inline(placed))
+        points.selectExpr(*SCALED, f"explode(array({given})) AS at")
+        .selectExpr(*SCALED, "at.start AS start", f"array_min(array({', '.join(distances)})) AS near")
         .groupBy("start", F.col("near.i").alias("cluster"))
-        .agg(F.count("*").alias("n"), *sums, F.sum("near.d").alias("cost"))
+        .agg(*[F.expr(e) for e in ["count(*) AS n", *sums, "sum(near.d) AS cost"]])
     )
 
 
 def fit_best_of(points: DataFrame, sample: list[tuple[float, ...]], k: int, starts: int, seed: int) -> Clusters:
     """The clusters of lowest cost among ``starts`` seeds, the smallest seed among equals.
 
-    All starts move together: an iteration is one aggregate over ``points`` for the starts whose centres
+    Each start begins where its centres rest on the sample, which saves passes over all rows. All starts move together: an iteration is one aggregate over ``points`` for the starts whose centres
     still move. A cluster without members stays where it is.
     """
-    centres = {s: first_centres(sample, k, seed + s) for s in range(starts)}
-    moving = set(centres)
+    centres = [settled(sample, first_centres(sample, k, seed + s)) for s in range(starts)]
+    moving = set(range(starts))
     for _ in range(MAX_ITERATIONS):
         if not moving:
             break
-        for s, moved in _moved(points, {s: centres[s] for s in sorted(moving)}).items():
-            if all(_square(a, b) <= CENTRE_SHIFT**2 for a, b in zip(centres[s], moved)):
-                moving.discard(s)
-            centres[s] = moved
-    costs = {r["start"]: r["cost"] for r in lloyd_step(points, centres).groupBy("start").agg(F.sum("cost").alias("cost")).collect()}
-    best = min(centres, key=lambda s: (costs[s], s))
+        moved = [list(own) for own in centres]
+        for row in lloyd_step(points, centres, moving).collect():
+            moved[row["start"]][row["cluster"]] = tuple(row[x] / row["n"] for x in SCALED)
+        still = {s for s in moving if any(_square(a, b) > CENTRE_SHIFT**2 for a, b in zip(centres[s], moved[s]))}
+        centres, moving = moved, still
+    found = lloyd_step(points, centres, set(range(starts))).groupBy("start").agg(F.sum("cost").alias("cost"))
+    costs = {r["start"]: r["cost"] for r in found.collect()}
+    best = min(range(starts), key=lambda s: (costs[s], s))
     return Clusters(centres[best], costs[best])
 
 
-def _moved(points: DataFrame, starts: dict[int, list[tuple[float, ...]]]) -> dict[int, list[tuple[float, ...]]]:
-    moved = {s: list(centres) for s, centres in starts.items()}
-    for row in lloyd_step(points, starts).collect():
-        moved[row["start"]][row["cluster"]] = tuple(row[x] / row["n"] for x in SCALED)
-    return moved
-
-
 def fit_clusters(features: DataFrame, store: StageStore, starts: int = STARTS, seed: int = SEED) -> Clusters:
     """The best of ``starts`` fits of four clusters to the scaled features.
 
-    First centres are drawn from at most :data:`SEEDING_ROWS` customers, those of smallest id hash; every
-    iteration and the cost take all customers.
+    Starts begin from at most :data:`SEEDING_ROWS` customers, those of smallest id hash; from there on every
+    iteration, and the cost, takes all customers.
     """
     k = len(CLUSTER_NAMES)
     # Written once, three numbers per customer: what the iterations read, whatever tasks are lost.
@@ -149,7 +161,11 @@ def kmeans_clusters(features: DataFrame, store: StageStore, starts: int = STARTS
 
 def nearest_centre(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
     """Features with ``kmeans_cluster``, the index of the closest of the given centres."""
-    return features.withColumn("kmeans_cluster", _nearest(centres)["i"])
+    distances = []
+    for index, centre in enumerate(centres):
+        squares = [(F.col(x) - F.lit(float(c))) * (F.col(x) - F.lit(float(c))) for x, c in zip(SCALED, centre)]
+        distances.append(F.struct((squares[0] + squares[1] + squares[2]).alias("d"), F.lit(index).alias("i")))
+    return features.withColumn("kmeans_cluster", F.array_min(F.array(*distances))["i"])
 
 
 def _named(medians: DataFrame) -> DataFrame:

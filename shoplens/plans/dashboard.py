@@ -52,29 +52,31 @@ def dashboard(
 ) -> dict[str, DataFrame]:
     """Every table of the dashboard for one choice of filters.
 
-    The filtered customers and the filtered sales are written once, since about ten tables read
-    each of them; the facts are scanned and joined for one request only once. The tables read
+    The filtered customers are written once, since about ten tables read them. The facts are scanned and
+    joined once for all sales tables, which read the written sums by the keys of each. The tables read
     scratch tables of ``store``, so give a request a store of its own: ``with store.request() as own``.
     """
     customers = store.scratch("filtered-customers", filtered_customers(transactions, segmented, choice))
-    lines = store.scratch(
-        "filtered-sales",
-        filtered_sales(transactions, segmented, choice, SALES_KEYS, ["location", "churn_status"]),
-    )
+    lines = filtered_sales(transactions, segmented, choice, SALES_KEYS, ["location", "churn_status"])
+    summary = store.scratch("sales-summary", reports.sales_summary(lines), partition_by="report")
+
+    def sales(report: str) -> DataFrame:
+        return reports.of_report(summary, report)
+
     return {
         "filter_options": reports.filter_options(transactions, segmented),
         "filtered_transactions": filtered_transactions(transactions, segmented, choice),
         "filtered_customers": customers,
-        "kpi_cards": reports.kpi_cards(lines),
-        "kpi_cards_formatted": reports.kpi_cards_formatted(lines),
-        "monthly_revenue": reports.monthly_revenue(lines),
-        "payment_split": reports.payment_split(lines),
+        "kpi_cards": reports.kpi_cards(sales("kpi_cards")),
+        "kpi_cards_formatted": reports.kpi_cards_formatted(sales("kpi_cards")),
+        "monthly_revenue": reports.monthly_revenue(sales("monthly_revenue")),
+        "payment_split": reports.payment_split(sales("payment_split")),
         "age_histogram": histogram(customers, "age", DASHBOARD_BINS),
         "income_histogram": histogram(customers, "annual_income", DASHBOARD_BINS),
-        "revenue_by_location": reports.revenue_by_location(lines),
-        "category_performance": reports.category_performance(lines),
-        "category_table": reports.category_table(lines),
-        "top_products": reports.top_products(lines),
+        "revenue_by_location": reports.revenue_by_location(sales("revenue_by_location")),
+        "category_performance": reports.category_performance(sales("category_performance")),
+        "category_table": reports.category_table(sales("category_performance")),
+        "top_products": reports.top_products(sales("top_products")),
         "rfm_distribution": reports.rfm_distribution(customers),
         "cluster_scatter": reports.cluster_scatter(customers),
         "cluster_profile": reports.cluster_profile(customers),

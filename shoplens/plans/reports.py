@@ -16,6 +16,41 @@ CHURN_ALERT_ABOVE = 20
 TOP_PRODUCTS = 10
 
 
+# Keys of every sales report; those of the key figures are one line per customer.
+SALES_REPORTS = {
+    "monthly_revenue": ["year_month"],
+    "payment_split": ["payment_method"],
+    "category_performance": ["product_category"],
+    "top_products": ["product_category", "product_name"],
+    "revenue_by_location": ["location"],
+    "kpi_cards": ["customer_id", "churn_status"],
+}
+
+
+def sales_summary(sales: DataFrame) -> DataFrame:
+    """Sales lines added up by the keys of every sales report in one scan: ``report``, all keys, the sums.
+
+    One aggregate over grouping sets; a task sends a line per report and key it has. Few lines per report
+    but for the key figures, so write it partitioned by ``report`` and take each with :func:`of_report`.
+    """
+    keys = list(dict.fromkeys(key for own in SALES_REPORTS.values() for key in own))
+    # The grouping id has a bit per key, the last key the lowest, set where a report lacks the key.
+    ids = {sum(1 << i for i, key in enumerate(reversed(keys)) if key not in own): name for name, own in SALES_REPORTS.items()}
+    name_of = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    summed = sales.groupingSets([[F.col(key) for key in own] for own in SALES_REPORTS.values()], *keys).agg(
+        F.grouping_id().alias("_set"),
+        money_sum(F.col("revenue")).alias("revenue"),
+        F.sum("orders").alias("orders"),
+        F.sum("rows").alias("rows"),
+    )
+    return summed.select(name_of[F.col("_set").cast("int")].alias("report"), *keys, "revenue", "orders", "rows")
+
+
+def of_report(summary: DataFrame, report: str) -> DataFrame:
+    """The lines that one report takes as its sales: its keys and the sums."""
+    return summary.where(F.col("report") == report).select(*SALES_REPORTS[report], "revenue", "orders", "rows")
+
+
 def _present(df: DataFrame, *keys: str) -> DataFrame:
     for key in keys:
         df = df.where(F.col(key).isNotNull())

@@ -1,11 +1,15 @@
 """Stage tables: written results that later steps read instead of recomputing.
 
 They live below one folder that every executor can reach, so a lost executor costs the rerun of
-its tasks and never a result that was already written.
+its tasks and never a result that was already written. A stage has versions: each write makes a folder
+of its own, which a small pointer file publishes once it is complete, so a failed write leaves the last
+version in place.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import tempfile
 import uuid
@@ -30,6 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system, which any store that Spark reads has."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of names, sizes and times of all files below ``paths``; it changes when a file does."""
+    found = []
+    for path in paths:
+        folder, system = _folder(spark, path)
+        if system.exists(folder):
+            files = system.listFiles(folder, True)
+            while files.hasNext():
+                status = files.next()
+                found.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
+
+
+# Pointer files: the highest number names the version in use.
+_POINTER = re.compile(r"_published-(\d{10})-[0-9a-f]+")
+
+
 class StageStore:
     """Reads and writes stage tables below ``root``."""
 
@@ -39,15 +66,64 @@ class StageStore:
         if root is None:
             root = f"{shared_folder(spark)}/shoplens-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.root = root.rstrip("/")
-        self._known: dict[str, DataFrame] = {}
+        self._known: dict[str, tuple[str | None, DataFrame]] = {}
+
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointer files of a stage, the newest first."""
+        folder, system = _folder(self.spark, f"{self.root}/{name}")
+        if not system.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(folder)]
+        return sorted(filter(_POINTER.fullmatch, names), reverse=True)
+
+    def published(self, name: str) -> dict | None:
+        """What the newest pointer says: ``version``, ``schema`` and ``inputs``; none before the first write ends."""
+        pointers = self._pointers(name)
+        return self._told(name, pointers[0]) if pointers else None
+
+    def _told(self, name: str, pointer: str) -> dict:
+        file, system = _folder(self.spark, f"{self.root}/{name}/{pointer}")
+        stream = system.open(file)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, name: str, version: str, schema: T.StructType, inputs: str | None) -> None:
+        """Make ``version`` the one that readers get; the one before stays for those that read it now."""
+        before = self._pointers(name)
+        number = int(_POINTER.fullmatch(before[0]).group(1)) + 1 if before else 0
+        told = {"version": version, "schema": json.loads(schema.json()), "inputs": inputs, "format": self.fmt}
+        draft, system = _folder(self.spark, f"{self.root}/{name}/_draft-{uuid.uuid4().hex}")
+        stream = system.create(draft)
+        try:
+            stream.write(json.dumps(told).encode())
+        finally:
+            stream.close()
+        final, _ = _folder(self.spark, f"{self.root}/{name}/_published-{number:010d}-{uuid.uuid4().hex[:8]}")
+        if not system.rename(draft, final):
+            raise OSError(f"stage {name} could not be published")
+        for pointer in before[1:]:
+            self._delete(f"{self.root}/{name}/{self._told(name, pointer)['version']}")
+            self._delete(f"{self.root}/{name}/{pointer}")
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """The folder of the version in use."""
+        told = self.published(name)
+        return f"{self.root}/{name}/{told['version']}" if told else f"{self.root}/{name}"
 
     def write(
-        self, name: str, df: DataFrame, partition_by: str | None = None, order_by: list[str] | None = None
+        self,
+        name: str,
+        df: DataFrame,
+        partition_by: str | None = None,
+        order_by: list[str] | None = None,
+        inputs: str | None = None,
     ) -> DataFrame:
-        """Overwrite stage ``name`` and return it as read back.
+        """Write a new version of stage ``name``, publish it and return it as read back.
+
+        A version is published when all of its files are complete, so readers and a failed or repeated write
+        never meet half of it. ``inputs`` is a fingerprint of what it was made from.
 
         With ``order_by`` rows are sorted over all files, in the order of the file names.
 
@@ -73,32 +149,52 @@ class StageStore:
             )
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.save(self.path(name))
+        version = f"version-{uuid.uuid4().hex}"
+        writer.save(f"{self.root}/{name}/{version}")
+        self._publish(name, version, schema, inputs)
         return self.read(name, schema)
 
     def read(self, name: str, schema: T.StructType, made_by: str | None = None) -> DataFrame:
-        """Stage ``name`` with its columns in schema order."""
+        """Stage ``name`` in the version that was published last, with its columns in schema order."""
+        if self.published(name) is None:
+            hint = f" Run {made_by} first." if made_by else ""
+            raise FileNotFoundError(f"No data at {self.root}/{name}.{hint}")
         return read_table(self.spark, self.path(name), schema, self.fmt, made_by).select(schema.fieldNames())
 
-    def table(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
-        """Stage ``name``, built at its first use and then shared by every caller of this store."""
-        if name not in self._known:
-            self._known[name] = self.write(name, build(), partition_by)
-        return self._known[name]
+    def table(
+        self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None, inputs: str | None = None
+    ) -> DataFrame:
+        """Stage ``name``, built at its first use and then shared by every caller of this store.
 
-    def scratch(self, label: str, df: DataFrame) -> DataFrame:
+        With ``inputs``, the fingerprint of what ``build`` reads, a version that was made from the same
+        inputs is read instead, also one of an earlier application, and other inputs build a new one.
+        """
+        known = self._known.get(name)
+        if known is None or known[0] != inputs:
+            told = self.published(name) if inputs else None
+            if told and told["inputs"] == inputs:
+                table = self.read(name, T.StructType.fromJson(told["schema"]))
+            else:
+                table = self.write(name, build(), partition_by, inputs=inputs)
+            self._known[name] = known = (inputs, table)
+        return known[1]
+
+    def scratch(self, label: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Write an intermediate result once, as Parquet under a name of its own."""
-        path = self.path(f"scratch/{label}-{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path = f"{self.root}/scratch/{label}-{uuid.uuid4().hex}"
+        if partition_by:
+            df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+        else:
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(df.columns)
 
     def _delete(self, path: str) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, system = _folder(self.spark, path)
+        system.delete(folder, True)
 
     def clear_scratch(self) -> None:
         """Delete the scratch tables of this store, once the results that read them are written."""
-        self._delete(self.path("scratch"))
+        self._delete(f"{self.root}/scratch")
 
     @contextmanager
     def request(self) -> Iterator[StageStore]:
@@ -106,7 +202,7 @@ class StageStore:
 
         Collect or write the results inside the block. Other requests keep their tables.
         """
-        own = StageStore(self.spark, self.path(f"request-{uuid.uuid4().hex}"), self.fmt)
+        own = StageStore(self.spark, f"{self.root}/request-{uuid.uuid4().hex}", self.fmt)
         try:
             yield own
         finally:

@@ -12,6 +12,7 @@ from shoplens.operators.keep_first import keep_first
 from shoplens.sources.readers import exact
 from shoplens.sources.schemas import DISCOUNT, PRICE, TRANSACTIONS_RAW
 
+TABLES = ["customer", "nation", "lineitem", "orders", "part"]
 # Order of the copies of one transaction.
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
 LINE_KEY = ["l_orderkey", "l_linenumber"]

@@ -7,6 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators.clustering import nearest_centre
+from shoplens.operators.slicing import DashboardFilter, filtered_sales
+from shoplens.plans.dashboard import SALES_KEYS
 from shoplens.plans.processing import (
     customer_profiles,
     enrich_transactions,
@@ -14,10 +16,11 @@ from shoplens.plans.processing import (
     unique_customers,
 )
 from shoplens.plans.quality import column_counts
+from shoplens.plans.reports import sales_summary
 from shoplens.plans.segmentation import segment
 from shoplens.sources import star_schema
 from shoplens.sources.schemas import CUSTOMERS_RAW
-from shoplens.sources.stages import StageStore
+from shoplens.sources.stages import StageStore, fingerprint
 
 # Scaled recency, frequency and spend of four typical customers, for reproducible labels.
 TYPICAL_CENTRES = [(-0.8, 0.9, 0.9), (0.5, 0.4, 0.4), (-0.3, -0.7, -0.7), (1.0, -2.0, -2.2)]
@@ -26,7 +29,7 @@ TYPICAL_CENTRES = [(-0.8, 0.9, 0.9), (0.5, 0.4, 0.4), (-0.3, -0.7, -0.7), (1.0,
 class Workspace:
     """Stages are built when first asked for and then read, by every report, from their tables.
 
-    A workspace keeps its stages for good: make a new one when the files of ``folder`` change.
+    A workspace keeps its stages for good: make a new one when ``inputs()`` changes.
     ``status`` restricts transactions to orders of one status.
     """
 
@@ -36,6 +39,11 @@ class Workspace:
         self.store = store or StageStore(spark)
         self.status = status
 
+    @staticmethod
+    def inputs(spark: SparkSession, folder: str) -> str:
+        """Fingerprint of the tables that the stages are made from."""
+        return fingerprint(spark, [f"{folder}/{name}.parquet" for name in star_schema.TABLES])
+
     def raw_customers(self) -> DataFrame:
         return star_schema.customers(self.spark, self.folder)
 
@@ -76,6 +84,16 @@ class Workspace:
             "customer_profiles", lambda: customer_profiles(self.customers(), self.transactions())
         )
 
+    def sales_summary(self, name: str, choice: DashboardFilter) -> DataFrame:
+        """Sales of one choice of filters, added up for every report in one scan of the transactions."""
+
+        def build() -> DataFrame:
+            return sales_summary(
+                filtered_sales(self.transactions(), self.profiles(), choice, SALES_KEYS, ["location", "churn_status"])
+            )
+
+        return self.store.table(f"sales_summary_{name}", build, partition_by="report")
+
     def segmented(self) -> DataFrame:
         """Customers clustered by K-Means."""
         return self.store.table("segmented_customers", lambda: segment(self.profiles(), self.store))

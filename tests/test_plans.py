@@ -108,11 +108,12 @@ def test_one_table_for_all_quantiles(spark, store):
 def test_one_scan_for_all_starts(spark, store):
     """An iteration reads the features once and adds up once, however many starts still move."""
     points = store.scratch("points", scaled_features(purchasers(workspace(spark, FOLDER).profiles())).select(SCALED))
-    starts = {s: [(float(s), 0.0, 0.0), (0.0, 1.0, float(-s)), (1.0, 1.0, 1.0), (-1.0, 0.5, 2.0)] for s in range(10)}
-    plan = plan_of(lloyd_step(points, starts))
-    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning(start") == 1
-    found = {(r["start"], r["cluster"]): r["n"] for r in lloyd_step(points, starts).collect()}
-    for s, centres in starts.items():
+    starts = [[(float(s), 0.0, 0.0), (0.0, 1.0, float(-s)), (1.0, 1.0, 1.0), (-1.0, 0.5, 2.0)] for s in range(10)]
+    plan = plan_of(lloyd_step(points, starts, set(range(10))))
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+    found = {(r["start"], r["cluster"]): r["n"] for r in lloyd_step(points, starts, set(range(10))).collect()}
+    assert {r["start"] for r in lloyd_step(points, starts, {2, 7}).collect()} == {2, 7}
+    for s, centres in enumerate(starts):
         alone = nearest_centre(points, centres).groupBy("kmeans_cluster").count().collect()
         assert {(s, r["kmeans_cluster"]): r["count"] for r in alone} == {k: n for k, n in found.items() if k[0] == s}
 

@@ -149,6 +149,25 @@ def test_means_of_very_large_spends(spark, customers):
     assert row["avg_spend"] == 5e15
 
 
+def test_mean_spend_is_not_rounded_before_it_is_added_up(spark, customers):
+    spends = spark.createDataFrame([(0.00004,), (10.00003125,), (10.00003125,)], "total_spend double")
+    rows = customers.limit(1).drop("total_spend").withColumn("cluster_name", F.lit("x")).crossJoin(spends)
+    assert reports.cluster_profile(rows).first()["avg_spend"] == 20.0001025 / 3
+
+
+def test_one_scan_for_all_sales_reports(tx, customers):
+    """Sums by grouping sets give each report what its own sales lines give, with one scan of the transactions."""
+    lines = filtered_sales(tx, customers, DashboardFilter(), ["year_month", "payment_method", "product_category", "product_name"], ["location", "churn_status"])
+    summary = reports.sales_summary(lines)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 2 and "Expand" in plan
+    summary = summary.persist()
+    for name, keys in reports.SALES_REPORTS.items():
+        report = getattr(reports, name)
+        alone = filtered_sales(tx, customers, DashboardFilter(), [k for k in keys if k in tx.columns and k != "customer_id"], ["location", "churn_status"])
+        assert report(reports.of_report(summary, name)).collect() == report(alone).collect(), name
+
+
 def test_number_formats_round_half_to_even(spark):
     from shoplens.functions.columns import dollars, plain_number
 

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import os
+import shutil
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F, types as T
 
+import __spark_entry__ as entry
 from shoplens.__main__ import main
 from shoplens.operators.slicing import DashboardFilter
 from shoplens.plans.dashboard import dashboard, load_stages
 from shoplens.plans.processing import clean_and_process
 from shoplens.plans.segmentation import segment
+from shoplens.sources import star_schema
 from shoplens.sources.schemas import SEGMENTED, TRANSACTIONS_CLEAN, with_customer_key
-from shoplens.sources.stages import StageStore, pinned, shared_folder
+from shoplens.sources.stages import StageStore, fingerprint, pinned, shared_folder
 from shoplens.workspace import Workspace
-from pyspark.sql import types as T
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -160,3 +163,51 @@ def test_shared_folder_is_the_configured_one(spark):
     assert configured is None or folder == configured
     assert shared_folder(spark) == folder or spark.sparkContext.getCheckpointDir() == shared_folder(spark)
     assert StageStore(spark).root.startswith(shared_folder(spark))
+
+
+def test_a_failed_write_leaves_the_last_version(spark, store):
+    store.write("t", spark.range(5).withColumn("v", F.lit("old")))
+    before = store.path("t")
+    broken = spark.range(5).withColumn("v", F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise("new"))
+    with pytest.raises(Exception, match="broken"):
+        store.write("t", broken)
+    assert store.path("t") == before
+    assert {r["v"] for r in store.read("t", T.StructType.fromJson(store.published("t")["schema"])).collect()} == {"old"}
+    with pytest.raises(Exception, match="broken"):
+        store.write("first", broken)
+    with pytest.raises(FileNotFoundError, match="Run that first"):
+        store.read("first", broken.schema, "that")
+
+
+def test_readers_keep_the_version_they_opened(spark, store):
+    """A new version neither moves nor removes what a reader of the last one has open; older ones go."""
+    versions = [store.write("t", spark.range(n + 1)) for n in range(3)]
+    assert [t.count() for t in versions[1:]] == [2, 3]
+    folders = [f for f in os.listdir(os.path.dirname(store.path("t"))) if f.startswith("version-")]
+    assert len(folders) == 2
+
+
+def test_changed_inputs_build_a_new_version(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(3).write.parquet(source)
+
+    def rows(store):
+        inputs = fingerprint(spark, [source])
+        return store.table("t", lambda: spark.read.parquet(source), inputs=inputs).count(), store.path("t")
+
+    store = StageStore(spark, root)
+    first = rows(store)
+    assert first[0] == 3 and rows(store) == first and rows(StageStore(spark, root)) == first
+    spark.range(4).write.mode("append").parquet(source)
+    again = rows(store)
+    assert again[0] == 7 and again[1] != first[1]
+
+
+def test_a_changed_folder_gets_a_new_workspace(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    shutil.copytree(FOLDER, folder, ignore=lambda _, names: [n for n in names if n.split(".")[0] not in star_schema.TABLES])
+    os.chmod(folder, 0o755)
+    first = entry.workspace(spark, folder)
+    assert entry.workspace(spark, folder) is first
+    os.utime(f"{folder}/orders.parquet", (1, 1))
+    assert entry.workspace(spark, folder) is not first
