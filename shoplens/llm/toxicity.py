@@ -45,17 +45,17 @@ CLEAN_HARD = 3_000
 # What a clean document wrongly called toxic costs, against a toxic one that is missed.
 CLEAN_COST = 4.0
 # Bound of the labelled rows that are learned from, of each label.
-MOST_PER_CLASS = 4_000
+MOST_PER_CLASS = 2_000
 ROUNDS = 3
 REGULARISATION = 1e-4
 NEWTON_STEPS = 40
 CUT = 0.7
 STEEPNESS = 6.0
 # Words whose decisions a task remembers, and words and bytes of text taken together.
-REMEMBERED = 200_000
-UNITS_AT_ONCE = 20_000
-KERNELS_AT_ONCE = 1_000
-BYTES_AT_ONCE = 4 << 20
+REMEMBERED = 100_000
+UNITS_AT_ONCE = 4_000
+KERNELS_AT_ONCE = 250
+BYTES_AT_ONCE = 1 << 20
 
 GAP, START, END = "\0", "\1", "\2"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -236,8 +236,9 @@ def _together(texts: Iterable[str]) -> Iterator[list[str]]:
         yield some
 
 
-def _decoded(column: pa.Array) -> list[str]:
-    return [raw.decode("utf-8", "replace") for raw in raw_texts(column)]
+def _decoded(column: pa.Array) -> Iterator[str]:
+    """Texts one by one, so that no task holds a batch three times over."""
+    return (raw.decode("utf-8", "replace") for raw in raw_texts(column))
 
 
 def _decision_of(machine: Machine):
@@ -286,24 +287,22 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_PE
 
 
 def sentence_units(sample: DataFrame) -> DataFrame:
-    """(doc, toxic, sentence, unit): the distinct units of every sentence."""
+    """(doc, toxic, unit): the distinct units in the sentences of every document.
+
+    Runs of single characters are taken within a sentence only.
+    """
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _decoded(batch.column(2))):
-                rows = [
-                    (number, part)
-                    for number, sentence in enumerate(_SENTENCE.split(text))
-                    for part in {p for letters in map(unit, tokens(sentence)) if letters for p in pieces(letters)}
-                ]
-                if rows:
-                    n = len(rows)
-                    columns = [pa.array([doc] * n, pa.int64()), pa.array([toxic] * n, pa.int32())]
-                    columns += [pa.array([s for s, _ in rows], pa.int32()), pa.array([u for _, u in rows], pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc", "toxic", "sentence", "unit"])
+                words = set().union(*map(tokens, _SENTENCE.split(text)))
+                found = sorted({part for letters in map(unit, words) if letters for part in pieces(letters)})
+                if found:
+                    columns = [pa.array([doc] * len(found), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array(found)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "toxic", "unit"])
 
     narrow = sample.select("doc", F.col("toxic").cast("int").alias("toxic"), "text")
-    return written(narrow.mapInArrow(split, "doc long, toxic int, sentence int, unit string"), "sentences")
+    return written(narrow.mapInArrow(split, "doc long, toxic int, unit string"), "sentences")
 
 
 def variants(word: str) -> list[str]:
