@@ -3,8 +3,9 @@
 The trie of byte contexts up to five bytes is a set of tables, one per order, with counts from the
 training documents. A byte seen c times in a context of n bytes, d of them distinct, has probability
 (2c - 1) / 2n; one not seen escapes to the next shorter context with probability d / 2n, where the
-bytes seen in the longer context are excluded. Probabilities depend on a context and a byte only, so each distinct string of six bytes is
-evaluated once and joined back to the chunks of text that hold it; no task holds the whole trie.
+bytes seen in the longer context are excluded. Probabilities depend on a context and a byte only, so
+each distinct string of six bytes is evaluated once and sent back to the chunks of text that hold it; no
+task holds the whole trie. Strings travel packed: a row has those of one chunk in one range of strings.
 """
 
 from __future__ import annotations
@@ -65,6 +66,34 @@ def summed_by_text(found: np.ndarray, symbols: np.ndarray, codes: np.ndarray, lo
     return np.bincount(texts, values, len(symbols))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed byte position by byte position."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes, as their differences."""
+    return packed(np.diff(codes, prepend=np.uint64(0)))
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def ranges_for(chunks: int) -> int:
+    """How many ranges strings are spread over: a prime that grows with the chunks, so a range stays bounded."""
+    number = 2 * chunks + 61
+    while any(number % d == 0 for d in range(2, int(number**0.5) + 1)):
+        number += 1
+    return number
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(codes, counts) parts as one with distinct, sorted codes."""
     codes = np.concatenate([c for c, _ in parts])
@@ -78,8 +107,9 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
 class _Chunk:
     """Texts of one chunk: compressed blocks, distinct strings and distinct words with their training counts."""
 
-    def __init__(self, number: int):
+    def __init__(self, number: int, ranges: int):
         self.number = number
+        self.ranges = ranges
         self.held_bytes = 0
         self.strings: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter[bytes] = Counter()
@@ -113,9 +143,14 @@ class _Chunk:
         self.blocks = []
         ((codes, counts),) = _merged(self.strings)
         self.strings = []
-        for at in range(0, len(codes), ROWS_AT_ONCE):
-            part = slice(at, at + ROWS_AT_ONCE)
-            yield rows("string", len(codes[part]), code=codes[part].astype(np.int64), n=counts[part])
+        home = codes % np.uint64(self.ranges)
+        order = np.argsort(home, kind="stable")
+        homes, firsts = np.unique(home[order], return_index=True)
+        codes, counts = codes[order], counts[order]
+        del home, order
+        for number, lo, hi in zip(homes.tolist(), firsts, np.append(firsts[1:], len(codes))):
+            strings = {"codes": [packed_codes(codes[lo:hi])], "counts": [packed(counts[lo:hi])]}
+            yield rows("string", 1, home=[number], **strings)
         del codes, counts
         words = iter(self.words.items())
         while part := list(islice(words, ROWS_AT_ONCE)):
@@ -125,10 +160,10 @@ class _Chunk:
         pa.default_memory_pool().release_unused()
 
 
-def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int):
+def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int, ranges: int):
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 20
-        chunk, ids, texts, held, size = _Chunk(first), [], [], [], 0
+        chunk, ids, texts, held, size = _Chunk(first, ranges), [], [], [], 0
         for batch in batches:
             texts_here = batch.column(1).cast(pa.binary())
             for key, raw, out in zip(batch.column(0).to_pylist(), texts_here, batch.column(2).to_pylist()):
@@ -142,7 +177,7 @@ def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int):
                     ids, texts, held, size = [], [], [], 0
                     if chunk.held_bytes >= chunk_bytes:
                         yield from chunk.batches(schema)
-                        chunk = _Chunk(chunk.number + 1)
+                        chunk = _Chunk(chunk.number + 1, ranges)
         if ids:
             chunk.add(ids, texts, held)
         if chunk.blocks:
@@ -154,9 +189,17 @@ def _chunks(schema: pa.Schema, chunk_bytes: int, block_bytes: int):
 def trie_levels(strings: DataFrame, order: int = ORDER) -> list[DataFrame]:
     """(code, c) per order from 0: strings of that many bytes and one more, with their training counts.
 
-    ``strings`` has code and n of the highest order. Strings that only held-out texts have count zero.
+    ``strings`` has packed rows of the highest order: home, codes and counts. A range is added up in one
+    task, where it holds a bounded number of strings. Strings that only held-out texts have count zero.
     """
-    level = written(strings.groupBy("code").agg(F.sum("n").alias("c")), f"trie-{order}")
+
+    def added(pieces: pa.Table) -> pa.Table:
+        parts = [(unpacked_codes(c), unpacked(n, np.int64)) for c, n in zip(*(pieces.column(x).to_pylist() for x in ("codes", "counts")))]
+        ((codes, counts),) = _merged(parts)
+        return pa.table({"code": codes.view(np.int64), "c": counts})
+
+    narrow = strings.select("home", "codes", "counts")
+    level = written(narrow.groupBy("home").applyInArrow(added, "code long, c long"), f"trie-{order}")
     levels = [level]
     for k in range(order - 1, -1, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1).cast("bigint")).alias("code")
@@ -206,6 +249,16 @@ def log_probabilities(levels: list[DataFrame]) -> DataFrame:
     return state.select("code", F.log10(own).alias("logp"))
 
 
+def _found(strings: pa.Table, known: pa.Table) -> pa.Table:
+    """The log probabilities of one range, in the order of each chunk's strings."""
+    codes = known.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    codes, logp = codes[order], known.column("logp").to_numpy()[order]
+    chunks, sent = strings.column("chunk"), strings.column("codes")
+    values = [packed(logp[np.searchsorted(codes, unpacked_codes(x.as_py()))]) for x in sent]
+    return pa.table({"chunk": chunks.combine_chunks(), "codes": sent.combine_chunks(), "values": pa.array(values, pa.binary())})
+
+
 def _scorer(key: pa.DataType, tokens: int, types: int):
     total = tokens + SMOOTHING * (types + 1)
     schema = pa.schema(
@@ -213,9 +266,10 @@ def _scorer(key: pa.DataType, tokens: int, types: int):
     )
 
     def score(strings: pa.Table, rest: pa.Table, ends: int) -> pa.Table:
-        codes = strings.column("code").to_numpy().view(np.uint64)
+        codes = np.concatenate([unpacked_codes(x.as_py()) for x in strings.column("codes")])
+        logp = np.concatenate([unpacked(x.as_py(), np.float64) for x in strings.column("values")])
         order = np.argsort(codes)
-        codes, logp = codes[order], strings.column("logp").to_numpy()[order]
+        codes, logp = codes[order], logp[order]
         is_word = rest.column("data").is_null()
         words = rest.select(["word", "c"]).filter(is_word)
         blocks = np.flatnonzero(~is_word.to_numpy())
@@ -251,37 +305,36 @@ def ppm_scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes
     lower-cased; tokens are words and one end per document. Null texts count as empty and have their
     end only. Every row is scored and trains by itself, also repeated ones; an empty table gives no rows.
 
-    Text moves once, compressed, to the task that scores its chunk. A chunk sends each distinct string
-    and word once, whatever their number, so a frequent word costs a row per chunk.
+    Text moves once, compressed, to the task that scores its chunk. A chunk sends each distinct word once, and
+    its distinct strings as one packed row per range, whatever their number. Words are added up before they
+    meet the chunks, so a frequent word is one row per chunk of a join that may be split.
     """
     docs = documents.select("doc_id", text_of().alias("text"), (id_remainder("doc_id", 10) == 0).alias("held_out"))
     key = documents.schema["doc_id"].dataType
     size = docs.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     ends = size[1] or 0
     parallel = documents.sparkSession.sparkContext.defaultParallelism
-    docs = docs.coalesce(max(parallel, -(-(size[0] or 0) // chunk_bytes)))
+    tasks = max(parallel, -(-(size[0] or 0) // chunk_bytes))
+    docs, ranges = docs.coalesce(tasks), ranges_for(tasks)
 
-    ddl = f"kind string, chunk long, code long, word binary, n long, ids array<{key.simpleString()}>, sizes binary, data binary"
+    ddl = f"kind string, chunk long, home long, codes binary, counts binary, word binary, n long, ids array<{key.simpleString()}>, sizes binary, data binary"
     id_type = pa.int64() if key.simpleString() == "bigint" else pa.int32() if key.simpleString() == "int" else pa.string()
-    plain = {"kind": pa.string(), "chunk": pa.int64(), "code": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+    plain = {"kind": pa.string(), "chunk": pa.int64(), "home": pa.int64(), "codes": pa.binary(), "counts": pa.binary()}
+    plain |= {"word": pa.binary(), "n": pa.int64()}
     schema = pa.schema([*plain.items(), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("data", pa.binary())])
-    corpus = written(docs.mapInArrow(_chunks(schema, chunk_bytes, block_bytes), ddl), "corpus")
-
-    strings = corpus.where("kind = 'string'").select("chunk", "code", "n")
-    logp = written(log_probabilities(trie_levels(strings)), "log-probabilities")
-    same = Window.partitionBy("word")
-    words = written(
-        corpus.where("kind = 'word'").select(
-            "chunk", "word", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first")
-        ),
-        "words",
-    )
-    tokens, types = words.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    corpus = written(docs.mapInArrow(_chunks(schema, chunk_bytes, block_bytes, ranges), ddl), "corpus")
+
+    strings = corpus.where("kind = 'string'").select("chunk", "home", "codes", "counts")
+    logp = log_probabilities(trie_levels(strings)).withColumn("home", F.col("code") % F.lit(ranges))
+    sent = strings.select("chunk", "home", "codes").groupBy("home").cogroup(logp.groupBy("home"))
+    known = sent.applyInArrow(_found, "chunk long, codes binary, values binary")
+    own = corpus.where("kind = 'word'").select("chunk", "word", "n")
+    words = written(own.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    tokens, types = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = tokens + ends, types + (ends > 0)
 
     blocks = corpus.where("kind = 'block'").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "ids", "sizes", "data")
-    rest = words.select("chunk", "word", "c").unionByName(blocks, allowMissingColumns=True)
-    known = strings.select("chunk", "code").join(logp, "code").select("chunk", "code", "logp")
+    rest = own.join(words, "word").select("chunk", "word", "c").unionByName(blocks, allowMissingColumns=True)
     score = _scorer(id_type, tokens, types)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
