@@ -5,14 +5,14 @@ training documents. A byte seen c times in a context of n bytes, d of them disti
 (2c - 1) / 2n; one not seen escapes to the next shorter context with probability d / 2n, where the
 bytes seen in the longer context are excluded. Probabilities depend on a context and a byte only, so
 each distinct string of six bytes is evaluated once and sent back to the chunks of text that hold it; no
-task holds the whole trie. Strings travel packed: a row has those of one chunk in one range of strings.
+task holds the whole trie. Strings and words travel packed: a row has those of one chunk in one range.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ BLOCKS_AT_ONCE = 8
 # Texts of a block are numbered in this many bits beside the 48 of a string.
 TEXT_BITS = 16
 SMOOTHING = 0.1
-ROWS_AT_ONCE = 50_000
 
 
 def strings_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +86,7 @@ def unpacked_codes(data: bytes) -> np.ndarray:
 
 
 def ranges_for(chunks: int) -> int:
-    """How many ranges strings are spread over: a prime that grows with the chunks, so a range stays bounded."""
+    """How many ranges strings and words are spread over: a prime that grows with the chunks, so a range stays bounded."""
     number = 2 * chunks + 61
     while any(number % d == 0 for d in range(2, int(number**0.5) + 1)):
         number += 1
@@ -104,6 +103,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
     return [(codes[starts], counts)]
 
 
+def _by_range(homes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each range with the places that belong to it, in their order."""
+    order = np.argsort(homes, kind="stable")
+    numbers, firsts = np.unique(homes[order], return_index=True)
+    yield from zip(numbers.tolist(), np.split(order, firsts[1:]))
+
+
 class _Chunk:
     """Texts of one chunk: compressed blocks, distinct strings and distinct words with their training counts."""
 
@@ -143,18 +149,14 @@ class _Chunk:
         self.blocks = []
         ((codes, counts),) = _merged(self.strings)
         self.strings = []
-        home = codes % np.uint64(self.ranges)
-        order = np.argsort(home, kind="stable")
-        homes, firsts = np.unique(home[order], return_index=True)
-        codes, counts = codes[order], counts[order]
-        del home, order
-        for number, lo, hi in zip(homes.tolist(), firsts, np.append(firsts[1:], len(codes))):
-            strings = {"codes": [packed_codes(codes[lo:hi])], "counts": [packed(counts[lo:hi])]}
-            yield rows("string", 1, home=[number], **strings)
+        for home, at in _by_range(codes % np.uint64(self.ranges)):
+            yield rows("string", 1, home=[home], codes=[packed_codes(codes[at])], counts=[packed(counts[at])])
         del codes, counts
-        words = iter(self.words.items())
-        while part := list(islice(words, ROWS_AT_ONCE)):
-            yield rows("word", len(part), word=[w for w, _ in part], n=[n for _, n in part])
+        words, counts = list(self.words), np.fromiter(self.words.values(), np.int64, len(self.words))
+        homes = np.fromiter(map(crc32, words), np.uint64, len(words)) % np.uint64(self.ranges)
+        for home, at in _by_range(homes):
+            some = b" ".join([words[i] for i in at.tolist()])
+            yield rows("word", 1, home=[home], words=[zstandard.compress(some, 1)], counts=[packed(counts[at])])
         self.words = Counter()
         # Workers are reused; what this chunk needed goes back to the system.
         pa.default_memory_pool().release_unused()
@@ -259,6 +261,30 @@ def _found(strings: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"chunk": chunks.combine_chunks(), "codes": sent.combine_chunks(), "values": pa.array(values, pa.binary())})
 
 
+def _words_of(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
+def _word_totals(pieces: pa.Table) -> pa.Table:
+    """Each chunk's words of one range with their counts in all chunks, and a row without chunk for the range."""
+    own = [_words_of(data) for data in pieces.column("words").to_pylist()]
+    place = pa.array([word for words in own for word in words], pa.binary()).dictionary_encode()
+    at = place.indices.to_numpy()
+    totals = np.zeros(len(place.dictionary), np.int64)
+    np.add.at(totals, at, np.concatenate([unpacked(n, np.int64) for n in pieces.column("counts").to_pylist()]))
+    ends = np.cumsum([len(words) for words in own])
+    found = [packed(part) for part in np.split(totals[at], ends[:-1])]
+    return pa.table(
+        {
+            "chunk": pa.array([*pieces.column("chunk").to_pylist(), None], pa.int64()),
+            "words": pa.array([*pieces.column("words").to_pylist(), None], pa.binary()),
+            "totals": pa.array([*found, None], pa.binary()),
+            "tokens": pa.array([None] * len(own) + [int(totals.sum())], pa.int64()),
+            "types": pa.array([None] * len(own) + [int((totals > 0).sum())], pa.int64()),
+        }
+    )
+
+
 def _scorer(key: pa.DataType, tokens: int, types: int):
     total = tokens + SMOOTHING * (types + 1)
     schema = pa.schema(
@@ -270,15 +296,19 @@ def _scorer(key: pa.DataType, tokens: int, types: int):
         logp = np.concatenate([unpacked(x.as_py(), np.float64) for x in strings.column("values")])
         order = np.argsort(codes)
         codes, logp = codes[order], logp[order]
-        is_word = rest.column("data").is_null()
-        words = rest.select(["word", "c"]).filter(is_word)
-        blocks = np.flatnonzero(~is_word.to_numpy())
-        count = np.append(words.column("c").to_numpy(), ends)
+        place, counts, blocks = {}, [], []
+        for row, (words, totals) in enumerate(zip(rest.column("words"), rest.column("totals"))):
+            if words.is_valid:
+                own = _words_of(words.as_py())
+                place.update(zip(own, range(len(place), len(place) + len(own))))
+                counts.append(unpacked(totals.as_py(), np.int64))
+            else:
+                blocks.append(row)
+        count = np.append(np.concatenate([*counts, np.empty(0, np.int64)]), ends)
         base, known = np.log10((count + SMOOTHING) / total), count > 0
-        place = dict(zip(words.column("word").to_pylist(), range(len(words))))
-        del words, is_word, order
+        del order, counts
         out = []
-        for row in blocks.tolist():
+        for row in blocks:
             # One block at a time; the others stay compressed in the table.
             block = {name: rest.column(name)[row].as_py() for name in ("ids", "sizes", "data")}
             data = zstandard.decompress(block["data"])
@@ -305,9 +335,9 @@ def ppm_scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes
     lower-cased; tokens are words and one end per document. Null texts count as empty and have their
     end only. Every row is scored and trains by itself, also repeated ones; an empty table gives no rows.
 
-    Text moves once, compressed, to the task that scores its chunk. A chunk sends each distinct word once, and
-    its distinct strings as one packed row per range, whatever their number. Words are added up before they
-    meet the chunks, so a frequent word is one row per chunk of a join that may be split.
+    Text moves once, compressed, to the task that scores its chunk. A chunk sends its distinct strings and its
+    distinct words as one packed row per range, so a frequent one costs an entry per chunk. The ranges grow
+    with the chunks, so that what one task adds up stays bounded.
     """
     docs = documents.select("doc_id", text_of().alias("text"), (id_remainder("doc_id", 10) == 0).alias("held_out"))
     key = documents.schema["doc_id"].dataType
@@ -317,10 +347,9 @@ def ppm_scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes
     tasks = max(parallel, -(-(size[0] or 0) // chunk_bytes))
     docs, ranges = docs.coalesce(tasks), ranges_for(tasks)
 
-    ddl = f"kind string, chunk long, home long, codes binary, counts binary, word binary, n long, ids array<{key.simpleString()}>, sizes binary, data binary"
+    ddl = f"kind string, chunk long, home long, codes binary, counts binary, words binary, ids array<{key.simpleString()}>, sizes binary, data binary"
     id_type = pa.int64() if key.simpleString() == "bigint" else pa.int32() if key.simpleString() == "int" else pa.string()
-    plain = {"kind": pa.string(), "chunk": pa.int64(), "home": pa.int64(), "codes": pa.binary(), "counts": pa.binary()}
-    plain |= {"word": pa.binary(), "n": pa.int64()}
+    plain = {"kind": pa.string(), "chunk": pa.int64(), "home": pa.int64(), "codes": pa.binary(), "counts": pa.binary(), "words": pa.binary()}
     schema = pa.schema([*plain.items(), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("data", pa.binary())])
     corpus = written(docs.mapInArrow(_chunks(schema, chunk_bytes, block_bytes, ranges), ddl), "corpus")
 
@@ -328,13 +357,15 @@ def ppm_scores(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_bytes
     logp = log_probabilities(trie_levels(strings)).withColumn("home", F.col("code") % F.lit(ranges))
     sent = strings.select("chunk", "home", "codes").groupBy("home").cogroup(logp.groupBy("home"))
     known = sent.applyInArrow(_found, "chunk long, codes binary, values binary")
-    own = corpus.where("kind = 'word'").select("chunk", "word", "n")
-    words = written(own.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    tokens, types = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    own = corpus.where("kind = 'word'").select("chunk", "home", "words", "counts")
+    totals = own.groupBy("home").applyInArrow(_word_totals, "chunk long, words binary, totals binary, tokens long, types long")
+    words = written(totals, "words")
+    tokens, types = words.where("chunk is null").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "types")]).first()
     tokens, types = tokens + ends, types + (ends > 0)
 
-    blocks = corpus.where("kind = 'block'").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "ids", "sizes", "data")
-    rest = own.join(words, "word").select("chunk", "word", "c").unionByName(blocks, allowMissingColumns=True)
+    blocks = corpus.where("kind = 'block'").select("chunk", "ids", "sizes", "data")
+    own = words.where("chunk is not null").select("chunk", "words", "totals")
+    rest = own.unionByName(blocks, allowMissingColumns=True)
     score = _scorer(id_type, tokens, types)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
