@@ -2,10 +2,12 @@
 
 A fingerprint of 64 bits has a byte in each of 8 positions. Two fingerprints at most ``distance`` bits
 apart differ in at most that many bytes, so they are guaranteed to share 8 - ``distance`` positional
-bytes. The index lists fingerprints by every choice of that many positions with their bytes: a pair
-reaches the guaranteed count exactly if it meets in some list. The members of one list differ only
-in the bytes left out, so with two bytes left out no list exceeds 65,536 members; bits are then
-verified, and a list yields the links of a spanning forest, not its pairs.
+bytes. Positions go in four couples, of which such a pair shares 4 - ``distance`` whole ones, and the index
+lists fingerprints by every choice of that many couples with their bytes. In a list the positional bytes that
+two members share are tallied; pairs that reach the guaranteed count have their bits verified. A list that is
+long is cut into lists of one more choice of positions each, so that meeting there is reaching the count; their
+members differ in at most two bytes, so they have at most 65,536. A list yields the links of a spanning forest,
+not its pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoplens.llm.common import fresh, raw_texts, text_of, written
 from shoplens.llm.components import component_roots
@@ -26,7 +28,9 @@ DISTANCE = 2
 SEED = 42
 POSITIONS = 8
 SHINGLES_AT_ONCE = 1 << 16
-SMALL_LIST = 128
+COUPLES = 4
+# Longer lists are cut by further positions.
+SMALL_LIST = 256
 
 
 def fingerprint_of(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -70,12 +74,17 @@ def _settled(labels: np.ndarray, step) -> np.ndarray:
 def linked_within(members: np.ndarray, distance: int, free: int) -> np.ndarray:
     """For each fingerprint of one list the place of the first member it reaches over links of that list.
 
-    ``free`` has the bits in which members may differ. A short list compares bits directly; a long one
-    looks each member's neighbours up in a table of all values of the free bits.
+    ``free`` has the bits in which members may differ. A short list tallies the shared positional bytes of its
+    pairs and verifies the bits of those that reach the guaranteed count; a long one, with at most two bytes
+    free, looks each member's neighbours up in a table of all values of the free bits.
     """
     size = len(members)
     if size <= SMALL_LIST:
-        near = np.bitwise_count(members[:, None] ^ members[None, :]) <= distance
+        tally = np.zeros((size, size), np.uint8)
+        for position in np.ascontiguousarray(members).view(np.uint8).reshape(size, POSITIONS).T:
+            tally += position[:, None] == position[None, :]
+        near = tally >= POSITIONS - distance
+        near[near] = np.bitwise_count((members[:, None] ^ members[None, :])[near]) <= distance
         return _settled(np.arange(size), lambda labels: np.where(near, labels[None, :], size).min(axis=1))
     bits = [bit for bit in range(64) if free >> bit & 1]
     place = np.zeros(size, np.int64)
@@ -95,17 +104,41 @@ def linked_within(members: np.ndarray, distance: int, free: int) -> np.ndarray:
     return _settled(np.arange(size), step)
 
 
+def _bits(positions: Iterable[int]) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+def _choice(number: int, free: int) -> Column:
+    """A list's number and the mask of the bits that its members share, as a signed long."""
+    mask = free ^ ((1 << 64) - 1)
+    return F.struct(F.lit(number).alias("choice"), F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint").alias("mask"))
+
+
+def _by_choice(choices: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*[_choice(number, free) for number, free in choices])).alias("m")
+
+
 def near_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between the distinct longs of ``fingerprint`` that connect all pairs within ``distance`` bits."""
     if not 1 <= distance <= 2:
         raise ValueError("lists stay short for a distance of 1 or 2 bits only")
-    left_out = [sum(0xFF << 8 * p for p in some) for some in combinations(range(POSITIONS), distance)]
-    signed = [~free if free < 1 << 63 else ~free & ((1 << 64) - 1) for free in left_out]
-    masks = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(m).cast("bigint").alias("mask")) for i, m in enumerate(signed)])
-    index = fingerprints.select("fingerprint", F.explode(masks).alias("m")).select(
-        "fingerprint", "m.choice", F.col("fingerprint").bitwiseAND(F.col("m.mask")).alias("shared")
-    )
-    lists = index.groupBy("choice", "shared").agg(F.collect_list("fingerprint").alias("members")).where("size(members) > 1")
+    couples = [(2 * c, 2 * c + 1) for c in range(COUPLES)]
+    # Free positions of each list, and of each list that a long one is cut into.
+    lists = [tuple(p for couple in some for p in couple) for some in combinations(couples, distance)]
+    index = fingerprints.select("fingerprint", _by_choice([(i, _bits(open_)) for i, open_ in enumerate(lists)]))
+    index = index.select("fingerprint", "m.choice", F.col("fingerprint").bitwiseAND(F.col("m.mask")).alias("shared"))
+    sizes = written(index.groupBy("choice", "shared").agg(F.count("*").alias("size")).where("size > 1"), "list-sizes")
+    index = written(index.join(sizes, ["choice", "shared"]), "lists")
+    short = index.where(F.col("size") <= SMALL_LIST).select("choice", "shared", "fingerprint")
+    cuts, left_out = [], [_bits(open_) for open_ in lists]
+    for i, open_ in enumerate(lists):
+        parts = list(combinations(open_, distance))
+        cuts.append(F.array(*[_choice(len(left_out) + j, _bits(part)) for j, part in enumerate(parts)]))
+        left_out += [_bits(part) for part in parts]
+    cut = F.element_at(F.array(*cuts), F.col("choice") + 1)
+    long = index.where(F.col("size") > SMALL_LIST).select("fingerprint", F.explode(cut).alias("m"))
+    long = long.select("m.choice", F.col("fingerprint").bitwiseAND(F.col("m.mask")).alias("shared"), "fingerprint")
+    lists = short.unionByName(long).groupBy("choice", "shared").agg(F.collect_list("fingerprint").alias("members")).where("size(members) > 1")
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

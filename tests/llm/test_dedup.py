@@ -13,7 +13,7 @@ from shoplens.llm.components import component_roots
 from shoplens.llm.exact_dedup import QuotientFilter, block_bits, counting_filters, exact_dedup
 from shoplens.llm.line_dedup import drop_shared_lines, line_dedup, shared_lines
 from shoplens.llm.oracles import ORACLES
-from shoplens.llm.simhash import fingerprint_of, linked_within, near_links, one_of_each, simhash_components
+from shoplens.llm.simhash import SMALL_LIST, fingerprint_of, linked_within, near_links, one_of_each, simhash_components
 from tests.llm.conftest import AWKWARD, LOWER, equals_sql, frame, words
 
 SMALL = "/root/testdata/sf0.001"
@@ -213,3 +213,31 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
     roots = {r["node"]: r["root"] for r in component_roots(links).collect()}
     assert roots == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_long_lists_are_cut_without_losing_links(spark, distance):
+    rng = np.random.default_rng(distance)
+    # All share the bytes of four positions, so that their list is far longer than what is tallied in full.
+    seeds = rng.integers(0, 1 << 32, 300, np.uint64)
+    flips = np.array([[1 << int(b) for b in rng.integers(0, 32, 4)] for _ in seeds], np.uint64)
+    values = np.unique(np.concatenate([seeds, *(np.bitwise_xor.reduce(flips[:, :k], axis=1) ^ seeds for k in range(1, 5))]))
+    assert len(values) > 4 * SMALL_LIST
+    links = near_links(spark.createDataFrame([(v,) for v in values.tolist()], "fingerprint long"), distance).collect()
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= distance
+    place = {v: i for i, v in enumerate(values.tolist())}
+
+    def labels(step):
+        known = np.arange(len(values))
+        while not np.array_equal(lower := step(known), known):
+            known = lower
+        return known
+
+    def along_links(known):
+        lower = known.copy()
+        for a, b in links:
+            lower[place[a]] = lower[place[b]] = min(lower[place[a]], lower[place[b]])
+        return lower
+
+    expected = labels(lambda known: np.where(near, known[None, :], len(values)).min(axis=1))
+    assert np.array_equal(labels(along_links), expected)
