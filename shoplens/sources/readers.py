@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from shoplens.sources.schemas import CUSTOMERS_RAW, TRANSACTIONS_RAW
 
+if TYPE_CHECKING:
+    from shoplens.sources.stages import StageStore
+
 # File position of a row: which file, which split of it, and the running number inside the
 # split. Comparing the three gives file order without moving all rows to one place.
 INPUT_ORDER = ["_file", "_block", "_row"]
@@ -55,20 +60,38 @@ def exact(column: str, kind: T.DataType) -> Column:
 
 
 def read_raw(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str, made_by: str, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    fmt: str,
+    made_by: str,
+    multi_line: bool = False,
+    store: StageStore | None = None,
 ) -> DataFrame:
     """A raw table in the types of ``schema``, with its input order.
 
     CSV fields are read as text and then cast: whole numbers may be printed as ``2.0``, days may have
     a time, seconds a fraction. What cannot be cast, or only with loss, raises.
+
+    ``multi_line`` accepts line breaks inside quotes; the lines of such files are written once, to ``store``
+    or below the shared folder, and files are split as others are.
     """
     names = schema.fieldNames()
-    if fmt == "csv":
-        texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        reader = spark.read.schema(texts).format(fmt).options(**_CSV_OPTIONS, multiLine=str(multi_line).lower())
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if fmt == "csv" and multi_line:
+        # The stage store reads its tables through this module.
+        from shoplens.sources.quoted_csv import read_quoted
+        from shoplens.sources.stages import StageStore
+
+        lines = _loaded(spark.read.option("lineSep", "\n").format("text"), path, made_by)
+        lines = with_input_order(lines.withColumnRenamed("value", "line"))
+        options = {key: value for key, value in _CSV_OPTIONS.items() if key != "header"}
+        rows = read_quoted(lines, texts, options, store or StageStore(spark))
     else:
         reader = spark.read.format(fmt)
-    rows = with_input_order(_loaded(reader, path, made_by))
+        if fmt == "csv":
+            reader = reader.schema(texts).options(**_CSV_OPTIONS)
+        rows = with_input_order(_loaded(reader, path, made_by))
     if fmt == "csv":
         numbers = [f.name for f in schema if not isinstance(f.dataType, T.StringType)]
         rows = rows.withColumns({name: F.nullif(F.trim(name), F.lit("")) for name in numbers})
@@ -97,15 +120,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
-    """Raw customers, 7 columns plus the input order."""
-    return nan_to_null(read_raw(spark, path, CUSTOMERS_RAW, fmt, "the customer extract", multi_line))
-
+def read_customers(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, store: StageStore | None = None
+) -> DataFrame:
+    """Raw customers, 7 columns plus the input order; ``multi_line`` accepts line breaks inside quoted fields."""
+    return nan_to_null(read_raw(spark, path, CUSTOMERS_RAW, fmt, "the customer extract", multi_line, store))
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
-    """Raw transactions, 9 columns plus the input order.
 
-    ``multi_line`` accepts line breaks inside quoted fields; such a file cannot be split, so one task
-    reads a whole file and large inputs should come as many files.
-    """
-    return read_raw(spark, path, TRANSACTIONS_RAW, fmt, "the transaction extract", multi_line)
+def read_transactions(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False, store: StageStore | None = None
+) -> DataFrame:
+    """Raw transactions, 9 columns plus the input order; ``multi_line`` accepts line breaks inside quoted fields."""
+    return read_raw(spark, path, TRANSACTIONS_RAW, fmt, "the transaction extract", multi_line, store)
