@@ -41,8 +41,8 @@ from shoplens.operators.slicing import (  # noqa: E402
 from shoplens.plans import processing, quality, reports  # noqa: E402
 from shoplens.plans.dashboard import purchasers_spend, spend_by_satisfaction  # noqa: E402
 from shoplens.plans.segmentation import purchasers, rfm_scores  # noqa: E402
-from shoplens.sources.readers import read_transactions  # noqa: E402
-from shoplens.sources.schemas import TRANSACTIONS_RAW  # noqa: E402
+from shoplens.sources.readers import INPUT_ORDER, read_customers, read_transactions  # noqa: E402
+from shoplens.sources.schemas import CUSTOMERS_RAW, TRANSACTIONS_RAW  # noqa: E402
 from shoplens.sources.stages import StageStore  # noqa: E402
 from shoplens.workspace import TYPICAL_CENTRES, Workspace  # noqa: E402
 
@@ -266,6 +266,16 @@ def transactions_from_csv(w: Workspace) -> DataFrame:
     return _money_as_double(processing.enrich_transactions(unique))
 
 
+def customers_from_csv(w: Workspace) -> DataFrame:
+    """Raw customers written as CSV, with a line break and quotes in each location, and read by splits."""
+    path = f"{w.store.root}/raw-csv/customers.csv"
+    raw = w.raw_customers().select(CUSTOMERS_RAW.fieldNames())
+    text = F.concat("location", F.lit('\n"'), "gender", F.lit('",'))
+    raw.withColumn("location", text).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    key = F.col("customer_id").cast(raw.schema["customer_id"].dataType)
+    return read_customers(w.spark, path, multi_line=True, store=w.store).withColumn("customer_id", key).drop(*INPUT_ORDER)
+
+
 def stage_roundtrip_csv(w: Workspace) -> DataFrame:
     """Profiles written as CSV and read back with the fixed schema."""
     csv = StageStore(w.spark, w.store.root + "/csv", fmt="csv")
@@ -294,6 +304,7 @@ _QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {
     "customer_profile_completed": _completed(customer_profile),
     "segmented_customers_fixed_completed": _completed(Workspace.segmented_by_centres),
     "transactions_from_csv": transactions_from_csv,
+    "customers_from_csv": customers_from_csv,
     # Whole tables.
     "monthly_revenue": lambda w: reports.monthly_revenue(_sales(w, "year_month")),
     "revenue_by_season": lambda w: reports.revenue_by_season(_sales(w, "season")),

@@ -369,6 +369,8 @@ FROM clustered JOIN named USING (kmeans_cluster) GROUP BY kmeans_cluster""",
         "ORDER BY customer_id, transaction_date, product_category, product_name, quantity, price, discount_applied, payment_method",
     )
     + f"SELECT {_TX_COLUMNS}, {_TX_FEATURES} FROM tx",
+    "customers_from_csv": _CLEAN
+    + """SELECT * REPLACE (location || chr(10) || '"' || gender || '",' AS location) FROM customers_raw""",
     "monthly_revenue": _CLEAN + _revenue_by("year_month", "tx"),
     "revenue_by_season": _CLEAN + _revenue_by("season", "tx"),
     "payment_split": _CLEAN + _payment("tx"),
