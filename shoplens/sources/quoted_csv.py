@@ -90,7 +90,8 @@ def read_quoted(lines: DataFrame, schema: T.StructType, options: dict[str, str],
     """Fields of ``schema`` and the file position of each record, that of its first line.
 
     ``lines`` has ``line`` and the input order, straight from Spark's text reader. The first record of a file that is
-    not blank is its header; blank lines between records are skipped; files without records give no row. Quotes may
+    not blank is its header; blank lines between records are skipped; files without records give no row. A line break
+    inside quotes stays as it is, ``\\r\\n`` too. Quotes may
     occur only around a field or doubled inside one, as CSV writers place them; a file with an unclosed quote raises,
     and so does a record with more or fewer fields than ``schema``. Lines are written to ``store`` once, since a
     second read could be split in another way. A record has to fit a task, a file does not.

@@ -80,6 +80,12 @@ def test_windows_line_ends(spark, store, tmp_path, small_splits):
     assert texts == [[r[0], r[2], r[4]] for r in rows] and {r["satisfaction_score"] for r in found} == {3.0}
 
 
+def test_windows_line_ends_inside_quotes_stay(spark, store, tmp_path, small_splits):
+    rows = [[f"c{i}", "1", "a\r\nb" * (i % 9), "", '"Ohio"\r\n', "", ""] for i in range(1, 60)]
+    _write(tmp_path / "raw.csv", rows, end="\r\n")
+    assert _read(spark, tmp_path / "raw.csv", store)[1] == [[r[0], r[2] or None, r[4]] for r in rows]
+
+
 @pytest.mark.parametrize("bad", ['c1,1,"F,,x,,\n', "c1,1,F\n", "c1,1,F,,x,,,,\n"])
 def test_malformed_files_raise(spark, store, tmp_path, bad):
     (tmp_path / "raw.csv").write_text(",".join(COLUMNS) + "\n" + bad)
