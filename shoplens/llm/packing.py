@@ -8,19 +8,25 @@ again. Only lengths travel; ids stay where they were made.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import islice
+from string import ascii_lowercase
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from shoplens.llm.common import raw_texts, written
 from shoplens.llm.measures import in_batches
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 2048
 # A bin with no more room than this is full.
 NEARLY_FULL = 8
@@ -28,12 +34,20 @@ FAN_IN = 8
 VOCABULARY = "word_bpe_49k.json"
 END = (0).to_bytes(4, "little")
 # Bytes of words and ids that a task remembers; the words themselves cost about as much again.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 64 << 20
 # What an entry of the memory takes beside the bytes of the word and of its ids.
 ENTRY_BYTES = 150
-WORDS_AT_ONCE = 2_000
+WORDS_AT_ONCE = 200
+# Marks that are tokenized apart from letters before them, when no letter follows.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Words that are told apart at once, and those whose ids are put together at once, which takes far larger arrays.
+WORDS_IN_BATCH = 3_000_000
+WORDS_TOGETHER = 200_000
 ROWS_AT_ONCE = 50_000
 
+# Two words with every lower-case ASCII letter.
+_NORMAL = f"{ascii_lowercase} {ascii_lowercase[::-1]}"
+
 _PIECE = pa.schema(
     [
         ("piece", pa.int32()),
@@ -54,28 +68,34 @@ class WordIds:
     """Ids of white-space separated words as little-endian 32-bit numbers, remembered by word.
 
     The vocabulary never joins characters across ASCII white space, and ignores case, so each word is
-    tokenized once. A full stop or comma after an ASCII letter is a token of its own, so the word
-    before it is looked up without it. Words of letters alone have one last token each, which tells
-    them apart when many are tokenized as one text.
+    tokenized once. A run of ASCII marks after letters that end a word is tokenized apart from them, so
+    the letters are looked up without it. Words of letters alone have one last token each, which tells
+    them apart when many are tokenized as one text. Words are told apart and put together by Arrow and
+    numpy; Python sees each distinct one of a batch.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Lower-case ASCII letters are normal already, unless this normalizer says otherwise.
+        normalizer = self.tokenizer.normalizer
+        self.of_ascii = self.tokenizer
+        if normalizer is not None and normalizer.normalize_str(_NORMAL) == _NORMAL:
+            self.of_ascii = Tokenizer.from_file(path)
+            self.of_ascii.normalizer = None
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.held = 0
-        self.marks = {mark: self._one(mark.decode()) for mark in (b".", b",")}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _several(self, words: list[str]) -> list[bytes]:
+    def _several(self, words: list[str], tokenizer: Tokenizer) -> list[bytes]:
         """Ids of words of letters."""
-        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        found = tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         ids = np.array(found, "<u4")
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
@@ -83,50 +103,71 @@ class WordIds:
         raw, stops = ids.tobytes(), (4 * ends).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Remember every word of ``words``."""
+    def learn(self, words: list[str]) -> None:
+        """Remember every one of ``words``."""
+        known = self.known
         if self.held > REMEMBERED_BYTES:
             # Words of the last texts are likely to come again.
-            self.known = {word: self.known[word] for word in words.intersection(self.known)}
-            self.held = self._size(self.known)
-        known = self.known
-        before = len(known)
-        new = list(words.difference(known))
-        bases, tails, letters = [], [], {}
+            self.known = known = {word: known[word] for word in words if word in known}
+            self.held = self._size(known)
+        new = dict.fromkeys(word for word in words if word not in known)
+        ascii_words, letters = [], []
         for word in new:
-            base, tail = word.lower(), b""
-            if not base.isalpha():
-                mark = base[-1:]
-                if mark in self.marks and (base[:-1].isalpha() or base[:-1].decode().lower().isalpha()):
-                    base, tail = base[:-1], self.marks[mark]
-                elif not base.decode().lower().isalpha():
-                    known[word] = self._one(word.decode())
-                    continue
-            if base not in known:
-                letters[base] = None
-            bases.append((word, base))
-            tails.append(tail)
-        todo = list(letters)
-        for start in range(0, len(todo), WORDS_AT_ONCE):
-            some = todo[start : start + WORDS_AT_ONCE]
-            known.update(zip(some, self._several([base.decode() for base in some])))
-        for (word, base), tail in zip(bases, tails):
-            known[word] = known[base] + tail
-        self.held += self._size(dict(islice(known.items(), before, None)))
-
-    @staticmethod
-    def _size(some: dict[bytes, bytes]) -> int:
-        return sum(map(len, some)) + sum(map(len, some.values())) + ENTRY_BYTES * len(some)
+            if word.isascii() and word.isalpha() and word.islower():
+                ascii_words.append(word)
+            elif word.isalpha() and word.lower().isalpha():
+                letters.append(word)
+            else:
+                known[word] = self._one(word)
+        for several, tokenizer in ((ascii_words, self.of_ascii), (letters, self.tokenizer)):
+            for start in range(0, len(several), WORDS_AT_ONCE):
+                some = several[start : start + WORDS_AT_ONCE]
+                known.update(zip(some, self._several(some, tokenizer)))
+        self.held += self._size(new)
+
+    def _size(self, words: Iterable[str]) -> int:
+        return sum(len(word) + len(self.known[word]) + ENTRY_BYTES for word in words)
 
     def forget(self) -> None:
         self.known, self.held = {}, 0
 
+    @staticmethod
+    def _parted(words: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Each word as what is looked up and the marks after it: lower-case letters, or the word as it is and no marks."""
+        base = pc.ascii_rtrim(pc.ascii_lower(words), MARKS)
+        letters = pc.ascii_is_alpha(base).to_numpy(zero_copy_only=False).copy()
+        others = np.flatnonzero(~pc.string_is_ascii(base).to_numpy(zero_copy_only=False))
+        # What lower() makes of a letter may be more than letters.
+        letters[others] = [w.isalpha() and w.lower().isalpha() for w in base.take(pa.array(others)).to_pylist()]
+        parted = pa.array(letters)
+        marks = pc.struct_field(pc.extract_regex(words, f"(?P<marks>[{re.escape(MARKS)}]*)$"), "marks")
+        return pc.if_else(parted, base, words).dictionary_encode(), pc.if_else(parted, marks, "").dictionary_encode()
+
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text and the end id."""
-        words = [raw.split() for raw in texts]
-        self.learn(set().union(*words))
-        for own in words:
-            yield b"".join(map(self.known.__getitem__, own)) + END
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        bases, marks = self._parted(words.dictionary)
+        looked_up, after = bases.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        self.learn([*looked_up, *after])
+        parts = [*map(self.known.__getitem__, looked_up), *map(self.known.__getitem__, after)]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(lengths) - lengths
+        # Every word is two runs of ids, one after the other.
+        runs_of = np.stack([bases.indices.to_numpy(), len(looked_up) + marks.indices.to_numpy()], 1)
+        which, offsets = words.indices.to_numpy(), split.offsets.to_numpy()
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + WORDS_TOGETHER, "right")) - 1)
+            runs = runs_of[which[offsets[first] : offsets[last]]].ravel()
+            size = lengths[runs]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            found = ids[np.repeat(starts[runs] - ends[:-1], size) + np.arange(ends[-1])]
+            of_text = ends[2 * (offsets[first : last + 1] - offsets[first])].tolist()
+            for start, stop in zip(of_text, of_text[1:]):
+                yield found[start:stop].tobytes() + END
+            first = last
 
 
 @cache
@@ -190,7 +231,7 @@ def _local_packer(path: str | None, capacity: int, with_ids: bool):
         for batch in batches:
             place = sum(len(x) for x in ids)
             ids.append(batch.column(0))
-            for some in in_batches(raw_texts(batch.column(1))):
+            for some in in_batches(raw_texts(batch.column(1)), WORDS_IN_BATCH):
                 for tokens in word_ids(path).of(some):
                     total = len(tokens) // 4
                     for piece, start in enumerate(range(0, total, capacity)):

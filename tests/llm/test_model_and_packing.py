@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shoplens.llm.mixing import KEEP, REST, TARGETS, TEMPER, calibrated, draw_of, mix_sources, rake, sampled
+from shoplens.llm import packing
 from shoplens.llm.packing import CAPACITY, best_fit, goes_up, pack_documents, sequences, word_ids
 from shoplens.llm.ppm import ppm_scores
 from shoplens.llm.quality_rules import quality_rules
@@ -128,6 +129,24 @@ def test_words_have_the_ids_of_whole_texts():
         assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_letters_are_tokenized_once_whatever_marks_follow():
+    own = word_ids(None)
+    own.forget()
+    texts = ["some Some*** some%%% SOME, some.", "", "éa### ÉA éa$", "x=1 " * 3]
+    found = list(own.of([t.encode() for t in texts]))
+    assert set(own.known) == {"", "some", "***", "%%%", ",", ".", "éa", "###", "$", "x=1", "Éa"}
+    for text, raw in zip(texts, found):
+        assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_words_are_put_together_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_TOGETHER", 3)
+    own = word_ids(None)
+    texts = ["a b", "", "c d e f g", " h ", "i", "j"]
+    for text, raw in zip(texts, own.of([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_what_stays_below_is_of_no_use_above(seed):
     """A node packs as well from the bins that its children send as from all their bins."""
