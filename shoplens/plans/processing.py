@@ -44,15 +44,26 @@ def clean_customers(customers: DataFrame, store: StageStore, order: list[str] =
     return fill_customers(store.scratch("unique-customers", unique_customers(customers, order)), store)
 
 
-def enrich_transactions(transactions: DataFrame) -> DataFrame:
-    """Add net revenue and calendar features to unique transactions, 16 columns."""
+def with_month(transactions: DataFrame) -> DataFrame:
+    """The month by which the stage of transactions is partitioned."""
+    return transactions.withColumn("year_month", calendar_columns(F.col("transaction_date"))["year_month"])
+
+
+def derive_features(transactions: DataFrame) -> DataFrame:
+    """Transactions that have their month with net revenue and the other calendar features, 16 columns."""
+    calendar = calendar_columns(F.col("transaction_date"))
     features = {
         "revenue": net_revenue(F.col("price"), F.col("quantity"), F.col("discount_applied")),
-        **calendar_columns(F.col("transaction_date")),
+        **{name: column for name, column in calendar.items() if name != "year_month"},
     }
     return transactions.withColumns(features).select(TRANSACTIONS_CLEAN.fieldNames())
 
 
+def enrich_transactions(transactions: DataFrame) -> DataFrame:
+    """Add net revenue and calendar features to unique transactions, 16 columns."""
+    return derive_features(with_month(transactions))
+
+
 def date_bounds(transactions: DataFrame) -> DataFrame:
     return transactions.agg(
         F.min("transaction_date").alias("min_date"), F.max("transaction_date").alias("max_date")
@@ -156,8 +167,9 @@ def clean_and_process(
     """
     clean_tx = store.write(
         "cleaned_transactions",
-        enrich_transactions(unique_transactions(transactions, transaction_order)),
+        with_month(unique_transactions(transactions, transaction_order)),
         partition_by="year_month",
+        derive=derive_features,
     )
     profiles = store.write(
         "customer_profiles",

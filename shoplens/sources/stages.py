@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shoplens.sources.readers import read_table
 
@@ -53,6 +53,9 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
 
 
+# What file-based tables name the folder of rows whose partition value is missing.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
 # Pointer files: the highest number names the version in use.
 _POINTER = re.compile(r"_published-(\d{10})-[0-9a-f]+")
 
@@ -119,6 +122,7 @@ class StageStore:
         partition_by: str | None = None,
         order_by: list[str] | None = None,
         inputs: str | None = None,
+        derive: Callable[[DataFrame], DataFrame] | None = None,
     ) -> DataFrame:
         """Write a new version of stage ``name``, publish it and return it as read back.
 
@@ -128,11 +132,19 @@ class StageStore:
         With ``order_by`` rows are sorted over all files, in the order of the file names.
 
         With ``partition_by`` the rows are first rebalanced on that column, which gives each
-        value few large files, and splits a value that holds a large share of the rows.
+        value few large files, and splits a value that holds a large share of the rows. They are sorted
+        by it there, as the writer wants them. ``derive`` adds columns row by row that follow from the others
+        and leaves that column as it is: they are made behind the exchange and the sort, which take narrow rows.
         """
-        schema = df.schema
+        schema = (derive(df) if derive else df).schema
         if partition_by:
-            df = df.hint("rebalance", partition_by)
+            if schema[partition_by].dataType == T.StringType():
+                # A column without gaps is written in the order given; else the writer sorts the whole rows anew.
+                # Empty text goes to the same folder as a gap, so it has to be next to it.
+                df = df.withColumn(partition_by, F.coalesce(F.nullif(partition_by, F.lit("")), F.lit(_NO_VALUE)))
+            df = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by)
+        if derive:
+            df = derive(df)
         if order_by:
             df = df.orderBy(*order_by)
         writer = df.write.mode("overwrite").format(self.fmt)
@@ -162,7 +174,12 @@ class StageStore:
         return read_table(self.spark, self.path(name), schema, self.fmt, made_by).select(schema.fieldNames())
 
     def table(
-        self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None, inputs: str | None = None
+        self,
+        name: str,
+        build: Callable[[], DataFrame],
+        partition_by: str | None = None,
+        inputs: str | None = None,
+        derive: Callable[[DataFrame], DataFrame] | None = None,
     ) -> DataFrame:
         """Stage ``name``, built at its first use and then shared by every caller of this store.
 
@@ -175,7 +192,7 @@ class StageStore:
             if told and told["inputs"] == inputs:
                 table = self.read(name, T.StructType.fromJson(told["schema"]))
             else:
-                table = self.write(name, build(), partition_by, inputs=inputs)
+                table = self.write(name, build(), partition_by, inputs=inputs, derive=derive)
             self._known[name] = known = (inputs, table)
         return known[1]
 

@@ -52,7 +52,7 @@ def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame, status:
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("transaction_id"),
+            *LINE_KEY,
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("transaction_date"),
             F.col("p_type").alias("product_category"),
@@ -67,14 +67,25 @@ def _as_transactions(spark: SparkSession, folder: str, lines: DataFrame, status:
 
 def transactions(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
     """Raw transactions, 9 columns, with their copies."""
-    return _as_transactions(spark, folder, _lines(spark, folder), status)
+    return with_ids(_as_transactions(spark, folder, _lines(spark, folder), status))
 
 
-def unique_transactions(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
-    """Raw transactions without copies.
+def with_ids(lines: DataFrame) -> DataFrame:
+    """Transactions with the text that identifies each in place of the key of its line."""
+    rest = [c for c in lines.columns if c not in LINE_KEY]
+    return lines.select(F.format_string("%d-%d", *LINE_KEY).alias("transaction_id"), *rest)
+
+
+def unique_lines(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """Raw transactions without copies, with the key of their line instead of ``transaction_id``.
 
     The key of a transaction is the key of its line, so copies go before the look-ups of order
     and product: two integers are compared instead of a text, and less is joined.
     """
     lines = keep_first(_lines(spark, folder), LINE_KEY, LINE_ORDER)
-    return _as_transactions(spark, folder, lines, status).select(TRANSACTIONS_RAW.fieldNames())
+    return _as_transactions(spark, folder, lines, status)
+
+
+def unique_transactions(spark: SparkSession, folder: str, status: str | None = None) -> DataFrame:
+    """Raw transactions without copies."""
+    return with_ids(unique_lines(spark, folder, status)).select(TRANSACTIONS_RAW.fieldNames())

@@ -11,9 +11,10 @@ from shoplens.operators.slicing import DashboardFilter, filtered_sales
 from shoplens.plans.dashboard import SALES_KEYS
 from shoplens.plans.processing import (
     customer_profiles,
-    enrich_transactions,
+    derive_features,
     fill_customers,
     unique_customers,
+    with_month,
 )
 from shoplens.plans.quality import column_counts
 from shoplens.plans.reports import sales_summary
@@ -72,8 +73,9 @@ class Workspace:
     def transactions(self) -> DataFrame:
         return self.store.table(
             "cleaned_transactions",
-            lambda: enrich_transactions(self.unique_transactions()),
+            lambda: with_month(star_schema.unique_lines(self.spark, self.folder, self.status)),
             partition_by="year_month",
+            derive=lambda lines: derive_features(star_schema.with_ids(lines)),
         )
 
     def customers(self) -> DataFrame:

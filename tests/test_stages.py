@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from datetime import datetime
 
@@ -13,7 +14,7 @@ import __spark_entry__ as entry
 from shoplens.__main__ import main
 from shoplens.operators.slicing import DashboardFilter
 from shoplens.plans.dashboard import dashboard, load_stages
-from shoplens.plans.processing import clean_and_process
+from shoplens.plans.processing import clean_and_process, enrich_transactions
 from shoplens.plans.segmentation import segment
 from shoplens.sources import star_schema
 from shoplens.sources.schemas import SEGMENTED, TRANSACTIONS_CLEAN, with_customer_key
@@ -211,3 +212,51 @@ def test_a_changed_folder_gets_a_new_workspace(spark, tmp_path):
     assert entry.workspace(spark, folder) is first
     os.utime(f"{folder}/orders.parquet", (1, 1))
     assert entry.workspace(spark, folder) is not first
+
+
+def test_derived_columns_are_made_behind_the_exchange(spark, store):
+    """What follows from other columns is neither exchanged nor sorted; a missing or empty key is read as missing."""
+    rows = [(1, "2024-01"), (2, None), (3, "2024-02"), (4, ""), (5, "2024-01"), (6, None)]
+    seen = []
+
+    def derive(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.select("id", (F.col("id") * 10).alias("ten"), "year_month")
+
+    months = spark.createDataFrame(rows, "id long, year_month string")
+    stage = store.write("tx", months, partition_by="year_month", derive=derive)
+    assert re.search(r"^Sort \[year_month.*\], false\n.*RebalancePartitions \[year_month", seen[-1])
+    assert "ten" not in seen[-1] and stage.columns == ["id", "ten", "year_month"]
+    assert sorted(map(tuple, stage.collect())) == [(i, 10 * i, m or None) for i, m in rows]
+    assert stage.where("year_month is null").count() == 3
+
+
+def test_the_stage_of_transactions_moves_no_derived_column(spark, tmp_path, monkeypatch):
+    day = datetime(2024, 1, 31, 5)
+    tables = {
+        "lineitem": (
+            [(1, 1, day, 1, 1, 2.0, 0.1), (1, 1, day, 1, 1, 2.0, 0.1), (1, 2, day, 2, 1, 1.0, None), (2, 1, day, 1, 1, None, 0.0)],
+            "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_partkey long, l_suppkey long, l_quantity double, l_discount double",
+        ),
+        "orders": (
+            [(1, 7, day, "1-URGENT", "F"), (2, None, None, None, "O")],
+            "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string",
+        ),
+        "part": ([(1, "A", "x", 2.5), (2, None, "y", None)], "p_partkey long, p_type string, p_name string, p_retailprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sf/{name}.parquet")
+    moved = {}
+    write = StageStore.write
+
+    def noted(self, name, df, *args, **kwargs):
+        moved[name] = df.columns
+        return write(self, name, df, *args, **kwargs)
+
+    monkeypatch.setattr(StageStore, "write", noted)
+    w = Workspace(spark, str(tmp_path / "sf"), StageStore(spark, str(tmp_path / "own")))
+    stage = w.transactions()
+    assert not {"transaction_id", "revenue", "day_of_week", "season", "year"} & set(moved["cleaned_transactions"])
+    expected = enrich_transactions(w.unique_transactions())
+    assert stage.count() == 3 and stage.dtypes == expected.dtypes
+    assert stage.exceptAll(expected).count() == 0 and expected.exceptAll(stage).count() == 0
